@@ -57,8 +57,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def remainder(col: str | Column, n: int) -> Column:
-    """crc32 of the id as text, modulo n; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(None)).cast("string").cast("binary")) % n
+    """crc32 of the id as text, modulo n; null for a null id."""
+    return F.crc32((F.col(col) if isinstance(col, str) else col).cast("string").cast("binary")) % n
 
 
 def lower_ascii(text: Column) -> Column:

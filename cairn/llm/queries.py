@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import remainder, table
+from .quality import score_quality
+from .simhash import simhash_groups
 from .token_output import token_output
 
 
@@ -15,11 +17,22 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apart = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=~apart, held_out=apart)
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), default_tokenizer())
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
     "op5_token_output": op5_token_output,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -82,8 +82,10 @@ class PieceEncoder:
     """
 
     _own: dict[str, PieceEncoder] = {}
-    CUT = re.compile(r" (?=[^\s\x1c-\x1f\x85᠎​-‏ - ﻿])")
-    ODD = re.compile(r" [\s\x1c-\x1f\x85᠎​-‏ - ﻿]| $")
+    #: White space, and what some libraries take for it: no cut before these.
+    ODD_NEXT = r"\s\x1c-\x1f\x85\u180e\u200b-\u200f\u2028-\u202f\ufeff"
+    CUT = re.compile(rf" (?=[^{ODD_NEXT}])")
+    ODD = re.compile(rf" [{ODD_NEXT}]| $")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
