@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import remainder, table
+from .decontaminate import decontamination_report
 from .quality import score_quality
 from .simhash import simhash_groups
 from .token_output import token_output
@@ -30,9 +31,14 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op5_token_output": op5_token_output,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {}
