@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import remainder, table
 from .decontaminate import decontamination_report
+from .mixing import mix
 from .quality import score_quality
 from .simhash import simhash_groups
 from .token_output import token_output
@@ -31,14 +33,23 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"), tie=("n_chars",))
+    return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_position")
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op2_quality_classifier": op2_quality_classifier,
     "op5_token_output": op5_token_output,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op8_source_mixing": op8_source_mixing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
