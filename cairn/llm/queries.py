@@ -6,6 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid
 from .common import remainder, table
 from .decontaminate import decontamination_report
 from .mixing import mix
@@ -33,6 +34,13 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    apart = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    model = langid.fit(docs, ~apart)
+    return langid.predict(docs, model).select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"), tie=("n_chars",))
     return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_position")
@@ -47,6 +55,7 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op5_token_output": op5_token_output,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_language_id": op7_language_id,
     "op8_source_mixing": op8_source_mixing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
