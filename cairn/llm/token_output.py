@@ -22,6 +22,7 @@ attempt and then moved, so a repeated task leaves the same file.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -74,11 +75,23 @@ def unpack(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarray:
     return raw & VALUE_MASK[size]
 
 
+#: Fixed value: the pattern by which byte-level tokenizers break a text into words.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies write for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class PieceEncoder:
-    """Encodes texts with a tokenizer file, remembering the ids of pieces seen before.
+    """Encodes texts with a tokenizer file, remembering the ids of pieces and words seen before.
 
-    The tokenizer's own pattern always breaks before a space that a non-space follows,
-    so a text may be cut there and each piece encoded alone.
+    A byte-level tokenizer without a normalizer always breaks before a space that a non-space
+    follows, so a text is cut there and each piece is looked up; a new piece is broken into words
+    by the tokenizer's pattern, and new words go to its model. Other tokenizers get whole texts.
     """
 
     _own: dict[str, PieceEncoder] = {}
@@ -88,13 +101,20 @@ class PieceEncoder:
     ODD = re.compile(rf" [{ODD_NEXT}]| $")
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.dtype = "<u2" if self.vocabulary <= 1 << 16 else "<u4"
-        self.memo: dict[str, bytes] = {}
+        spec = json.loads(self.tokenizer.to_str())
+        before = spec.get("pre_tokenizer") or {}
+        self.byte_level = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec.get("normalizer") and spec["model"]["type"] == "BPE"
+        self.break_up = regex.compile(BYTE_LEVEL_PATTERN).findall
+        self.letters = _byte_letters()
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> PieceEncoder:
@@ -102,25 +122,32 @@ class PieceEncoder:
             cls._own[path] = cls(path)
         return cls._own[path]
 
-    def _learn(self, pieces: list[str]) -> None:
-        for i in range(0, len(pieces), 4096):
-            part = pieces[i : i + 4096]
-            for piece, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[piece] = np.array(enc.ids, dtype=self.dtype).tobytes()
+    def _word(self, word: str) -> bytes:
+        got = self.words.get(word)
+        if got is None:
+            tokens = self.tokenizer.model.tokenize(word.encode("utf-8", "replace").decode("latin-1").translate(self.letters))
+            got = self.words[word] = np.array([t.id for t in tokens], dtype=self.dtype).tobytes()
+        return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.byte_level:
+            return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         out = []
-        for start in range(0, len(texts), 64):
-            cut = []
-            for text in texts[start : start + 64]:
-                parts = self.CUT.split(text) if self.ODD.search(text) else text.split(" ")
-                cut.append([parts[0], *[" " + p for p in parts[1:]]])
-            if len(self.memo) > MEMO_ENTRIES:
-                self.memo.clear()
-            missing = set().union(*cut) - self.memo.keys()
-            self._learn(sorted(missing))
-            get = self.memo.__getitem__
-            out += [b"".join(map(get, parts)) for parts in cut]
+        for text in texts:
+            parts = self.CUT.split(text) if self.ODD.search(text) else text.split(" ")
+            parts = [parts[0], *[" " + p for p in parts[1:]]]
+            if len(self.pieces) > MEMO_ENTRIES:
+                self.pieces.clear()
+            if len(self.words) > MEMO_ENTRIES:
+                self.words.clear()
+            pieces = self.pieces
+            try:
+                out.append(b"".join([pieces[p] for p in parts]))
+            except KeyError:
+                for p in parts:
+                    if p not in pieces:
+                        pieces[p] = b"".join(map(self._word, self.break_up(p)))
+                out.append(b"".join([pieces[p] for p in parts]))
         return out
 
 
