@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import langid
 from .common import remainder, table
 from .decontaminate import decontamination_report
+from .fingerprint import fingerprint_pairs
 from .mixing import mix
 from .quality import score_quality
 from .simhash import simhash_groups
@@ -26,6 +27,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=~apart, held_out=apart)
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_pairs(table(spark, sf_dir, "documents"))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), default_tokenizer())
 
@@ -53,6 +58,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_document_fingerprints": op3_document_fingerprints,
     "op5_token_output": op5_token_output,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_language_id": op7_language_id,
