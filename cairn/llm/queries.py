@@ -11,6 +11,7 @@ from .common import remainder, table
 from .decontaminate import decontamination_report
 from .fingerprint import fingerprint_pairs
 from .mixing import mix
+from .passages import passage_report
 from .quality import score_quality
 from .simhash import simhash_groups
 from .token_output import token_output
@@ -55,6 +56,10 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op2_quality_classifier": op2_quality_classifier,
@@ -64,6 +69,7 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_source_mixing": op8_source_mixing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
 if corpus_pipeline.ORACLE_SQL:
