@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Rows of a block; rows that a hash bucket holds on average; sum of the default shares, about.
-BLOCK_ROWS, BUCKET_ROWS, DEFAULT_SHARES = 16, 2048, 1000
+BLOCK_ROWS, BUCKET_ROWS, DEFAULT_SHARES = 16, 256, 1000
 
 
 def default_shares(counts: dict[str | None, int]) -> dict[str | None, int]:

@@ -14,6 +14,7 @@ from .mixing import mix
 from .passages import passage_report
 from .quality import score_quality
 from .simhash import simhash_groups
+from .suffix_tree import score_corpus
 from .token_output import token_output
 
 
@@ -32,6 +33,10 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_pairs(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_corpus(table(spark, sf_dir, "documents"), F.coalesce(remainder("doc_id", 7) == 2, F.lit(False)))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), default_tokenizer())
 
@@ -64,6 +69,7 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_document_fingerprints": op3_document_fingerprints,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_token_output": op5_token_output,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_language_id": op7_language_id,
