@@ -10,6 +10,7 @@ from . import langid
 from .common import remainder, table
 from .decontaminate import decontamination_report
 from .fingerprint import fingerprint_pairs
+from .lines import line_report
 from .mixing import mix
 from .passages import passage_report
 from .quality import score_quality
@@ -24,6 +25,10 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     apart = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=~apart, held_out=apart)
@@ -67,6 +72,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
+    "op1_line_dedup": op1_line_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_lm_scoring": op4_lm_scoring,
