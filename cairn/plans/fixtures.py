@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Annotated
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,8 +12,11 @@ from ..entity import Bool, Dimension, Double, Fact, Identity, Int, Key, Long, Ma
 from ..functions.scalars import date_key
 from ..operators.mapper import Mapper
 
-#: The clock of all loads here.
-AS_OF = F.lit("2002-01-01 00:00:00").cast("timestamp_ntz")
+
+def as_of() -> Column:
+    """The clock of all loads here."""
+    return F.lit("2002-01-01 00:00:00").cast("timestamp_ntz")
+
 
 
 class Customer(Dimension):
@@ -76,7 +79,7 @@ def customer_mapper(seed: int = 1) -> Mapper:
 
 
 def mapped(rows: DataFrame, seed: int = 1) -> DataFrame:
-    return customer_mapper(seed).apply(rows, AS_OF)
+    return customer_mapper(seed).apply(rows, as_of())
 
 
 def existing_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +127,7 @@ def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def existing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = first_lines(spark, sf_dir).where("OrderLineId % 3 <> 0").withColumn("Quantity", F.when(F.col("OrderLineId") % 5 == 0, F.col("Quantity") + 1).otherwise(F.col("Quantity")))
-    return line_mapper().apply(rows, AS_OF).withColumn("IsDeleted", F.col("Id") % 19 == 0).withColumn("OrderLineKey", F.col("Id"))
+    return line_mapper().apply(rows, as_of()).withColumn("IsDeleted", F.col("Id") % 19 == 0).withColumn("OrderLineKey", F.col("Id"))
 
 
 def micro_batches(spark: SparkSession, sf_dir: str, size: int = 1000) -> DataFrame:

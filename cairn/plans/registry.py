@@ -23,7 +23,7 @@ from ..sinks import CsvSink
 from ..sources.external import HttpReader
 from ..sources.readers import CsvReader, FrameReader, JsonReader, ListReader, SqlReader
 from . import fixtures as fx
-from .fixtures import AS_OF, Customer, OrderLine, table
+from .fixtures import Customer, OrderLine, as_of, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -67,7 +67,7 @@ def hash_types_events(spark, sf_dir):
 def mapper_projection(spark, sf_dir):
     """PRJ-1, PRJ-2, PRJ-8, PRJ-11."""
     m = Mapper(Customer).map("CustomerId", "Id").map("CustomerId", "IntegrationId").map("CustomerName", "Name").map("Inactive", "Inactive").constant("Source", 7)
-    return m.apply(fx.source_customer(spark, sf_dir), AS_OF).select("Id", "IntegrationId", "Name", "Inactive", "Source", "IsActive", "IsDeleted")
+    return m.apply(fx.source_customer(spark, sf_dir), as_of()).select("Id", "IntegrationId", "Name", "Inactive", "Source", "IsActive", "IsDeleted")
 
 
 @query(f"SELECT CustomerId AS Id, upper(CustomerName) || '!' AS Name, 9 AS Source FROM ({fx.F1})")
@@ -75,7 +75,7 @@ def mapper_order_override(spark, sf_dir):
     """PRJ-4, PRJ-5, PRJ-6: later stages see and override earlier ones."""
     m = Mapper(Customer).map("CustomerId", "Id").map("Source", "Source").add_source("Name", lambda df: F.upper("CustomerName"))
     m.add_target("Name", lambda df: F.concat("Name", F.lit("!"))).constant("Source", 9)
-    return m.apply(fx.source_customer(spark, sf_dir), AS_OF).select("Id", "Name", "Source")
+    return m.apply(fx.source_customer(spark, sf_dir), as_of()).select("Id", "Name", "Source")
 
 
 @query("SELECT p_partkey, repeat('*', length(p_name)) AS p_name FROM part")
@@ -228,13 +228,13 @@ def load_default_append(spark, sf_dir):
 
 def _lines(spark, sf_dir):
     """First lines of each id as fact rows; the id is the order, as it is unique by then."""
-    return fx.line_mapper().apply(fx.first_lines(spark, sf_dir), AS_OF)
+    return fx.line_mapper().apply(fx.first_lines(spark, sf_dir), as_of())
 
 
 @query(f"SELECT OrderLineId AS Id, OrderId, ProductId, Quantity FROM ({fx.F4_FIRST}) WHERE OrderLineId NOT IN (SELECT OrderLineId FROM ({fx.F5}))")
 def load_transaction_fact(spark, sf_dir):
     """LD-3, JN-3, JN-4."""
-    r = load_transaction(OrderLine, _lines(spark, sf_dir), fx.existing_lines(spark, sf_dir), ["Id"], AS_OF)
+    r = load_transaction(OrderLine, _lines(spark, sf_dir), fx.existing_lines(spark, sf_dir), ["Id"], as_of())
     return r.inserts.select("Id", "OrderId", "ProductId", "Quantity")
 
 
@@ -244,7 +244,7 @@ _SNAPSHOT = f"""SELECT n.OrderLineId AS Id, CASE WHEN t.OrderLineId IS NULL THEN
 
 def _snapshot(spark, sf_dir):
     incoming = _lines(spark, sf_dir).withColumn("IsDeleted", F.col("Id") % 23 == 0)
-    return load_snapshot(OrderLine, incoming, fx.existing_lines(spark, sf_dir), ["Id"], AS_OF)
+    return load_snapshot(OrderLine, incoming, fx.existing_lines(spark, sf_dir), ["Id"], as_of())
 
 
 @query(f"""SELECT {fx.sha("'{\"h\":[\"' || Id || '\"]}'")} AS key_hash, action, CASE action WHEN 'update' THEN 'Quantity,ChangeHash' WHEN 'insert' THEN '' WHEN 'noop' THEN '' ELSE 'IsDeleted' END AS changed FROM ({_SNAPSHOT})""")
@@ -272,7 +272,7 @@ def _scd_cte(incoming: str = fx.F2) -> str:
  ELSE CASE step WHEN 'type2' THEN 'IsActive,ToDate,ToDateKey' WHEN 'type1' THEN 'Inactive,ChangeHash' ELSE '' END END AS changed FROM m""")
 def scd2_merge_customer(spark, sf_dir):
     """LD-5: what each incoming row does. The flagship."""
-    r = load_scd(Customer, fx.mapped(fx.changed_customer(spark, sf_dir)), fx.existing_customer(spark, sf_dir), ["Id"], AS_OF)
+    r = load_scd(Customer, fx.mapped(fx.changed_customer(spark, sf_dir)), fx.existing_customer(spark, sf_dir), ["Id"], as_of())
     return r.classified.select(base64_view(F.col("KeyHash")).alias("key_hash"), F.col("CustomerKey").alias("customer_key"), "action", F.array_join("changed", ",").alias("changed"))
 
 
@@ -287,7 +287,7 @@ SELECT t.CustomerKey, t.Id, t.Name, CASE WHEN m.step = 'type1' THEN m.Inactive E
 FROM t LEFT JOIN m ON m.CustomerKey = t.CustomerKey""")
 def scd2_next_state(spark, sf_dir):
     """LD-5: the whole dimension after the load."""
-    r = load_scd(Customer, fx.mapped(fx.changed_customer(spark, sf_dir)), fx.existing_customer(spark, sf_dir), ["Id"], AS_OF)
+    r = load_scd(Customer, fx.mapped(fx.changed_customer(spark, sf_dir)), fx.existing_customer(spark, sf_dir), ["Id"], as_of())
     return r.next_state(["Id"]).withColumn("ChangeHash", base64_view(F.col("ChangeHash"))).select(*_STATE.split(", "))
 
 
@@ -308,7 +308,7 @@ def delete_detection(spark, sf_dir):
 def scd2_delete_override(spark, sf_dir):
     """LD-5a, LD-5b."""
     old, gone, _ = _deletes(spark, sf_dir)
-    r = load_scd(Customer, gone, old, ["Id"], AS_OF, override_delete=True, fields_on_delete=("Inactive",))
+    r = load_scd(Customer, gone, old, ["Id"], as_of(), override_delete=True, fields_on_delete=("Inactive",))
     return r.next_state(["Id"]).select("CustomerKey", "Id", "Inactive", "IsActive", "IsDeleted", "ToDateKey")
 
 
@@ -316,14 +316,14 @@ def scd2_delete_override(spark, sf_dir):
 def scd2_delete(spark, sf_dir):
     """LD-5 row 4."""
     old, gone, _ = _deletes(spark, sf_dir)
-    return load_scd(Customer, gone, old, ["Id"], AS_OF).next_state(["Id"]).select("CustomerKey", "Id", "IsActive", "IsDeleted", "ToDateKey")
+    return load_scd(Customer, gone, old, ["Id"], as_of()).next_state(["Id"]).select("CustomerKey", "Id", "IsActive", "IsDeleted", "ToDateKey")
 
 
 @query(f"SELECT CustomerKey, Id, Name, false AS IsDeleted, CAST(NULL AS TIMESTAMP) AS ToDate FROM ({fx.F3}) WHERE IsDeleted")
 def scd2_undelete(spark, sf_dir):
     """LD-5 row 5: rows that come back unchanged."""
     old = fx.existing_customer(spark, sf_dir)
-    r = load_scd(Customer, fx.mapped(fx.source_customer(spark, sf_dir)), old, ["Id"], AS_OF)
+    r = load_scd(Customer, fx.mapped(fx.source_customer(spark, sf_dir)), old, ["Id"], as_of())
     return r.updates.select("CustomerKey", "Id", "Name", "IsDeleted", "ToDate")
 
 
@@ -332,9 +332,9 @@ def scd2_two_sources_seeded(spark, sf_dir):
     """SET-2, HSH-4: the same ids from two sources stay apart."""
     a = fx.mapped(fx.source_customer(spark, sf_dir))
     b = fx.mapped(fx.source_customer(spark, sf_dir, 2), 2)
-    first = load_scd(Customer, a, None, ["Id"], AS_OF)
+    first = load_scd(Customer, a, None, ["Id"], as_of())
     state = first.next_state(["Id"])
-    return load_scd(Customer, b, state, ["Id"], AS_OF).next_state(["Id"]).select("Id", "Source", base64_view(F.col("KeyHash")).alias("key_hash"))
+    return load_scd(Customer, b, state, ["Id"], as_of()).next_state(["Id"]).select("Id", "Source", base64_view(F.col("KeyHash")).alias("key_hash"))
 
 
 @query(f"""SELECT CustomerId AS Id, row_number() OVER (ORDER BY CustomerId) + (SELECT max(CustomerKey) FROM ({fx.F3})) AS CustomerKey FROM ({fx.F1}) WHERE CustomerId % 10 = 0""")
