@@ -36,7 +36,8 @@ def shingle_hashes(text: Column, shingle: int = SHINGLE) -> Column:
     none = F.array().cast("array<bigint>")
 
     def of(h: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.size(h) - (shingle - 1)), lambda i: F.xxhash64(F.slice(h, i, shingle)))
+        # Elements one by one: a slice would copy the whole array for each shingle.
+        runs = F.transform(F.sequence(F.lit(0), F.size(h) - shingle), lambda i: F.xxhash64(*[F.get(h, i + j if j else i) for j in range(shingle)]))
         return F.when(F.size(h) >= shingle, runs).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(none)
 
     return let(F.transform(words(text), lambda w: F.xxhash64(w)), of)
