@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but space and the ASCII controls tab to carriage return.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
+#: Ids that may be broadcast, at most: 16 MB of them.
+BROADCAST_ROWS = 2_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -68,3 +71,15 @@ def lower_ascii(text: Column) -> Column:
 def words(text: Column) -> Column:
     """Array of lower-cased words; empty for null or blank text."""
     return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), WORD_BREAK), lambda w: w != "")
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def semi(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """Rows of ``df`` whose ``on`` is among ``ids`` (distinct): by broadcast up to BROADCAST_ROWS, counted first, else by a shuffle."""
+    small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(ids) if small else ids, on, "left_semi")

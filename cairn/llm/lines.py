@@ -11,7 +11,7 @@ Lines with one set are one class, of which the earliest line may stay. Within th
 each class is first held against the earliest; only classes that this does not settle are
 held against all earlier holders. So large groups of copies cost one pair for each member.
 
-Sets of ids are broadcast only up to ``BROADCAST_ROWS`` rows, counted first; larger ones are joined.
+Sets of ids are broadcast only up to ``common.BROADCAST_ROWS`` rows, counted first; larger ones are joined.
 
 Cases: null and empty texts have no lines to remove; null ids come last in the order; rows with one id
 and one text are one document, reported for each row; an empty table gives an empty result. Texts are read
@@ -23,31 +23,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BREAK, discard, materialize
+from .common import WORD_BREAK, discard, materialize, release, semi
 from .fingerprint import let
 
 SHINGLE, SIMILARITY = 5, 0.8
 RARITY_BUCKETS = 4096
-BROADCAST_ROWS = 2_000_000
 
 
 def line_tokens(line: Column) -> Column:
     """The distinct shingle hashes of a line: array<int>."""
 
     def of(h: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.size(h) - (SHINGLE - 1)), lambda i: F.hash(F.slice(h, i, SHINGLE)))
+        runs = F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE), lambda i: F.hash(*[F.get(h, i + j if j else i) for j in range(SHINGLE)]))
         return F.when(F.size(h) >= SHINGLE, runs).when(F.size(h) > 0, F.array(F.hash(h))).otherwise(F.array().cast("array<int>"))
 
     words = F.array_remove(F.split(F.lower(line), WORD_BREAK), "")
     return F.array_distinct(let(F.transform(words, lambda w: F.xxhash64(w)), of))
 
 
-def semi(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
-    """Rows of ``df`` whose ``on`` is among ``ids`` (distinct): by broadcast up to BROADCAST_ROWS, else by a shuffle."""
-    small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(ids) if small else ids, on, "left_semi")
-
-
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes whose whole sets are similar enough."""
     with_a = pairs.join(sets.select(F.col("cls").alias("a"), F.col("toks").alias("ta")), "a")
@@ -66,7 +59,7 @@ def _may_match(a: str, b: str) -> Column:
 
 def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(nd, k, tie, line, removed) of every line with words; nd, k and tie tell the document."""
-    keyed = _keyed(docs, doc_id, text)
+    spark, keyed = docs.sparkSession, _keyed(docs, doc_id, text)
     lines = keyed.select("nd", "k", "tie", F.posexplode(F.split("text", "\n")).alias("line", "words")).withColumn("toks", line_tokens(F.col("words")))
     lines = lines.where(F.size("toks") > 0).withColumn("cls", F.xxhash64(F.sort_array("toks")))
     held = materialize(lines.select("nd", "k", "tie", "line", "cls", "toks"), "lines")
@@ -78,21 +71,27 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     def ordered(t: Column) -> Column:
         return F.shiftleft(F.element_at(ranks, F.pmod(t, F.lit(RARITY_BUCKETS)) + 1), 32) + t.cast("bigint") + F.lit(1 << 31)
 
-    first = held.groupBy("cls").agg(F.min(F.struct("nd", "k", "tie", "line")).alias("first"))
+    release(spark)
+    first = materialize(held.groupBy("cls").agg(F.min(F.struct("nd", "k", "tie", "line")).alias("first")), "first")
+    release(spark)
     sized = held.select("cls", F.size("toks").alias("n"), F.sort_array(F.transform("toks", ordered)).alias("all"))
     prefix = F.slice("all", F.lit(1), F.expr("size(all) div 5") + 1)
     firsts = materialize(sized.select("cls", "n", F.posexplode(prefix).alias("pos", "tok")), "prefix")
     shared = firsts.groupBy("tok").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("tok")
     shared = materialize(shared, "shared")
+    release(spark)
     met = semi(firsts, shared, "tok").distinct()
     classes = materialize(met.join(first, "cls").select("tok", F.struct("first", "cls", "n", "pos").alias("r")), "met")
     discard(firsts)
+    release(spark)
     involved = classes.select("r.cls").distinct()
     sets = materialize(semi(held.select("cls", "toks"), involved, "cls").groupBy("cls").agg(F.first("toks").alias("toks")), "sets")
+    release(spark)
     # The earliest holder of each token against the others.
     leads = classes.groupBy("tok").agg(F.min("r").alias("lead"))
     led = classes.join(leads, "tok").where("lead.cls <> r.cls").where(_may_match("lead", "r"))
     settled = materialize(_verified(led.select(F.col("lead.cls").alias("a"), F.col("r.cls").alias("b")).distinct(), sets).select(F.col("b").alias("cls")).distinct(), "settled")
+    release(spark)
     # What that leaves against all earlier holders.
     open_rows = classes.withColumn("cls", F.col("r.cls")).join(settled, "cls", "left_anti").select("tok", F.col("r").alias("late"))
     rest = open_rows.join(classes.select("tok", F.col("r").alias("early")), "tok").where((F.col("early.first") < F.col("late.first")) & _may_match("early", "late"))

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from cairn.llm import common
 from cairn.llm import lines as ln
 
 
@@ -50,7 +51,7 @@ def lined(seed):
 
 @pytest.mark.parametrize("seed,broadcast", [(1, 10**6), (2, 0)])
 def test_against_brute_force(spark, monkeypatch, seed, broadcast):
-    monkeypatch.setattr(ln, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     rows = lined(seed)
     want = plain(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
