@@ -37,6 +37,7 @@ class LoadResult:
         key = self.entity.single_key.name
         names = [f.name for f in self.entity.mapped]
         new = key_from(self.inserts) if key_from else assign_keys(self.inserts, self.target, key, natural)
+        new = new.withColumn(key, F.col(key).cast(self.entity.single_key.spark_type))
         if self.target is None:
             return new.select(*names)
         kept = apply_updates(self.target, self.updates, key) if self.updates is not None else self.target
