@@ -27,6 +27,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,8 @@ MAGIC = b"CRNTOK01"
 HEADER = struct.Struct("<8sQQQQ")
 #: Tokens in a shard, and in the pieces in which it is decoded.
 SHARD_TOKENS, CHUNK_TOKENS = 1 << 24, 1 << 20
-#: Pieces of text whose ids a worker remembers; the memory is emptied when full.
-MEMO_ENTRIES = 600_000
+#: Pieces of text and words whose ids a worker remembers (about 200 bytes each); a memory is emptied when full.
+PIECE_ENTRIES, WORD_ENTRIES = 500_000, 1_400_000
 
 # Decoding tables, by control byte: bytes of each of the four values, their offsets, their sum.
 LANE_BYTES = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
@@ -107,7 +108,7 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.dtype = "<u2" if self.vocabulary <= 1 << 16 else "<u4"
+        self.dtype, self.code = ("<u2", "H") if self.vocabulary <= 1 << 16 else ("<u4", "I")
         spec = json.loads(self.tokenizer.to_str())
         before = spec.get("pre_tokenizer") or {}
         self.byte_level = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec.get("normalizer") and spec["model"]["type"] == "BPE"
@@ -126,7 +127,7 @@ class PieceEncoder:
         got = self.words.get(word)
         if got is None:
             tokens = self.tokenizer.model.tokenize(word.encode("utf-8", "replace").decode("latin-1").translate(self.letters))
-            got = self.words[word] = np.array([t.id for t in tokens], dtype=self.dtype).tobytes()
+            got = self.words[word] = array(self.code, [t.id for t in tokens]).tobytes()
         return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -136,9 +137,9 @@ class PieceEncoder:
         for text in texts:
             parts = self.CUT.split(text) if self.ODD.search(text) else text.split(" ")
             parts = [parts[0], *[" " + p for p in parts[1:]]]
-            if len(self.pieces) > MEMO_ENTRIES:
+            if len(self.pieces) > PIECE_ENTRIES:
                 self.pieces.clear()
-            if len(self.words) > MEMO_ENTRIES:
+            if len(self.words) > WORD_ENTRIES:
                 self.words.clear()
             pieces = self.pieces
             try:
@@ -146,7 +147,8 @@ class PieceEncoder:
             except KeyError:
                 for p in parts:
                     if p not in pieces:
-                        pieces[p] = b"".join(map(self._word, self.break_up(p)))
+                        # A space and letters are one word; anything else goes through the pattern.
+                        pieces[p] = self._word(p) if p[1:].isalpha() and p[0] == " " else b"".join(map(self._word, self.break_up(p)))
                 out.append(b"".join([pieces[p] for p in parts]))
         return out
 
