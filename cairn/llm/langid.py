@@ -6,8 +6,8 @@ their log frequencies are added; characters never seen add nothing. The posterio
 languages of the summed scores, flattened by ``TEMPER``, gives the prediction and its score.
 
 The tables come from a bounded sample: ``SAMPLE_ROWS`` labelled rows of each language, picked by
-the hash of their id (all of them where there are fewer), whole texts; words need two
-occurrences. So what goes to the tasks does not grow with the corpus. Predictions cover all rows.
+the hash of their id (all of them where there are fewer), whole texts; words and n-grams need
+two occurrences. So what goes to the tasks does not grow with the corpus. Predictions cover all rows.
 
 Cases: null, empty or letterless text gives ``und`` and score 0; rows with a null lang or null
 id are never learned from; ties between languages go to the first in order; without any
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 UNDETERMINED = "und"
 #: Labelled rows of a language that are learned from, at most; lengths of n-grams, longest first.
 SAMPLE_ROWS, ORDERS = 3000, (5, 4, 3, 2, 1)
-MIN_WORD, SMOOTHING, TEMPER = 2, 0.5, 0.5
+MIN_COUNT, SMOOTHING, TEMPER = 2, 0.5, 0.5
 #: Unseen words whose scores a worker remembers.
 MEMO_ENTRIES = 200_000
 
@@ -125,9 +125,8 @@ def fit(docs: DataFrame, learn: Column, lang: str = "lang", doc_id: str = "doc_i
     cut = F.coalesce(*[F.when(F.col(lang) == x, F.lit(int(2**31 * min(1.0, sample_rows / n)))) for x, n in sizes.items()])
     sample = rows.where(F.pmod(F.xxhash64(doc_id), F.lit(2**31)) < cut)
     counted = sample.select(lang, text).mapInArrow(_count_batches, "lang string, kind int, gram string, n long").groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))
-    least = F.when(F.col("kind") == 0, F.lit(MIN_WORD)).otherwise(F.lit(MIN_WORD))
     by_gram = counted.groupBy("kind", "gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    table = by_gram.where(F.col("all") >= least).select("kind", "gram", *[F.coalesce(F.col("by")[x], F.lit(0)).alias(f"n{i}") for i, x in enumerate(langs)])
+    table = by_gram.where(F.col("all") >= MIN_COUNT).select("kind", "gram", *[F.coalesce(F.col("by")[x], F.lit(0)).alias(f"n{i}") for i, x in enumerate(langs)])
     counts: dict[int, dict[str, np.ndarray]] = {k: {} for k in (0, *ORDERS)}
     for r in table.toLocalIterator():
         counts[r["kind"]][r["gram"]] = np.array(r[2:], dtype=np.int64)
