@@ -7,7 +7,7 @@ in that order (prefix filter); the lengths and the places of the shared token ru
 (length and positional filters); the rest are verified on their whole sets. A line is
 removed if an earlier one, in the order of ids and lines, matches it.
 
-Lines with one set are one class, of which the earliest line may stay. Within the holders of a prefix token,
+Lines with the same tokens in the same order are one class, of which the earliest line may stay. Within the holders of a prefix token,
 each class is first held against the earliest; only classes that this does not settle are
 held against all earlier holders. So large groups of copies cost one pair for each member.
 
@@ -61,7 +61,7 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """(nd, k, tie, line, removed) of every line with words; nd, k and tie tell the document."""
     spark, keyed = docs.sparkSession, _keyed(docs, doc_id, text)
     lines = keyed.select("nd", "k", "tie", F.posexplode(F.split("text", "\n")).alias("line", "words")).withColumn("toks", line_tokens(F.col("words")))
-    lines = lines.where(F.size("toks") > 0).withColumn("cls", F.xxhash64(F.sort_array("toks")))
+    lines = lines.where(F.size("toks") > 0).withColumn("cls", F.xxhash64("toks"))
     held = materialize(lines.select("nd", "k", "tie", "line", "cls", "toks"), "lines")
     # Rarity: RARITY_BUCKETS rows, whatever the corpus.
     often = {r["b"]: r["n"] for r in held.select(F.explode("toks").alias("t")).groupBy(F.pmod("t", F.lit(RARITY_BUCKETS)).alias("b")).agg(F.count("*").alias("n")).collect()}
