@@ -63,6 +63,38 @@ def test_masks_ignore_positions():
         assert dc.masked(dc.word_codes(" ".join(["zzz", *words[1:]])), mask).tolist() != a.tolist()
 
 
+def test_masks_hit_every_pattern_that_verification_accepts():
+    from itertools import combinations
+
+    for size, misses in ((10, 2), (15, 3)):
+        for missing in combinations(range(size), misses):
+            assert any(all(at + i not in missing for i, m in enumerate(mask) if m == "1") for mask in dc.MASKS for at in range(size - mask.rindex("1")))
+
+
+def test_leaks_are_what_brute_force_over_diagonals_finds():
+    import numpy as np
+
+    rng = random.Random(4)
+    items = [(n, " ".join(f"i{n}x{j}" for j in range(n))) for n in (1, 3, 4, 5, 6, 8, 9, 10, 11, 12, 15, 19, 20, 25, 30, 60)]
+    index = dc.Index(items)
+    texts = [" ".join(w if j % 5 != 4 else "other" for j, w in enumerate(t.split())) for _, t in items]
+    texts += [" ".join(t.split()[2 : 2 + n]) for _, t in items for n in (9, 10, 11)]
+    for _ in range(400):
+        words = rng.choice(items)[1].split()
+        for at in rng.sample(range(len(words)), min(len(words), rng.randint(0, 2 + len(words) // 5))):
+            words[at] = "other"
+        texts.append(" ".join(["before"] * rng.randint(0, 3) + words + ["after"] * rng.randint(0, 3)))
+    for text in texts:
+        codes, wanted = dc.word_codes(text), {}
+        for k, own in enumerate(index.codes):
+            for shift in range(1 - len(own), len(codes)):
+                lo, hi = max(0, shift), min(len(codes), shift + len(own))
+                got = dc.stretch(np.equal(codes[lo:hi], own[lo - shift : hi - shift]), min(dc.MIN_WORDS, len(own)))
+                if got and got[0] > wanted.get(k, 0):
+                    wanted[k] = got[0]
+        assert {k: m for k, (m, _, _) in index.leaks(text).items()} == wanted
+
+
 def test_stretch_against_brute_force():
     import numpy as np
 
