@@ -15,7 +15,7 @@ Sets of ids are broadcast only up to ``common.BROADCAST_ROWS`` rows, counted fir
 
 Cases: null and empty texts have no lines to remove; null ids come last in the order; rows with one id
 and one text are one document, reported for each row; an empty table gives an empty result. Texts are read
-whole. Other columns are ignored; tokens are 32-bit hashes of the shingles.
+whole. Other columns are ignored. Words, tokens and classes are 64-bit hashes: two different lines of m pass for one with a chance of about m^2 / 2^63.
 """
 
 from __future__ import annotations
@@ -31,11 +31,11 @@ RARITY_BUCKETS = 4096
 
 
 def line_tokens(line: Column) -> Column:
-    """The distinct shingle hashes of a line: array<int>."""
+    """The distinct 64-bit shingle hashes of a line."""
 
     def of(h: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE), lambda i: F.hash(*[F.get(h, i + j if j else i) for j in range(SHINGLE)]))
-        return F.when(F.size(h) >= SHINGLE, runs).when(F.size(h) > 0, F.array(F.hash(h))).otherwise(F.array().cast("array<int>"))
+        runs = F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE), lambda i: F.xxhash64(*[F.get(h, i + j if j else i) for j in range(SHINGLE)]))
+        return F.when(F.size(h) >= SHINGLE, runs).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
 
     words = F.array_remove(F.split(F.lower(line), WORD_BREAK), "")
     return F.array_distinct(let(F.transform(words, lambda w: F.xxhash64(w)), of))
@@ -66,17 +66,17 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     # Rarity: RARITY_BUCKETS rows, whatever the corpus.
     often = {r["b"]: r["n"] for r in held.select(F.explode("toks").alias("t")).groupBy(F.pmod("t", F.lit(RARITY_BUCKETS)).alias("b")).agg(F.count("*").alias("n")).collect()}
     place = {b: i for i, b in enumerate(sorted(range(RARITY_BUCKETS), key=lambda b: (often.get(b, 0), b)))}
-    ranks = F.split(F.lit(",".join(str(place[b]) for b in range(RARITY_BUCKETS))), ",").cast("array<bigint>")
+    ranks = F.split(F.lit(",".join(str(place[b]) for b in range(RARITY_BUCKETS))), ",").cast("array<int>")
 
     def ordered(t: Column) -> Column:
-        return F.shiftleft(F.element_at(ranks, F.pmod(t, F.lit(RARITY_BUCKETS)) + 1), 32) + t.cast("bigint") + F.lit(1 << 31)
+        return F.struct(F.element_at(ranks, F.pmod(t, F.lit(RARITY_BUCKETS)).cast("int") + 1).alias("rank"), t.alias("tok"))
 
     release(spark)
     first = materialize(held.groupBy("cls").agg(F.min(F.struct("nd", "k", "tie", "line")).alias("first")), "first")
     release(spark)
     sized = held.select("cls", F.size("toks").alias("n"), F.sort_array(F.transform("toks", ordered)).alias("all"))
     prefix = F.slice("all", F.lit(1), F.expr("size(all) div 5") + 1)
-    firsts = materialize(sized.select("cls", "n", F.posexplode(prefix).alias("pos", "tok")), "prefix")
+    firsts = materialize(sized.select("cls", "n", F.posexplode(prefix).alias("pos", "at")).select("cls", "n", "pos", "at.tok"), "prefix")
     shared = firsts.groupBy("tok").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("tok")
     shared = materialize(shared, "shared")
     release(spark)

@@ -78,3 +78,11 @@ def test_odd_tables(empty, clash, docs):
 def test_no_python_in_the_plan(docs):
     plan = ln.line_report(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_short_lines_do_not_collide(spark):
+    from pyspark.sql import functions as F
+
+    n = 400_000
+    docs = spark.range(n).groupBy((F.col("id") % 400).alias("doc_id")).agg(F.concat_ws("\n", F.collect_list(F.concat(F.lit("w"), "id"))).alias("text"))
+    assert ln.line_report(docs).agg(F.sum("n_removed")).first()[0] == 0
