@@ -1,8 +1,8 @@
 """Token ids as binary shards: frequency-ranked ids, byte-aligned variable-length coding.
 
-Three passes. (1) Every text is encoded once and its ids are written to the shared
-folder. (2) Ids are counted over the whole corpus and ranked, most frequent first, so
-that common tokens take one byte. (3) The ids are range-partitioned by the order
+Three passes. (1) Every text is encoded once; its ids, and each task's counts of them, are
+written to the shared folder. (2) The counts are added up over the whole corpus and ids are ranked, most
+frequent first, so that common tokens take one byte. (3) The ids are range-partitioned by the order
 columns, sorted, and written as shards; a manifest says where each shard starts.
 
 A shard keeps the control bytes apart from the data bytes: four values share one
@@ -23,14 +23,15 @@ attempt and then moved, so a repeated task leaves the same file.
 from __future__ import annotations
 
 import json
-import re
 import struct
 import uuid
 import zlib
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,8 +43,8 @@ MAGIC = b"CRNTOK01"
 HEADER = struct.Struct("<8sQQQQ")
 #: Tokens in a shard, and in the pieces in which it is decoded.
 SHARD_TOKENS, CHUNK_TOKENS = 1 << 24, 1 << 20
-#: Pieces of text and words whose ids a worker remembers (about 200 bytes each); a memory is emptied when full.
-PIECE_ENTRIES, WORD_ENTRIES = 500_000, 1_400_000
+#: Text that is encoded at a time; what a worker's remembered words may take, and what each takes besides its letters and ids.
+SLICE_BYTES, WORD_BYTES, WORD_OVERHEAD = 12 << 20, 64 << 20, 200
 
 # Decoding tables, by control byte: bytes of each of the four values, their offsets, their sum.
 LANE_BYTES = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
@@ -78,6 +79,8 @@ def unpack(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarray:
 
 #: Fixed value: the pattern by which byte-level tokenizers break a text into words.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: white space, and what some libraries take for it, as the inside of a character class.
+SPACES = r"\t-\r \x1c-\x1f\x85\xa0\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{3000}\x{feff}"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -88,34 +91,33 @@ def _byte_letters() -> dict[int, str]:
 
 
 class PieceEncoder:
-    """Encodes texts with a tokenizer file, remembering the ids of pieces and words seen before.
+    """Encodes texts with a tokenizer file, a slice of them at a time.
 
     A byte-level tokenizer without a normalizer always breaks before a space that a non-space
-    follows, so a text is cut there and each piece is looked up; a new piece is broken into words
-    by the tokenizer's pattern, and new words go to its model. Other tokenizers get whole texts.
+    follows, and around a line break between two non-spaces. So texts are cut there by Arrow, each
+    piece that a slice holds is spelled once (broken into words by the tokenizer's pattern, words put
+    to its model), and the ids of the slice are gathered with numpy. Texts with other white space after a
+    space, with an added token of the tokenizer, and all texts of other tokenizers go to the library whole.
+    Words are remembered until they take ``WORD_BYTES``, and only for the length of a task.
     """
 
     _own: dict[str, PieceEncoder] = {}
-    #: White space, and what some libraries take for it: no cut before these.
-    ODD_NEXT = r"\s\x1c-\x1f\x85\u180e\u200b-\u200f\u2028-\u202f\ufeff"
-    CUT = re.compile(rf" (?=[^{ODD_NEXT}])")
-    ODD = re.compile(rf" [{ODD_NEXT}]| $")
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.dtype, self.code = ("<u2", "H") if self.vocabulary <= 1 << 16 else ("<u4", "I")
         spec = json.loads(self.tokenizer.to_str())
         before = spec.get("pre_tokenizer") or {}
         self.byte_level = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not spec.get("normalizer") and spec["model"]["type"] == "BPE"
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.break_up = regex.compile(BYTE_LEVEL_PATTERN).findall
         self.letters = _byte_letters()
-        self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.held = 0
 
     @classmethod
     def of(cls, path: str) -> PieceEncoder:
@@ -123,59 +125,124 @@ class PieceEncoder:
             cls._own[path] = cls(path)
         return cls._own[path]
 
+    def forget(self) -> None:
+        """Lets all words go; called when a task ends."""
+        self.words, self.held = {}, 0
+
+    def _keep(self, piece: str, ids: bytes) -> bytes:
+        if self.held < WORD_BYTES:
+            self.words[piece] = ids
+            self.held += WORD_OVERHEAD + len(piece) + len(ids)
+        return ids
+
+    def _ids(self, letters: str) -> bytes:
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+
     def _word(self, word: str) -> bytes:
         got = self.words.get(word)
-        if got is None:
-            tokens = self.tokenizer.model.tokenize(word.encode("utf-8", "replace").decode("latin-1").translate(self.letters))
-            got = self.words[word] = array(self.code, [t.id for t in tokens]).tobytes()
-        return got
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.byte_level:
-            return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        out = []
-        for text in texts:
-            parts = self.CUT.split(text) if self.ODD.search(text) else text.split(" ")
-            parts = [parts[0], *[" " + p for p in parts[1:]]]
-            if len(self.pieces) > PIECE_ENTRIES:
-                self.pieces.clear()
-            if len(self.words) > WORD_ENTRIES:
-                self.words.clear()
-            pieces = self.pieces
-            try:
-                out.append(b"".join([pieces[p] for p in parts]))
-            except KeyError:
-                for p in parts:
-                    if p not in pieces:
-                        # A space and letters are one word; anything else goes through the pattern.
-                        pieces[p] = self._word(p) if p[1:].isalpha() and p[0] == " " else b"".join(map(self._word, self.break_up(p)))
-                out.append(b"".join([pieces[p] for p in parts]))
-        return out
-
-
-def _encode_batches(path: str, end_id: int | None):
+        return self._keep(word, self._ids(word.encode("utf-8", "replace").decode("latin-1").translate(self.letters))) if got is None else got
+
+    def _spell(self, piece: str) -> bytes:
+        # A space and letters are one word; anything else goes through the pattern.
+        if piece[1:].isalpha() and piece[0] == " ":
+            return self._keep(piece, self._ids(self.letters[32] + piece[1:])) if piece.isascii() else self._word(piece)
+        return self._keep(piece, b"".join(map(self._word, self.break_up(piece))))
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with ``end_id`` after it, and how many each has; null counts as empty."""
+        n, end = len(texts), np.array([] if end_id is None else [end_id], self.dtype)
+        texts = pc.fill_null(texts, "")
+        cut = np.full(n, bool(self.byte_level))
+        if self.byte_level:
+            cut &= ~_matches(texts, f" [{SPACES}]| $")
+            for token in self.added:
+                cut &= ~pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        whole = np.nonzero(~cut)[0]
+        ids, sizes = self._gather(texts.filter(pa.array(cut)) if len(whole) else texts, end)
+        if not len(whole):
+            return ids, sizes
+        parts: list = [None] * n
+        for i, got in zip(np.nonzero(cut)[0].tolist(), np.split(ids, np.cumsum(sizes)[:-1]), strict=False):
+            parts[i] = got
+        for i, got in zip(whole.tolist(), self._whole(texts.take(pa.array(whole)).to_pylist()), strict=True):
+            parts[i] = np.concatenate([got, end])
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+
+    def _gather(self, texts: pa.Array, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(texts)
+        if not n:
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        # A line break between non-spaces is written " \n", which no such text holds itself.
+        single = ~_matches(texts, f"[{SPACES}]\n|\n[{SPACES}]|\n$|^\n")
+        texts = pc.if_else(pa.array(single), pc.replace_substring(texts, "\n", " \n"), texts)
+        lists = pc.split_pattern(texts, " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        offsets -= offsets[0]
+        distinct = pc.binary_join_element_wise("", coded.dictionary, " ").to_pylist()
+        at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        heads = [distinct[i][1:] for i in at[offsets[:-1]].tolist()]
+        spelled = list(map(self.words.get, distinct))
+        for i, got in enumerate(spelled):
+            if got is None:
+                piece = distinct[i]
+                spelled[i] = self._spell(piece[1:] if piece[1:2] == "\n" else piece)
+        spelled += [b"".join(map(self._word, self.break_up(p))) for p in heads]
+        spelled.append(end.tobytes())
+        at[offsets[:-1]] = len(distinct) + np.arange(n)
+        at = np.insert(at, offsets[1:], len(spelled) - 1)
+        lengths = np.fromiter(map(len, spelled), np.int64, len(spelled)) // np.dtype(self.dtype).itemsize
+        starts = np.cumsum(lengths) - lengths
+        flat = np.frombuffer(b"".join(spelled), self.dtype)
+        each = lengths[at]
+        until = np.cumsum(each)
+        total = int(until[-1])
+        wide = np.int32 if total < 1 << 31 else np.int64
+        where = np.repeat((starts[at] - (until - each)).astype(wide), each)
+        where += np.arange(total, dtype=wide)
+        ids = flat[where]
+        ends = until[offsets[1:] + np.arange(n)]
+        return ids, np.diff(ends, prepend=0)
+
+
+def _matches(texts: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)
+
+
+def slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(start, rows) of slices of about ``most`` bytes of text, a row at least."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, upto - at
+        at = upto
+
+
+def _encode_batches(path: str, end_id: int | None, size: int):
+    """Rows with their ids; after a task's last, a row with the counts of its ids."""
+
     def run(batches):
         encoder = PieceEncoder.of(path)
-        end = b"" if end_id is None else np.array([end_id], dtype=encoder.dtype).tobytes()
+        width = np.dtype(encoder.dtype).itemsize
+        total, names, kinds = np.zeros(size, dtype=np.int64), None, []
         for batch in batches:
             keys, texts = batch.columns[:-1], batch.column(batch.num_columns - 1)
-            for at in range(0, batch.num_rows, 512):
-                ids = [x + end for x in encoder.encode([t or "" for t in texts.slice(at, 512).to_pylist()])]
-                cols = [k.slice(at, 512) for k in keys]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.binary())], names=[*batch.schema.names[:-1], "ids"])
-
-    return run
-
-
-def _count_batches(dtype: str, size: int):
-    def run(batches):
-        total = np.zeros(size, dtype=np.int64)
-        for batch in batches:
-            for ids in batch.column(0):
-                got = np.bincount(np.frombuffer(ids.as_py(), dtype=dtype))
-                total[: len(got)] += got
-        found = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["id", "n"])
+            names, kinds = [*batch.schema.names[:-1], "ids", "token", "times"], [k.type for k in keys]
+            for at, rows in slices(texts, SLICE_BYTES):
+                ids, sizes = encoder.encode(texts.slice(at, rows), end_id)
+                total += np.bincount(ids, minlength=size)
+                ends = np.concatenate([[0], np.cumsum(sizes)]) * width
+                held = pa.Array.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(ends.astype("<i8")), pa.py_buffer(ids.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*(k.slice(at, rows) for k in keys), held, pa.nulls(rows, pa.list_(pa.int32())), pa.nulls(rows, pa.list_(pa.int64()))], names=names)
+        encoder.forget()
+        if names:
+            found = np.nonzero(total)[0]
+            counts = [pa.array([found], pa.list_(pa.int32())), pa.array([total[found]], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds), pa.nulls(1, pa.binary()), *counts], names=names)
 
     return run
 
@@ -297,12 +364,15 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_dir: str | None
     order = order or [F.col(doc_id)]
     keys = [c.alias(f"_o{i}") for i, c in enumerate(order)]
     chosen = docs.select(*keys, F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = T.StructType([*chosen.schema.fields[:-1], T.StructField("ids", T.BinaryType())])
+    added = [T.StructField("ids", T.BinaryType()), T.StructField("token", T.ArrayType(T.IntegerType())), T.StructField("times", T.ArrayType(T.LongType()))]
+    schema = T.StructType([*chosen.schema.fields[:-1], *added])
     encoder = PieceEncoder.of(tokenizer_path)
     dtype, size = encoder.dtype, max(encoder.vocabulary, (end_id or 0) + 1)
-    ids = materialize(chosen.mapInArrow(_encode_batches(tokenizer_path, end_id), schema), "ids")
+    held = materialize(chosen.mapInArrow(_encode_batches(tokenizer_path, end_id, size), schema), "ids")
+    each = held.where("token is not null").select(F.explode(F.arrays_zip("token", "times")).alias("e"))
     # At most a row for each entry of the vocabulary: a size that no corpus changes.
-    counts = ids.select("ids").mapInArrow(_count_batches(dtype, size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counts = each.groupBy(F.col("e.token").alias("id")).agg(F.sum("e.times").alias("n")).toPandas()
+    ids = held.where("token is null").drop("token", "times")
     seen = counts.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(dtype=np.int64)
     ids_by_rank = np.concatenate([seen, np.setdiff1d(np.arange(size), seen)]).astype(np.uint32)
     rank_of = np.empty(size, dtype=np.uint32)
@@ -315,7 +385,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_dir: str | None
     ties = F.xxhash64("ids")
     dealt = ids.repartitionByRange(shuffle_partitions(spark), *by, ties).sortWithinPartitions(*by, ties, "ids")
     manifest = materialize(dealt.select("doc_id", "ids").mapInArrow(_shard_batches(out_dir, dtype, rank_of), MANIFEST), "manifest")
-    discard(ids)
+    discard(held)
     return out_dir, manifest
 
 

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -14,7 +15,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [2]
 
 
@@ -27,14 +27,27 @@ def test_pack_round_trip():
         assert len(control) == -(-n // 4)
 
 
-def test_pieces_encode_as_the_tokenizer_does(plain):
-    odd = ["a b", " a  b   c ", "x \n y\n\n  z", "<|endoftext|> a", "", " ", "é ü q\x85 r \x1c s", "it's 1 !b \t\tk", "日本 語", "　 a ​ b", "a" * 3000]
+def test_pieces_encode_as_the_tokenizer_does(plain, monkeypatch):
+    odd = [None, "a <|endoftext|> b", "<|endoftext|>", "x\ny z\nq", "x\n\ny", "\nx y", "x y\n", "x\n\n\ny", "x\t\ny", "x\xa0\ny\n\u3000z", "a b", " a  b   c ", "x \n y\n\n  z", "<|endoftext|> a", "", " ", "é ü q\x85 r \x1c s", "it's 1 !b \t\tk", "日本 語", "　 a ​ b", "a" * 3000]
     rng = random.Random(2)
-    alphabet = " \n\t\x85\xa0a1!'sé語\U0001f600"
-    odd += ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(300)]
-    encoder = to.PieceEncoder.of(PATH)
-    for text, got in zip(odd, encoder.encode(odd), strict=True):
-        assert np.frombuffer(got, encoder.dtype).tolist() == plain(text)[:-1], repr(text)
+    alphabet = " \n\n\t\x85\xa0a1!'sé語\U0001f600"
+    odd += ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(600)]
+    monkeypatch.setattr(to, "WORD_BYTES", 20_000)
+    encoder = to.PieceEncoder(PATH)
+    for end, part in ((2, odd), (None, odd), (2, odd[3:4]), (2, ["a b", "c"]), (2, [])):
+        ids, sizes = encoder.encode(pa.array(part, pa.string()), end)
+        assert len(sizes) == len(part) and sizes.sum() == len(ids)
+        for text, upto, n in zip(part, np.cumsum(sizes), sizes, strict=True):
+            assert ids[upto - n : upto].tolist() == (plain(text) if end else plain(text)[:-1]), repr(text)
+    assert encoder.held <= 30_000
+    encoder.forget()
+    assert not encoder.words
+
+
+def test_slices_cover_all_rows():
+    column = pa.array(["a" * n for n in (5, 0, 200, 3, 3, 3)] + [None, "b"])
+    got = list(to.slices(column, 10))
+    assert [i for at, n in got for i in range(at, at + n)] == list(range(8)) and all(n for _, n in got)
 
 
 def _expected(rows, plain):
