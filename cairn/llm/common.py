@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +36,28 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` once to the shared folder and reads it back; cuts lineage and survives lost executors."""
+#: Spark's own switch: shuffle files go when the query that wrote them has ended.
+LET_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_let_go(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(LET_GO, None)
+    spark.conf.set(LET_GO, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(LET_GO) if before is None else spark.conf.set(LET_GO, before)
+
+
+def materialize(df: DataFrame, name: str, **options) -> DataFrame:
+    """Writes ``df`` once to the shared folder and reads it back; cuts lineage and survives lost executors.
+
+    The shuffle files behind it are let go as soon as it is written.
+    """
     path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_let_go(df.sparkSession):
+        df.write.options(**{"compression": "zstd", **options}).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cairn_path = path
     return out
@@ -73,13 +92,23 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), WORD_BREAK), lambda w: w != "")
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove shuffle files that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def if_small(df: DataFrame, longs: int = 1) -> DataFrame:
+    """``df``, of about ``longs`` numbers a row, marked for broadcast if it is counted to be within BROADCAST_ROWS numbers."""
+    most = BROADCAST_ROWS // longs
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def semi(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     """Rows of ``df`` whose ``on`` is among ``ids`` (distinct): by broadcast up to BROADCAST_ROWS, counted first, else by a shuffle."""
-    small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(ids) if small else ids, on, "left_semi")
+    return df.join(if_small(ids), on, "left_semi")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores put before it until ``df`` has no column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -1,105 +1,222 @@
 """Line dedup: an exact set-similarity join of lines, in DataFrame functions only.
 
-A line is the set of its five-word shingles (a shorter line is one token); blank lines are left
-alone. Tokens are ordered by rarity: by how often their hash bucket occurs over all lines, then by
-hash. Two lines with a Jaccard similarity of ``SIMILARITY`` or more share a token among the first few
-in that order (prefix filter); the lengths and the places of the shared token rule most pairs out
-(length and positional filters); the rest are verified on their whole sets. A line is
-removed if an earlier one, in the order of ids and lines, matches it.
+A line is the set of its lower-cased words; blank lines are left alone. A line is removed if an
+earlier one, in the order of ids and lines, has a Jaccard similarity of ``SIMILARITY`` or more with it.
 
-Lines with the same tokens in the same order are one class, of which the earliest line may stay. Within the holders of a prefix token,
-each class is first held against the earliest; only classes that this does not settle are
-held against all earlier holders. So large groups of copies cost one pair for each member.
+Lines with one set are one class, with its earliest line. The words of a class are ordered by rarity: by how often
+their hash bucket, of 2^18, occurs over all lines (in steps of a square root of two), then by hash. Two classes
+alike enough share a word among the first few in that order (prefix filter). Where the least word they share stands
+in either bounds what they can have in common (length and positional filters); the bits in which the parities of
+their hashed words differ bound it too. What is left is verified on the whole sets.
 
-Sets of ids are broadcast only up to ``common.BROADCAST_ROWS`` rows, counted first; larger ones are joined.
+Words that begin more than ``HOT_CLASSES`` classes are counted first. Among the classes of such a word only
+those that share a second early word meet (any two alike do), and there each class is first held against
+the earliest, as often as that settles many; only classes that are still open are held against all earlier ones.
 
 Cases: null and empty texts have no lines to remove; null ids come last in the order; rows with one id
-and one text are one document, reported for each row; an empty table gives an empty result. Texts are read
-whole. Other columns are ignored. Words, tokens and classes are 64-bit hashes: two different lines of m pass for one with a chance of about m^2 / 2^63.
+and one text are one document, reported for each row; repeated lines are one class, whatever their number; an empty
+table gives an empty result. Texts are read whole. Other columns, whatever their names, are kept by
+``dedup_lines`` and ignored otherwise. Words and classes are 64-bit hashes: two different sets of m pass for one with a
+chance of about m^2 / 2^65.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BREAK, discard, materialize, release, semi
-from .fingerprint import let
+from .common import discard, if_small, materialize, semi, unused
 
-SHINGLE, SIMILARITY = 5, 0.8
-RARITY_BUCKETS = 4096
+#: The similarity as a whole fraction, so that nothing is rounded.
+SIMILARITY = NUM, DEN = 4, 5
+#: Classes that may meet by one word; the share of open ones that a round must settle for another to follow.
+HOT_CLASSES, ROUND_SHARE = 512, 0.1
+#: Buckets in which words are counted to see where hot ones may be; at most as many rows are broadcast.
+HOT_BUCKETS = 1 << 18
+#: Leading bits of a hash that make its bucket; bits of a hash that stand below its level of rarity.
+BUCKET_BITS, BELOW_LEVEL = 18, 57
+#: Words from which on a line has a second word of parities.
+SECOND_PARITY = 40
+#: Parts in which prefixes are shuffled, one after the other, so that the disk holds one of them.
+PASSES = 2
+#: Words repeat within a file of lines: with a large dictionary each takes a few bits, which no codec shortens.
+LINE_FILES = {"parquet.dictionary.page.size": 8 << 20, "compression": "uncompressed"}
 
 
 def line_tokens(line: Column) -> Column:
-    """The distinct 64-bit shingle hashes of a line."""
+    """The distinct 64-bit word hashes of a lower-cased line without other white space than spaces, sorted."""
+    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+    return F.sort_array(F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit("")))))
 
-    def of(h: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE), lambda i: F.xxhash64(*[F.get(h, i + j if j else i) for j in range(SHINGLE)]))
-        return F.when(F.size(h) >= SHINGLE, runs).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
 
-    words = F.array_remove(F.split(F.lower(line), WORD_BREAK), "")
-    return F.array_distinct(let(F.transform(words, lambda w: F.xxhash64(w)), of))
+def _spaced(text: Column) -> Column:
+    """Lower-cased text whose other white space, line breaks apart, is spaces."""
+    odd = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\x0c"))
+    return F.when(odd, F.translate(F.lower(text), "\t\r\x0b\x0c", "    ")).otherwise(F.lower(text))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes whose whole sets are similar enough."""
-    with_a = pairs.join(sets.select(F.col("cls").alias("a"), F.col("toks").alias("ta")), "a")
-    both = with_a.join(sets.select(F.col("cls").alias("b"), F.col("toks").alias("tb")), "b")
-    common = F.size(F.array_intersect("ta", "tb"))
-    return both.where(common * (1 + SIMILARITY) + 1e-9 >= SIMILARITY * (F.size("ta") + F.size("tb"))).select("a", "b")
+def _enough(common: Column, na: Column, nb: Column) -> Column:
+    """Whether sets of na and nb words with ``common`` in common are alike enough."""
+    return common * (NUM + DEN) >= (na + nb) * NUM
 
 
 def _may_match(a: str, b: str) -> Column:
-    """Length and positional filters of rows of two structs that share a token."""
-    na, nb, pa, pb = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.pos"), F.col(f"{b}.pos")
-    lengths = F.least(na, nb) >= F.greatest(na, nb) * SIMILARITY - 1e-9
-    most = F.least(pa, pb) + 1 + F.least(na - pa, nb - pb) - 1
-    return lengths & (most * (1 + SIMILARITY) + 1e-9 >= SIMILARITY * (na + nb))
-
-
-def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(nd, k, tie, line, removed) of every line with words; nd, k and tie tell the document."""
-    spark, keyed = docs.sparkSession, _keyed(docs, doc_id, text)
-    lines = keyed.select("nd", "k", "tie", F.posexplode(F.split("text", "\n")).alias("line", "words")).withColumn("toks", line_tokens(F.col("words")))
-    lines = lines.where(F.size("toks") > 0).withColumn("cls", F.xxhash64("toks"))
-    held = materialize(lines.select("nd", "k", "tie", "line", "cls", "toks"), "lines")
-    # Rarity: RARITY_BUCKETS rows, whatever the corpus.
-    often = {r["b"]: r["n"] for r in held.select(F.explode("toks").alias("t")).groupBy(F.pmod("t", F.lit(RARITY_BUCKETS)).alias("b")).agg(F.count("*").alias("n")).collect()}
-    place = {b: i for i, b in enumerate(sorted(range(RARITY_BUCKETS), key=lambda b: (often.get(b, 0), b)))}
-    ranks = F.split(F.lit(",".join(str(place[b]) for b in range(RARITY_BUCKETS))), ",").cast("array<int>")
-
-    def ordered(t: Column) -> Column:
-        return F.struct(F.element_at(ranks, F.pmod(t, F.lit(RARITY_BUCKETS)).cast("int") + 1).alias("rank"), t.alias("tok"))
-
-    release(spark)
-    first = materialize(held.groupBy("cls").agg(F.min(F.struct("nd", "k", "tie", "line")).alias("first")), "first")
-    release(spark)
-    sized = held.select("cls", F.size("toks").alias("n"), F.sort_array(F.transform("toks", ordered)).alias("all"))
-    prefix = F.slice("all", F.lit(1), F.expr("size(all) div 5") + 1)
-    firsts = materialize(sized.select("cls", "n", F.posexplode(prefix).alias("pos", "at")).select("cls", "n", "pos", "at.tok"), "prefix")
-    shared = firsts.groupBy("tok").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("tok")
-    shared = materialize(shared, "shared")
-    release(spark)
-    met = semi(firsts, shared, "tok").distinct()
-    classes = materialize(met.join(first, "cls").select("tok", F.struct("first", "cls", "n", "pos").alias("r")), "met")
-    discard(firsts)
-    release(spark)
-    involved = classes.select("r.cls").distinct()
-    sets = materialize(semi(held.select("cls", "toks"), involved, "cls").groupBy("cls").agg(F.first("toks").alias("toks")), "sets")
-    release(spark)
-    # The earliest holder of each token against the others.
-    leads = classes.groupBy("tok").agg(F.min("r").alias("lead"))
-    led = classes.join(leads, "tok").where("lead.cls <> r.cls").where(_may_match("lead", "r"))
-    settled = materialize(_verified(led.select(F.col("lead.cls").alias("a"), F.col("r.cls").alias("b")).distinct(), sets).select(F.col("b").alias("cls")).distinct(), "settled")
-    release(spark)
-    # What that leaves against all earlier holders.
-    open_rows = classes.withColumn("cls", F.col("r.cls")).join(settled, "cls", "left_anti").select("tok", F.col("r").alias("late"))
-    rest = open_rows.join(classes.select("tok", F.col("r").alias("early")), "tok").where((F.col("early.first") < F.col("late.first")) & _may_match("early", "late"))
-    late = _verified(rest.select(F.col("early.cls").alias("a"), F.col("late.cls").alias("b")).distinct(), sets).select(F.col("b").alias("cls")).distinct()
-    matched = settled.unionByName(late).distinct().withColumn("matched", F.lit(True))
-    told = held.select("nd", "k", "tie", "line", "cls").join(first, "cls").join(matched, "cls", "left")
-    own = F.struct("nd", "k", "tie", "line") == F.col("first")
-    return told.select("nd", "k", "tie", "line", (~own | F.coalesce("matched", F.lit(False))).alias("removed"))
+    """What the parities and the places of a shared word leave open, for rows of (n, pos, bits, more).
+
+    A word that only one of them has changes one parity, so parities that differ are no more than such words.
+    The place bounds the overlap if the word is the least that both have; a pair alike enough is met there.
+    """
+    n, pos, bits, more = ([F.col(f"{x}.{c}") for x in (a, b)] for c in ("n", "pos", "bits", "more"))
+    every, odd = bits[0].bitwiseXOR(bits[1]), more[0].bitwiseXOR(more[1])
+    long = F.least(*n) >= SECOND_PARITY
+    apart = F.when(long, F.bit_count(every.bitwiseXOR(odd)) + F.bit_count(odd)).otherwise(F.bit_count(every))
+    return (apart * (NUM + DEN) <= (n[0] + n[1]) * (DEN - NUM)) & _enough(F.least(n[0] - pos[0], n[1] - pos[1]), *n)
+
+
+def _levels(lines: DataFrame) -> DataFrame:
+    """One row: the level of each bucket, an array. Level 0 is a bucket that at most one line has a word of."""
+    seen = lines.select(F.explode("toks").alias("t")).groupBy(F.shiftrightunsigned("t", 64 - BUCKET_BITS).alias("id")).agg(F.count("*").alias("n"))
+    level = F.when(F.col("n") > 1, F.least(F.lit(63), F.floor(2 * F.log2("n")))).otherwise(0)
+    every = lines.sparkSession.range(1 << BUCKET_BITS).join(seen, "id", "left").select("id", level.cast("int").alias("level"))
+    # An entry for each bucket, whatever the corpus.
+    listed = every.groupBy().agg(F.array_sort(F.collect_list(F.struct("id", "level"))).alias("all"))
+    return materialize(listed.select(F.transform("all", lambda x: x["level"]).alias("levels")), "levels")
+
+
+def _classes(lines: DataFrame) -> DataFrame:
+    """A row for each class: cls, first (its earliest line), lines, n, bits, more, and head, the rarest words: the prefix and one more."""
+    def ranked(t: Column) -> Column:
+        level = F.coalesce(F.get("levels", F.shiftrightunsigned(t, 64 - BUCKET_BITS).cast("int")), F.lit(0)).cast("bigint")
+        return F.coalesce(F.shiftleft(level, BELOW_LEVEL).bitwiseOR(t.bitwiseAND(F.lit((1 << BELOW_LEVEL) - 1))), F.lit(0).cast("bigint"))
+
+    bits = F.expr("aggregate(toks, 0L, (a, t) -> a ^ shiftleft(1L, cast(t & 63L as int)))")
+    n = F.size("toks")
+    more = F.when(n >= SECOND_PARITY, F.expr("aggregate(toks, 0L, (a, t) -> if(t & 64L = 0L, a, a ^ shiftleft(1L, cast(t & 63L as int))))")).otherwise(F.lit(0).cast("bigint"))
+    head = F.slice(F.sort_array(F.transform("toks", ranked)), F.lit(1), n - F.expr(f"(size(toks) * {NUM} + {DEN} - 1) div {DEN}").cast("int") + 2)
+    # A scalar subquery, used once: so the optimiser puts it where it is used, and no row carries it.
+    rows = lines.withColumn("levels", _levels(lines).scalar()).select("cls", F.struct("nd", "k", "tie", "line").alias("key"), n.alias("n"), bits.alias("bits"), more.alias("more"), head.alias("head"))
+    by = rows.groupBy("cls").agg(F.min("key").alias("first"), F.count("*").alias("lines"), *[F.first(c).alias(c) for c in ("n", "bits", "more", "head")])
+    return materialize(by, "classes", compression="snappy")
+
+
+def _begun(classes: DataFrame) -> DataFrame:
+    """A row for each word of each prefix that other lines may have: pos and tok."""
+    prefix = F.slice("head", F.lit(1), F.col("n") - F.expr(f"(n * {NUM} + {DEN} - 1) div {DEN}").cast("int") + 1)
+    return classes.select("*", F.posexplode(prefix).alias("pos", "tok")).where(F.col("tok") >= 1 << BELOW_LEVEL)
+
+
+def _hot_words(classes: DataFrame) -> DataFrame | None:
+    """The words that begin more than HOT_CLASSES classes, or None; buckets are counted first, then the words of the heavy ones."""
+    words = _begun(classes).select("tok", F.col("tok").bitwiseAND(F.lit(HOT_BUCKETS - 1)).alias("b"))
+    heavy = words.groupBy("b").count().where(F.col("count") > HOT_CLASSES).select("b")
+    within = materialize(heavy, "heavy")
+    hot = materialize(words.join(F.broadcast(within), "b").groupBy("tok").count().where(F.col("count") > HOT_CLASSES).select("tok"), "hot")
+    discard(within)
+    return hot if hot.limit(1).count() else None
+
+
+def _pairs(found: DataFrame, a: str, b: str) -> DataFrame:
+    return found.select(F.col(f"{a}.cls").alias("a"), F.col(f"{b}.cls").alias("b")).distinct()
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The later classes, as cls, of those ``pairs`` (a, b: earlier and later) whose whole sets are alike enough."""
+    with_a = pairs.select("a", "b").join(sets.select(F.col("cls").alias("a"), F.col("toks").alias("ta")), "a")
+    both = with_a.join(sets.select(F.col("cls").alias("b"), F.col("toks").alias("tb")), "b")
+    return both.where(_enough(F.size(F.array_intersect("ta", "tb")), F.size("ta"), F.size("tb"))).select(F.col("b").alias("cls")).distinct()
+
+
+def _cold_pairs(classes: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) of classes that may match, met by a word that is not hot; a and b as their numbers stand."""
+    rows = _begun(classes).select("tok", "cls", "n", "pos", "bits", "more")
+    rows = rows if hot is None else rows.join(if_small(hot), "tok", "left_anti")
+    parts = []
+    for i in range(PASSES):
+        part = rows.where(F.pmod("tok", F.lit(PASSES)) == i)
+        met = part.alias("x").join(part.alias("y"), F.col("x.tok") == F.col("y.tok")).where((F.col("x.cls") < F.col("y.cls")) & _may_match("x", "y"))
+        parts.append(materialize(_pairs(met, "x", "y"), "pairs"))
+    pairs = materialize(reduce(DataFrame.unionByName, parts).distinct(), "pairs")
+    for part in parts:
+        discard(part)
+    return pairs
+
+
+def _hot_rows(classes: DataFrame, hot: DataFrame) -> DataFrame:
+    """A row (key, r) for each hot word of a class and each word after it in its head."""
+    second = F.explode(F.expr("slice(head, pos + 2, size(head))"))
+    rows = _begun(classes).join(if_small(hot), "tok").select("cls", "first", "n", "pos", "bits", "more", "tok", second.alias("next"))
+    return materialize(rows.select(F.xxhash64("tok", "next").alias("key"), F.struct("first", "cls", "n", "pos", "bits", "more").alias("r")), "second")
+
+
+def _late_cold(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Classes of ``pairs`` that match an earlier one. Each is first held against the earliest that it met."""
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "ends")
+    firsts = semi(classes.select("cls", "first"), ends, "cls")
+    told = pairs.join(firsts.select(F.col("cls").alias("a"), F.col("first").alias("fa")), "a").join(firsts.select(F.col("cls").alias("b"), F.col("first").alias("fb")), "b")
+    after = F.col("fa") < F.col("fb")
+    told = materialize(told.select(F.when(after, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(after, F.col("b")).otherwise(F.col("a")).alias("b"), F.least("fa", "fb").alias("since")), "told")
+    settled = materialize(_alike(told.groupBy("b").agg(F.min(F.struct("since", "a")).alias("m")).select("m.a", "b"), sets), "settled")
+    rest = told.join(if_small(settled.select(F.col("cls").alias("b"))), "b", "left_anti")
+    late = materialize(settled.unionByName(_alike(rest, sets)), "late")
+    for part in (ends, told, settled):
+        discard(part)
+    return late
+
+
+def _late_hot(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Classes of ``rows`` that match an earlier one with the same key."""
+    remaining, done = rows, []
+    while True:
+        leads = remaining.groupBy("key").agg(F.min("r").alias("lead"))
+        beside = remaining.join(leads, "key").where(F.col("lead.cls") != F.col("r.cls"))
+        settled = materialize(_alike(_pairs(beside.where(_may_match("lead", "r")), "lead", "r"), sets), "settled")
+        done.append(settled)
+        left = materialize(beside.select("key", "r", F.col("r.cls").alias("cls")).join(if_small(settled), "cls", "left_anti").drop("cls"), "open")
+        before, after = remaining.count(), left.count()
+        if remaining is not rows:
+            discard(remaining)
+        remaining = left
+        if before - after < ROUND_SHARE * before or not after:
+            break
+    met = remaining.select("key", F.col("r").alias("late")).join(rows.select("key", F.col("r").alias("early")), "key")
+    met = met.where((F.col("early.first") < F.col("late.first")) & _may_match("early", "late"))
+    late = materialize(reduce(DataFrame.unionByName, done, _alike(_pairs(met, "early", "late"), sets)).distinct(), "late")
+    for part in (*done, remaining):
+        discard(part)
+    return late
+
+
+def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """nd, k and tie, which tell a document, and the numbers of its lines that go; only documents with such."""
+    keyed = _keyed(docs, doc_id, text)
+    exploded = keyed.select("nd", "k", "tie", F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("line", "words"))
+    tokens = exploded.where(F.trim("words") != "").select("nd", "k", "tie", "line", line_tokens(F.col("words")).alias("toks"))
+    lines = materialize(tokens.select("nd", "k", "tie", "line", F.xxhash64("toks").alias("cls"), "toks"), "lines", **LINE_FILES)
+    classes = _classes(lines)
+    hot = _hot_words(classes)
+    pairs, involved = _cold_pairs(classes, hot), F.explode(F.array("a", "b")).alias("cls")
+    involved = pairs.select(involved)
+    rows = None if hot is None else _hot_rows(classes, hot)
+    if rows is not None:
+        involved = involved.unionByName(rows.select("r.cls"))
+    involved = materialize(involved.distinct(), "involved")
+    sets = materialize(semi(lines.select("cls", "toks"), involved, "cls").groupBy("cls").agg(F.first("toks").alias("toks")), "sets", **LINE_FILES)
+    late = _late_cold(pairs, classes, sets)
+    if rows is not None:
+        late = late.unionByName(_late_hot(rows, sets)).distinct()
+        discard(rows)
+        discard(hot)
+    late = materialize(late.withColumn("late", F.lit(True)), "late")
+    flagged = classes.select("cls", "first", "lines").join(if_small(late, 2), "cls", "left").where("lines > 1 or late")
+    flagged = materialize(flagged.select("cls", "first", F.coalesce("late", F.lit(False)).alias("late")), "flagged")
+    told = semi(lines.select("nd", "k", "tie", "line", "cls"), flagged.select("cls"), "cls").join(flagged, "cls")
+    gone = told.where(F.col("late") | (F.struct("nd", "k", "tie", "line") != F.col("first"))).groupBy("nd", "k", "tie").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    gone = materialize(gone, "gone")
+    for part in (lines, classes, pairs, involved, sets, late, flagged):
+        discard(part)
+    return gone
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -109,8 +226,9 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed and removed (line numbers, from 0) of every document."""
-    gone = classify(docs, doc_id, text).where("removed").groupBy("nd", "k", "tie").agg(F.array_sort(F.collect_set("line")).alias("removed"))
-    rows = _keyed(docs, doc_id, text).select("nd", "k", "tie", F.size(F.split("text", "\n")).alias("n_lines"))
+    gone = removed_lines(docs, doc_id, text)
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    rows = _keyed(docs, doc_id, text).select("nd", "k", "tie", (breaks + 1).alias("n_lines"))
     found = rows.join(gone, ["nd", "k", "tie"], "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return found.select(F.when(~F.col("nd"), F.col("k")).alias("doc_id"), "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed"))
@@ -118,10 +236,10 @@ def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the removed lines taken out of ``text``; null texts stay null."""
-    gone = classify(docs, doc_id, text).where("removed").groupBy("nd", "k", "tie").agg(F.collect_set("line").alias("_gone"))
+    names = unused(docs, "nd", "k", "tie", "removed")
+    gone = removed_lines(docs, doc_id, text).toDF(*names)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_nd": F.col(doc_id).isNull(), "_key": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), "_tie": F.xxhash64(t)})
-    gone = gone.select(F.col("nd").alias("_nd"), F.col("k").alias("_key"), F.col("tie").alias("_tie"), "_gone")
-    joined = keyed.join(gone, ["_nd", "_key", "_tie"], "left")
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), i)), "\n")
+    keys = (F.col(doc_id).isNull(), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), F.xxhash64(t))
+    joined = docs.withColumns(dict(zip(names, keys, strict=False))).join(gone, names[:3], "left")
+    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.coalesce(names[3], F.array().cast("array<int>")), i)), "\n")
     return joined.select(*[F.when(F.col(text).isNotNull(), kept).alias(c) if c == text else F.col(c) for c in docs.columns])
