@@ -8,14 +8,17 @@ apart are at most ``radius // halves`` apart in some block, so each block gets a
 vantage-point tree over the distance in that block alone, which prunes far better than
 the distance over all bits. The top of each tree is built from a bounded sample of
 fingerprints and only routes: a fingerprint has one home shard and is also sent to each
-shard whose boundary its ball crosses. A shard grows its own tree below, prunes branches by
-the triangle inequality, verifies over all 64 bits, and returns a spanning forest of the
-links it found, never the pairs themselves.
+shard whose boundary its ball crosses. Shards are counted, and those that are too large get a sample of
+their own and are divided again, round by round, until none is (or none of its points divides it). A shard
+grows its own tree below, prunes branches by the triangle inequality, verifies over all 64 bits, and returns a
+spanning forest of the links it found, never the pairs themselves.
 
 Cases: a null text counts as empty; texts without words have fingerprint zero and are
 linked like any other; fewer words than a shingle make one shingle; repeated rows and
-ids are all kept; a component of null ids only has a null component_id; an empty table
-gives an empty result. Texts are read whole. Other columns are ignored.
+ids are all kept by ``simhash_groups``; a component of null ids only has a null component_id; an empty table
+gives an empty result. ``keep_one`` keeps one row of each group: of the least id (null last), then the least
+hash of the text, then of the whole row. Texts are read whole. Other columns, whatever their names, are kept by
+``keep_one`` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -27,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, if_small, materialize, unused
 from .components import components
 
 SHINGLE, RADIUS, HALVES, SEED = 4, 4, 2, 42
-#: Fingerprints of a shard at home; those of the sample for each shard, and at most in all.
-SHARD_SIZE, SAMPLE_EACH, SAMPLE_MOST = 8192, 64, 1 << 18
+#: Fingerprints that a shard should have at home, and how many times that it may have; those of the sample for each shard, and at most in a round.
+SHARD_SIZE, SHARD_EXCESS, SAMPLE_EACH, SAMPLE_MOST = 8192, 4, 64, 1 << 18
+#: Copies of a fingerprint from which on it is joined by broadcast: there are no more such than rows over this.
+HOT_COPIES = 10_000
 LEAF = 64
 #: Least share by which a node's larger side must shrink for it to be split.
 MIN_SPLIT = 0.05
@@ -62,15 +67,17 @@ def _fingerprint_batches(shingle: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                got = np.array([fingerprint(t or "", shingle) for t in part.column(1).to_pylist()], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
+                got = np.array([fingerprint(t, shingle) for t in part.column(2).to_pylist()], dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got.view(np.int64))], names=["doc_id", "th", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return chosen.mapInArrow(_fingerprint_batches(shingle), "doc_id long, fp long")
+    """doc_id, th (a hash of the text, null as empty) and fp of every row."""
+    words = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(words).alias("th"), words.alias("text"))
+    return chosen.mapInArrow(_fingerprint_batches(shingle), "doc_id long, th long, fp long")
 
 
 def _distance(a: np.ndarray, b, mask: np.uint64) -> np.ndarray:
@@ -182,21 +189,70 @@ def blocks(halves: int) -> list[np.uint64]:
     return [np.uint64(((1 << (b - a)) - 1) << a) for a, b in zip(edge, edge[1:], strict=False)]
 
 
+def replace_leaves(node, fresh: dict):
+    """The tree with the leaves named in ``fresh`` replaced."""
+    if isinstance(node, int):
+        return fresh.get(node, node)
+    vantage, mu, inner, outer = node
+    return vantage, mu, replace_leaves(inner, fresh), replace_leaves(outer, fresh)
+
+
+def leaves(node) -> list[int]:
+    return [node] if isinstance(node, int) else leaves(node[2]) + leaves(node[3])
+
+
+def _homes(trees, masks):
+    """(shard, fp): where each fingerprint is at home, in each tree."""
+
+    def run(batches):
+        for batch in batches:
+            fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for tree, mask in zip(trees, masks, strict=True):
+                out: list = []
+                route(tree, fps, np.arange(len(fps)), np.ones(len(fps), bool), mask, 0, out)
+                for shard, index, home in out:
+                    index = index[home]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(index), shard, np.int32)), pa.array(fps[index].view(np.int64))], names=["shard", "fp"])
+
+    return run
+
+
+def plant(nodes: DataFrame, masks: list[np.uint64]) -> list:
+    """The routing top of a tree for each mask, grown in rounds until no shard that can be divided is too large."""
+    trees, first, whole = list(range(len(masks))), len(masks), set()
+    n = nodes.count()
+    sizes = dict.fromkeys(trees, n)
+    while True:
+        large = [k for k, size in sizes.items() if size > (SHARD_SIZE if size == n else SHARD_EXCESS * SHARD_SIZE) and k not in whole]
+        if not large:
+            return trees
+        room = max(1, int(math.log2(max(2, SAMPLE_MOST // (SAMPLE_EACH * len(large))))))
+        levels = {k: min(room, math.ceil(math.log2(sizes[k] / SHARD_SIZE))) for k in large}
+        homes = nodes.select("fp").mapInArrow(_homes(trees, masks), "shard int, fp long")
+        # Of each shard the share that gives its sample, by the fingerprints' own hash: about SAMPLE_MOST in all.
+        share = nodes.sparkSession.createDataFrame([(k, int(2**31 * min(1.0, (SAMPLE_EACH << levels[k]) / sizes[k]))) for k in large], "shard int, upto long")
+        picked = homes.join(F.broadcast(share), "shard").where(F.pmod(F.xxhash64("fp"), F.lit(2**31)) < F.col("upto")).select("shard", "fp").collect()
+        by: dict[int, list[int]] = {k: [] for k in large}
+        for r in picked:
+            by[r["shard"]].append(r["fp"])
+        owner = {k: t for t, tree in enumerate(trees) for k in leaves(tree)}
+        fresh = {}
+        for k in large:
+            grown, after = grow(np.sort(np.array(by[k], dtype=np.int64)).view(np.uint64), masks[owner[k]], levels[k], first)
+            if isinstance(grown, int):
+                whole.add(k)
+            else:
+                fresh[k], first = grown, after
+        trees = [replace_leaves(tree, fresh) for tree in trees]
+        sizes = {r["shard"]: r["count"] for r in nodes.select("fp").mapInArrow(_homes(trees, masks), "shard int, fp long").groupBy("shard").count().collect()}
+
+
 def link(nodes: DataFrame, radius: int = RADIUS, halves: int = HALVES) -> DataFrame:
     """(a, b): a spanning forest, shard by shard, of links between the distinct ``fp`` of ``nodes``."""
-    spark = nodes.sparkSession
-    n = nodes.count()
-    levels = max(0, math.ceil(math.log2(max(1, n / SHARD_SIZE))))
-    wanted = min(SAMPLE_MOST, SAMPLE_EACH << levels)
-    # Distinct fingerprints in the order of their own hash: a fair sample, SAMPLE_MOST at most.
-    sample = np.array([r["fp"] for r in nodes.orderBy(F.xxhash64("fp"), "fp").limit(wanted).collect()], dtype=np.int64).view(np.uint64)
     masks, near = blocks(halves), radius // halves
-    trees, first = [], 0
-    for mask in masks:
-        tree, first = grow(sample, mask, levels, first)
-        trees.append(tree)
-    routing = spark.sparkContext.broadcast((trees, masks))
-    owner = [t for t, tree in enumerate(trees) for _ in range(_shards(tree))]
+    trees = plant(nodes, masks)
+    routing = nodes.sparkSession.sparkContext.broadcast((trees, masks))
+    owner = {k: t for t, tree in enumerate(trees) for k in leaves(tree)}
 
     def deal(batches):
         trees, masks = routing.value
@@ -221,18 +277,25 @@ def link(nodes: DataFrame, radius: int = RADIUS, halves: int = HALVES) -> DataFr
     return nodes.select("fp").mapInArrow(deal, "shard int, fp long, home boolean").groupBy("shard").applyInArrow(solve, "a long, b long")
 
 
-def _shards(node) -> int:
-    return 1 if isinstance(node, int) else _shards(node[2]) + _shards(node[3])
+def _rooted(nodes: DataFrame, radius: int, halves: int) -> DataFrame:
+    """``nodes`` with root, which tells their component."""
+    roots = components(link(nodes, radius, halves))
+    return nodes.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
 
 
 def group_fingerprints(prints: DataFrame, radius: int = RADIUS, halves: int = HALVES) -> DataFrame:
     """doc_id, fp, component_id of every row of ``prints`` (doc_id, fp)."""
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(link(nodes, radius, halves))
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "nodes")
+    rooted = materialize(_rooted(nodes, radius, halves), "rooted")
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = rooted.join(names, "root").select("fp", "component_id")
-    return prints.join(placed, "fp").select("doc_id", "fp", "component_id")
+    placed = materialize(rooted.join(names, "root").select("fp", "component_id", "copies"), "placed")
+    discard(nodes)
+    discard(rooted)
+    hot = placed.where(F.col("copies") >= HOT_COPIES).drop("copies")
+    if not hot.limit(1).count():
+        return prints.join(placed.drop("copies"), "fp").select("doc_id", "fp", "component_id")
+    few = prints.join(if_small(hot.select("fp")), "fp", "left_anti").join(placed.where(F.col("copies") < HOT_COPIES).drop("copies"), "fp")
+    return few.unionByName(prints.join(if_small(hot, 2), "fp").select(*few.columns)).select("doc_id", "fp", "component_id")
 
 
 def simhash_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -243,12 +306,23 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, with the least id of each group; one row if the id repeats."""
+    """One row of each group of ``docs``, all columns: the least by id (null last), text hash and row."""
     prints = materialize(fingerprints(docs, doc_id, text, shingle), "prints")
-    groups = materialize(group_fingerprints(prints, radius), "groups")
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_copies"))
-    many = kept.where("_copies > 1").limit(1).count()
-    own = F.col("_kept_id")
-    out = docs.join(kept.select(F.col("doc_id").alias("_kept_id")), F.col(doc_id).cast("long").eqNullSafe(own), "left_semi")
+    row = F.struct(F.col("doc_id").isNull().alias("nd"), F.coalesce("doc_id", F.lit(0)).alias("k"), "th")
+    nodes = materialize(prints.groupBy("fp").agg(F.min(row).alias("least"), F.count("*").alias("copies")), "nodes")
+    best = _rooted(nodes, radius, HALVES).groupBy("root").agg(F.min("least").alias("least")).select("least.nd", "least.k", "least.th")
+    names = unused(docs, "nd", "k", "th")
+    best = materialize(best, "kept").toDF(*names)
+    words = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    keys = (F.col(doc_id).isNull(), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), F.xxhash64(words))
+    out = docs.withColumns(dict(zip(names, keys, strict=True))).join(if_small(best, 3), names, "left_semi")
+    own = prints.select(F.col("doc_id").isNull().alias("nd"), F.coalesce("doc_id", F.lit(0)).alias("k"), "th").toDF(*names)
+    repeated = own.join(if_small(best, 3), names, "left_semi").groupBy(*names).count().where("count > 1").limit(1).count()
     discard(prints)
-    return out.dropDuplicates([doc_id]) if many else out
+    discard(nodes)
+    if not repeated:
+        return out.select(*docs.columns)
+    # Rows with one id and one text: the least of the rows' hashes, found before any shuffle of whole groups.
+    hashed = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])
+    least = out.groupBy(*names).agg(F.min_by(F.struct(*docs.columns), hashed).alias(unused(docs, "row")[0]))
+    return least.select(f"{least.columns[-1]}.*")

@@ -46,9 +46,12 @@ def test_against_brute_force(which, request, corpus):
     assert got == want
 
 
-@pytest.mark.parametrize("shard,halves", [(8, 2), (64, 2), (16, 4), (1 << 20, 1)])
-def test_trees_find_every_link(spark, monkeypatch, shard, halves):
+@pytest.mark.parametrize("shard,halves,most,hot", [(8, 2, 1 << 18, 10_000), (64, 2, 1 << 18, 2), (16, 4, 64, 10_000), (1 << 20, 1, 1 << 18, 3)])
+def test_trees_find_every_link(spark, monkeypatch, shard, halves, most, hot):
     monkeypatch.setattr(sh, "SHARD_SIZE", shard)
+    monkeypatch.setattr(sh, "SHARD_EXCESS", 2)
+    monkeypatch.setattr(sh, "SAMPLE_MOST", most)
+    monkeypatch.setattr(sh, "HOT_COPIES", hot)
     monkeypatch.setattr(sh, "SAMPLE_EACH", 16)
     monkeypatch.setattr(sh, "LEAF", 4)
     rng = random.Random(shard)
@@ -70,6 +73,29 @@ def test_one_row_of_each_group_stays(docs, corpus):
     assert sorted(kept, key=repr) == sorted(set(plain_groups(prints)), key=repr)
 
 
+def test_rows_without_an_id_or_with_one_id_stay_apart(spark):
+    texts = ["alpha beta gamma delta one", "something else altogether here now", "third text of them all it is", "fourth one of its own kind too", "and a fifth that is unlike"]
+    rows = [(None, texts[0], "a"), (None, texts[1], "b"), (None, texts[2], "c"), (7, texts[3], "d"), (7, texts[4], "e"), (7, texts[4], "f"), (9, texts[3], "g"), (None, texts[4], "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, th string").withColumnRenamed("th", "K")
+    kept = sh.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted(r["K"] for r in kept.collect())
+    assert got in (["a", "b", "c", "d", "e"], ["a", "b", "c", "d", "f"])
+    assert sorted(r["K"] for r in sh.keep_one(df.repartition(3)).collect()) == got
+    assert sh.keep_one(df.limit(0)).count() == 0
+
+
+def test_a_large_shard_is_divided_again(spark, monkeypatch):
+    monkeypatch.setattr(sh, "SHARD_SIZE", 16)
+    monkeypatch.setattr(sh, "SAMPLE_MOST", 64)
+    rng = random.Random(8)
+    nodes = spark.createDataFrame([(rng.getrandbits(63),) for _ in range(3000)], "fp long")
+    masks = sh.blocks(2)
+    trees = sh.plant(nodes, masks)
+    homes = nodes.mapInArrow(sh._homes(trees, masks), "shard int, fp long").groupBy("shard").count().collect()
+    assert max(r["count"] for r in homes) <= 16 * sh.SHARD_EXCESS and sum(r["count"] for r in homes) == 6000
+
+
 def test_long_chains_join(spark):
     rows = [(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1000)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}
