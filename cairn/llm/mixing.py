@@ -15,8 +15,10 @@ Ranks within a source come in two steps (counts of hash buckets, then ranks with
 so no task gets more than a bucket of a source, whatever its share of the rows.
 
 Cases: a null source is a source of its own; null and repeated ids are kept, ties going by the
-``tie`` columns; sources without a given share get one share; shares of absent sources are
-unused; an empty table gives an empty result. Columns named like the added ones are replaced.
+``tie`` columns (by a hash of the row, if none are named; equal rows are alike); sources without a given share get one share; shares of absent sources are
+unused; an empty table gives an empty result. Columns named like the three added ones are replaced by ``mix``
+and kept by ``in_mixed_order``; all others are kept, whatever their names. A row for each source, and the
+frame of Q slots, go through the driver: their number is that of sources and shares, not of rows.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import shuffle_partitions, unused
+
 #: Rows of a block; rows that a hash bucket holds on average; sum of the default shares, about.
 BLOCK_ROWS, BUCKET_ROWS, DEFAULT_SHARES = 16, 256, 1000
 
@@ -56,7 +60,10 @@ def frame(shares: list[int]) -> list[tuple[int, int]]:
     return slots
 
 
-def mix(docs: DataFrame, shares: dict[str | None, int] | None = None, block_rows: int = BLOCK_ROWS, seed: int = 42, source: str = "source", doc_id: str = "doc_id", tie: tuple[str, ...] = ()) -> DataFrame:
+ADDED = ("mix_block", "mix_slot", "mix_position")
+
+
+def mix(docs: DataFrame, shares: dict[str | None, int] | None = None, block_rows: int = BLOCK_ROWS, seed: int = 42, source: str = "source", doc_id: str = "doc_id", tie: tuple[str, ...] | None = None) -> DataFrame:
     """``docs`` with mix_block (of its source), mix_slot and mix_position (its place in the mixture)."""
     spark = docs.sparkSession
     # One row for each source.
@@ -65,37 +72,38 @@ def mix(docs: DataFrame, shares: dict[str | None, int] | None = None, block_rows
     names = sorted(counts, key=lambda s: (s is None, s or ""))
     own = [max(1, int(given.get(s, 1))) for s in names]
     bits = max(1, math.ceil(math.log2(max(2, sum(counts.values()) / BUCKET_ROWS))))
-    hashed = (
-        docs.drop("mix_block", "mix_slot", "mix_position")
-        .withColumn("_h", F.xxhash64(F.col(doc_id), F.lit(seed)))
-        .withColumn("_bucket", F.shiftrightunsigned("_h", 64 - bits))
-        .withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")))
-    )
-    sized = hashed.groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
-    ahead = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sized.select("_source", "_bucket", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
-    within = Window.partitionBy("_source", "_bucket").orderBy("_h", doc_id, *tie)
-    ranked = hashed.withColumn("_r", F.row_number().over(within)).join(offsets, ["_source", "_bucket"])
-    ranked = ranked.withColumn("_rank", F.col("_ahead") + F.col("_r") - 1).withColumn("mix_block", F.expr(f"_rank div {block_rows}"))
+    kept = docs.drop(*ADDED)
+    h, bucket, src, size, ahead, r, rank, j, share, slot, last = unused(kept, "h", "bucket", "src", "size", "ahead", "r", "rank", "j", "share", "slot", "last")
+    ties = [F.xxhash64(*[c for c, kind in kept.dtypes if "map<" not in kind])] if tie is None else [F.col(c) for c in tie]
+    hashed = kept.withColumns({h: F.xxhash64(F.col(doc_id), F.lit(seed)), src: F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))}).withColumn(bucket, F.shiftrightunsigned(h, 64 - bits))
+    for i, t in enumerate(ties):
+        hashed = hashed.withColumn(f"{last}{i}", t)
+    ties = [f"{last}{i}" for i in range(len(ties))]
+    sized = hashed.groupBy(src, bucket).agg(F.count("*").alias(size))
+    before = Window.partitionBy(src).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sized.select(src, bucket, F.coalesce(F.sum(size).over(before), F.lit(0)).alias(ahead))
+    within = Window.partitionBy(src, bucket).orderBy(h, doc_id, *ties)
+    ranked = hashed.withColumn(r, F.row_number().over(within)).join(offsets, [src, bucket])
+    ranked = ranked.withColumn(rank, F.col(ahead) + F.col(r) - 1).withColumn("mix_block", F.floor(F.col(rank) / block_rows))
     keys = ["" if s is None else f"={s}" for s in names]
     q = sum(own)
-    rows = [(keys[s], j, own[s], t) for t, (s, j) in enumerate(frame(own))] if own else []
+    rows = [(keys[s], k, own[s], t) for t, (s, k) in enumerate(frame(own))] if own else []
     # Q entries: fixed by the shares, whatever the rows.
-    plan = spark.createDataFrame(rows, "_source string, _j long, _share long, _t long")
-    share = plan.groupBy("_source").agg(F.first("_share").alias("_share"))
+    plan = spark.createDataFrame(rows, f"`{src}` string, `{j}` long, `{share}` long, `{slot}` long")
+    shared = plan.groupBy(src).agg(F.first(share).alias(share))
     placed = (
-        ranked.join(F.broadcast(share), "_source")
-        .withColumn("_j", F.expr("mix_block % _share"))
-        .withColumn("_frame", F.expr("mix_block div _share"))
-        .join(F.broadcast(plan.drop("_share")), ["_source", "_j"])
-        .withColumn("mix_slot", F.col("_frame") * q + F.col("_t"))
-        .withColumn("mix_position", F.col("mix_slot") * block_rows + F.col("_rank") % block_rows)
+        ranked.join(F.broadcast(shared), src)
+        .withColumn(j, F.col("mix_block") % F.col(share))
+        .join(F.broadcast(plan.drop(share)), [src, j])
+        .withColumn("mix_slot", F.floor(F.col("mix_block") / F.col(share)) * q + F.col(slot))
+        .withColumn("mix_position", F.col("mix_slot") * block_rows + F.col(rank) % block_rows)
     )
-    return placed.select(*[c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_position")], "mix_block", "mix_slot", "mix_position")
+    return placed.select(*kept.columns, *ADDED)
 
 
 def in_mixed_order(docs: DataFrame, **kw) -> DataFrame:
     """The rows of ``docs``, its columns only, dealt to partitions and sorted in the order of the mixture."""
-    mixed = mix(docs, **kw)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.repartitionByRange(n, "mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+    names = unused(docs, *ADDED)
+    mixed = mix(docs.withColumnsRenamed({c: n for c, n in zip(ADDED, names, strict=True) if c != n}), **kw)
+    ordered = mixed.repartitionByRange(shuffle_partitions(docs.sparkSession), "mix_position").sortWithinPartitions("mix_position").drop(*ADDED)
+    return ordered.withColumnsRenamed({n: c for c, n in zip(ADDED, names, strict=True) if c != n}).select(*docs.columns)

@@ -61,3 +61,7 @@ def test_odd_tables(empty, clash, docs):
     assert mx.mix(empty).count() == 0
     assert mx.mix(clash).count() == docs.count()
     assert mx.in_mixed_order(clash).columns == clash.columns
+    named = docs.selectExpr("*", "'mine' as h", "'mine' as rank", "'mine' as src", "'mine' as J", "'mine' as mix_slot")
+    for out in (mx.in_mixed_order(named), mx.mix(named)):
+        assert out.where("h = 'mine' and rank = 'mine' and src = 'mine' and J = 'mine'").count() == docs.count()
+    assert mx.in_mixed_order(named).where("mix_slot = 'mine'").count() == docs.count()
