@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, semi
 
 FEATURES = ("words", "distinct", "repeated_pairs", "adjacent", "top_word", "word_bytes", "word_spread", "upper", "stops", "marks", "bars", "digits", "line_words", "entropy", "exclaim")
 #: Shrinkage: weight of the pooled covariance and of the diagonal in each class covariance, and what is added to each scaled variance.
@@ -144,10 +144,14 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(logs[1] - logs[0] + self.prior, -500, 500)))
 
 
+def _marked(labels: DataFrame, label: str, doc_id: str) -> DataFrame:
+    """Distinct (doc_id, y) of the usable labels."""
+    return labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()).distinct()
+
+
 def fit(vectors: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", doc_id: str = "doc_id") -> Discriminant:
     """Learns from all vectors with a label for which ``learn`` (over doc_id) holds."""
-    marked = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()).distinct()
-    rows = vectors.where(F.col("doc_id").isNotNull() & learn).join(marked, "doc_id").select("x", "y")
+    rows = vectors.where(F.col("doc_id").isNotNull() & learn).join(_marked(labels, label, doc_id), "doc_id").select("x", "y")
     sums = rows.mapInArrow(_moment_batches, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect()
     p = len(FEATURES)
     flat = np.zeros((2, 1 + p + p * p))
@@ -156,6 +160,13 @@ def fit(vectors: DataFrame, labels: DataFrame, learn: Column, label: str = "qual
     return Discriminant(flat[:, 0], flat[:, 1 : 1 + p], flat[:, 1 + p :].reshape(2, p, p))
 
 
+def fit_texts(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", doc_id: str = "doc_id", text: str = "text") -> Discriminant:
+    """``fit``, with vectors of none but the documents that it learns from (``learn`` over doc_id)."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    taught = rows.where(F.col("doc_id").isNotNull() & learn)
+    return fit(features(semi(taught, _marked(labels, label, doc_id).select("doc_id").distinct(), "doc_id")), labels, learn, label, doc_id)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, held_out: Column, threshold: float = REJECT_BELOW) -> DataFrame:
     """doc_id, held_out, score and predicted of every document (``learn`` and ``held_out`` over doc_id)."""
     vectors = materialize(features(docs), "quality")

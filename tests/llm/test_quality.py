@@ -55,7 +55,9 @@ def test_without_labels_or_rows(empty, docs, labels):
 
 def test_kept_rows_are_whole(docs, labels):
     apart = F.lit(False)
-    model = q.fit(q.features(docs), labels, ~apart)
+    model = q.fit_texts(docs, labels, ~apart)
+    x = np.stack([q.statistics(t) for t in ("", "one two", "x " * 50)])
+    assert np.allclose(model.score(x), q.fit(q.features(docs), labels, ~apart).score(x))
     kept = q.keep_quality(docs, model)
     assert kept.columns == docs.columns
     good = q.score_quality(docs, labels, ~apart, apart).where("predicted = 1").count()
