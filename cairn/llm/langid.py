@@ -7,7 +7,10 @@ languages of the summed scores, flattened by ``TEMPER``, gives the prediction an
 
 The tables come from a bounded sample: ``SAMPLE_ROWS`` labelled rows of each language, picked by
 the hash of their id (all of them where there are fewer), whole texts; words and n-grams need
-two occurrences. So what goes to the tasks does not grow with the corpus. Predictions cover all rows.
+two occurrences. What goes to the tasks is a sorted array of hashes and a row of numbers for each, by kind: bounded for
+each language, and no more than the sample holds. Predictions cover all rows.
+
+A letter is what Unicode files as one (general category L): digits, superscripts, fractions and numerals are none.
 
 Cases: null, empty or letterless text gives ``und`` and score 0; rows with a null lang or null
 id are never learned from; ties between languages go to the first in order; without any
@@ -17,7 +20,6 @@ repeated rows are predicted alike.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
@@ -29,23 +31,30 @@ UNDETERMINED = "und"
 #: Labelled rows of a language that are learned from, at most; lengths of n-grams, longest first.
 SAMPLE_ROWS, ORDERS = 3000, (5, 4, 3, 2, 1)
 MIN_COUNT, SMOOTHING, TEMPER = 2, 0.5, 0.5
-#: Unseen words whose scores a worker remembers.
-MEMO_ENTRIES = 200_000
+#: Letters of the texts that are scored at a time.
+SLICE_BYTES = 8 << 20
+
+_FACTORS = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(max(ORDERS))], dtype=np.uint64)
+
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+def _pattern():
+    import regex
+
+    return regex.compile(r"\p{L}+")
 
 
 def letters(text: str) -> list[str]:
     """Lower-cased runs of letters."""
-    return _LETTERS.findall(text.lower())
+    return _pattern().findall(text.lower())
 
 
 def _count_batches(batches):
     """Words and n-grams of the sampled rows, as (lang, kind, gram, n); kind 0 is whole words."""
     totals: dict[str, Counter] = {}
+    find = _pattern().findall
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            totals.setdefault(lang, Counter()).update(letters(text or ""))
+            totals.setdefault(lang, Counter()).update(find((text or "").lower()))
     for lang, words in totals.items():
         grams: dict[int, Counter] = {0: words}
         for k in ORDERS:
@@ -66,52 +75,107 @@ def _count_batches(batches):
                 )
 
 
+def word_hashes(words: list[str]) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter((xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+
+
+def gram_hashes(points: np.ndarray, k: int) -> np.ndarray:
+    """The hash of each run of k code points."""
+    n = max(0, len(points) - k + 1)
+    total = np.zeros(n, np.uint64)
+    for i in range(k):
+        total += (points[i : i + n] + np.uint64(1)) * _FACTORS[i]
+    return (total ^ (total >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+class Table:
+    """Hashes in order, and a row of log frequencies by language, less their mean, for each."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        n = counts[order].astype(np.float64)
+        share = np.log((n + SMOOTHING) / (n.sum(axis=0) + SMOOTHING * max(1, len(n))))
+        self.shares = share - share.mean(axis=1, keepdims=True) if len(n) else share
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+
 class Backoff:
-    """Log frequencies of words and n-grams by language; ``predict`` scores one text."""
-
-    def __init__(self, langs: list[str], counts: dict[int, dict[str, np.ndarray]]):
-        self.langs = langs
-        self.tables: dict[int, dict[str, np.ndarray]] = {}
-        for kind, grams in counts.items():
-            if not grams:
-                self.tables[kind] = {}
-                continue
-            n = np.stack(list(grams.values())).astype(np.float64)
-            share = np.log((n + SMOOTHING) / (n.sum(axis=0) + SMOOTHING * len(n)))
-            share -= share.mean(axis=1, keepdims=True)
-            self.tables[kind] = dict(zip(grams, share, strict=True))
-        self.memo: dict[str, np.ndarray] = {}
-
-    def unseen(self, word: str) -> np.ndarray:
-        """The longest known n-grams from the left; skips a character that no order knows."""
-        got = self.memo.get(word)
-        if got is None:
-            got, framed, i = np.zeros(len(self.langs)), f"<{word}>", 0
-            while i < len(framed):
-                for k in ORDERS:
-                    gram = framed[i : i + k]
-                    if len(gram) == k and (v := self.tables.get(k, {}).get(gram)) is not None:
-                        got = got + v
-                        i += k
-                        break
-                else:
-                    i += 1
-            if len(self.memo) >= MEMO_ENTRIES:
-                self.memo.clear()
-            self.memo[word] = got
-        return got
-
-    def predict(self, text: str) -> tuple[str, float]:
-        found = letters(text)
-        if not found or not self.langs:
-            return UNDETERMINED, 0.0
-        known, total = self.tables.get(0, {}), np.zeros(len(self.langs))
-        for word, n in Counter(found).items():
-            v = known.get(word)
-            total += n * (v if v is not None else self.unseen(word))
-        p = np.exp(TEMPER * (total - total.max()))
-        best = int(np.argmax(p))
-        return self.langs[best], float(p[best] / p.sum())
+    """Log frequencies of words and n-grams by language; ``predict`` scores texts."""
+
+    def __init__(self, langs: list[str], tables: dict[int, Table]):
+        self.langs, self.tables = langs, tables
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """The sum, for each word, over its longest known n-grams from the left; a character that no order knows is skipped."""
+        out = np.zeros((len(words), len(self.langs)))
+        if not words:
+            return out
+        framed = [f"<{w}>" for w in words]
+        points = code_points("".join(framed))
+        sizes = np.fromiter(map(len, framed), np.int64, len(framed))
+        ends = np.cumsum(sizes)
+        left = np.repeat(ends, sizes) - np.arange(len(points))
+        # For each place: the longest order known there, and its row.
+        order, row = np.zeros(len(points), np.int64), np.zeros(len(points), np.int64)
+        for k in ORDERS:
+            at = self.tables[k].find(gram_hashes(points, k))
+            fits = np.nonzero((at >= 0) & (left[: len(at)] >= k) & (order[: len(at)] == 0))[0]
+            order[fits], row[fits] = k, at[fits]
+        # One step of all words at a time.
+        at, word = ends - sizes, np.arange(len(words))
+        while len(at):
+            k = order[at]
+            for n in ORDERS:
+                on = k == n
+                out[word[on]] += self.tables[n].shares[row[at[on]]]
+            at = at + np.maximum(k, 1)
+            more = at < ends[word]
+            at, word = at[more], word[more]
+        return out
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """The language and score of each text."""
+        find, index = _pattern().findall, {}
+        ids: list[int] = []
+        counts: list[int] = []
+        sizes = np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            found = Counter(find(text.lower())) if text else {}
+            sizes[i] = len(found)
+            for w, n in found.items():
+                ids.append(index.setdefault(w, len(index)))
+                counts.append(n)
+        langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        if not ids or not self.langs:
+            return langs, scores
+        words = list(index)
+        at = self.tables[0].find(word_hashes(words))
+        rows = np.zeros((len(words), len(self.langs)))
+        rows[at >= 0] = self.tables[0].shares[at[at >= 0]]
+        new = np.nonzero(at < 0)[0]
+        rows[new] = self.unseen([words[i] for i in new.tolist()])
+        some = np.nonzero(sizes)[0]
+        starts = (np.cumsum(sizes) - sizes)[some]
+        total = np.add.reduceat(rows[ids] * np.array(counts, np.float64)[:, None], starts)
+        p = np.exp(TEMPER * (total - total.max(axis=1, keepdims=True)))
+        best = p.argmax(axis=1)
+        scores[some] = p[np.arange(len(p)), best] / p.sum(axis=1)
+        for i, b in zip(some.tolist(), best.tolist(), strict=True):
+            langs[i] = self.langs[b]
+        return langs, scores
 
 
 def fit(docs: DataFrame, learn: Column, lang: str = "lang", doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> Backoff:
@@ -124,26 +188,33 @@ def fit(docs: DataFrame, learn: Column, lang: str = "lang", doc_id: str = "doc_i
     # The share of hash values that takes SAMPLE_ROWS of each language.
     cut = F.coalesce(*[F.when(F.col(lang) == x, F.lit(int(2**31 * min(1.0, sample_rows / n)))) for x, n in sizes.items()])
     sample = rows.where(F.pmod(F.xxhash64(doc_id), F.lit(2**31)) < cut)
-    counted = sample.select(lang, text).mapInArrow(_count_batches, "lang string, kind int, gram string, n long").groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))
-    by_gram = counted.groupBy("kind", "gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    table = by_gram.where(F.col("all") >= MIN_COUNT).select("kind", "gram", *[F.coalesce(F.col("by")[x], F.lit(0)).alias(f"n{i}") for i, x in enumerate(langs)])
-    counts: dict[int, dict[str, np.ndarray]] = {k: {} for k in (0, *ORDERS)}
-    for r in table.toLocalIterator():
-        counts[r["kind"]][r["gram"]] = np.array(r[2:], dtype=np.int64)
-    return Backoff(langs, counts)
+    counted = sample.select(lang, text).mapInArrow(_count_batches, "lang string, kind int, gram string, n long")
+    # The pivot adds up by n-gram; what the sample holds, at most, comes to the driver.
+    of = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(langs)]
+    found = counted.groupBy("kind", "gram").agg(F.sum("n").alias("all"), *of).where(F.col("all") >= MIN_COUNT).drop("all").toArrow()
+    kinds = found.column("kind").to_numpy()
+    counts = np.stack([found.column(f"n{i}").to_numpy() for i in range(len(langs))], axis=1)
+    tables = {}
+    for kind in (0, *ORDERS):
+        own = np.nonzero(kinds == kind)[0]
+        grams = found.column("gram").take(pa.array(own)).to_pylist()
+        hashes = gram_hashes(code_points("".join(grams)), kind)[::kind] if kind and grams else word_hashes(grams)
+        tables[kind] = Table(hashes, counts[own])
+    return Backoff(langs, tables)
 
 
 def predict(docs: DataFrame, model: Backoff, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred and score of every document."""
+    from .common import slices
+
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         model = held.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                got = [model.predict(t or "") for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
+            for at, rows in slices(batch.column(1), SLICE_BYTES):
+                langs, scores = model.predict(batch.column(1).slice(at, rows).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return chosen.mapInArrow(run, "doc_id long, lang_pred string, score double")

@@ -27,7 +27,6 @@ import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import discard, fresh_path, materialize, shuffle_partitions
+from .common import discard, fresh_path, materialize, shuffle_partitions, slices
 
 MAGIC = b"CRNTOK01"
 HEADER = struct.Struct("<8sQQQQ")
@@ -212,16 +211,6 @@ def _matches(texts: pa.Array, pattern: str) -> np.ndarray:
     return pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)
 
 
-def slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
-    """(start, rows) of slices of about ``most`` bytes of text, a row at least."""
-    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    ends, at = np.cumsum(sizes), 0
-    while at < len(sizes):
-        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
-        yield at, upto - at
-        at = upto
-
-
 def _encode_batches(path: str, end_id: int | None, size: int):
     """Rows with their ids; after a task's last, a row with the counts of its ids."""
 

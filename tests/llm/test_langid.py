@@ -31,18 +31,38 @@ def test_held_out_accuracy(spark):
 def test_unseen_words_back_off(spark):
     df = spark.createDataFrame(samples(2, 300), SCHEMA)
     model = langid.fit(df, F.lit(True))
-    assert "schteischteischteiachund" not in model.tables[0]
-    assert model.predict("Schteischteischteiachund")[0] == "bb"
-    assert np.array_equal(model.unseen("kalo"), model.unseen("kalo"))
+    assert model.tables[0].find(langid.word_hashes(["schteischteischteiachund"]))[0] < 0
+    assert model.predict(["Schteischteischteiachund"])[0] == ["bb"]
+    words = ["kalo", "quxeau", "\U0001f600", "scht", "zzz", "q", "kalokalomi"]
+    for word, got in zip(words, model.unseen(words), strict=True):
+        want, framed, i = np.zeros(3), f"<{word}>", 0
+        while i < len(framed):
+            for k in langid.ORDERS:
+                gram = framed[i : i + k]
+                at = model.tables[k].find(langid.gram_hashes(langid.code_points(gram), k))[0] if len(gram) == k else -1
+                if at >= 0:
+                    want, i = want + model.tables[k].shares[at], i + k
+                    break
+            else:
+                i += 1
+        assert np.allclose(got, want)
+    assert model.unseen([]).shape == (0, 3)
+
+
+def test_numbers_are_no_letters(spark):
+    df = spark.createDataFrame([*samples(2, 60), (900, "²³ ½ Ⅷ ①", "aa"), (901, "12 _ ٣", "aa"), (902, None, "aa")], SCHEMA)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(df, langid.fit(df, F.lit(True))).collect()}
+    assert {got[i] for i in (900, 901, 902)} == {("und", 0.0)} and got[0][0] == "aa"
+    assert langid.letters("aÉ½b Ⅷç_d9e") == ["aé", "b", "ç", "d", "e"]
 
 
 def test_sample_is_bounded_and_null_langs_teach_nothing(spark):
     rows = samples(3, 300) + [(1000 + i, "zzzz yyyy xxxx", None) for i in range(20)]
     df = spark.createDataFrame(rows, SCHEMA)
     model = langid.fit(df, F.lit(True), sample_rows=20)
-    assert "zzzz" not in model.tables[0] and model.langs == ["aa", "bb", "cc"]
+    assert model.tables[0].find(langid.word_hashes(["zzzz"]))[0] < 0 and model.langs == ["aa", "bb", "cc"]
     whole = langid.fit(df, F.lit(True))
-    assert len(model.tables[0]) < len(whole.tables[0])
+    assert len(model.tables[0].hashes) < len(whole.tables[0].hashes)
 
 
 def test_odd_rows(spark, docs, clash, empty, corpus):
