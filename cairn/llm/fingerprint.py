@@ -2,8 +2,10 @@
 
 A text's sketch is the sorted set of its shingle hashes whose ``BITS`` leading bits are zero,
 the same fixed fraction of hash values for every text. So sketches of any two texts can be
-compared (likeness, containment) or merged, however unequal the texts. A text whose sketch
-would be empty keeps its least hash instead, so that short texts stay comparable.
+compared (likeness, containment) or merged, however unequal the texts. A text of at most ``WHOLE``
+distinct shingles keeps the others too. Two such sketches are compared whole; any other two by the hashes
+below the threshold, which both have all of. Where a text has none there, its containment is not known from its sketch: null.
+(A sketch all of which lies below the threshold passes for a sampled one, whatever its size.)
 
 Cases: a null text counts as empty; a text without words has the empty sketch, like only to
 other empty ones; fewer words than a shingle make one shingle; repeated words and rows change
@@ -21,7 +23,7 @@ from pyspark.sql.window import Window
 
 from .common import words
 
-SHINGLE, BITS = 5, 2
+SHINGLE, BITS, WHOLE = 5, 3, 64
 #: Rows of a bucket in ``with_next``, on average; buckets at most (beyond, buckets grow and spill).
 BUCKET_ROWS, MOST_BUCKETS = 1024, 1 << 16
 
@@ -43,35 +45,52 @@ def shingle_hashes(text: Column, shingle: int = SHINGLE) -> Column:
     return let(F.transform(words(text), lambda w: F.xxhash64(w)), of)
 
 
-def sketch(text: Column, shingle: int = SHINGLE, bits: int = BITS) -> Column:
+def _below(s: Column, bits: int) -> Column:
+    return F.filter(s, lambda x: F.shiftrightunsigned(x, 64 - bits) == 0)
+
+
+def _whole(s: Column, bits: int) -> Column:
+    """Whether a sketch is known to hold all hashes of its text."""
+    return (F.size(s) == 0) | F.exists(s, lambda x: F.shiftrightunsigned(x, 64 - bits) != 0)
+
+
+def sketch(text: Column, shingle: int = SHINGLE, bits: int = BITS, whole: int = WHOLE) -> Column:
     """The sketch of a text: array<bigint>, sorted."""
 
-    def of(h: Column) -> Column:
-        low = F.filter(h, lambda x: F.shiftrightunsigned(x, 64 - bits) == 0)
-        return let(low, lambda k: F.when(F.size(k) > 0, F.sort_array(F.array_distinct(k))).when(F.size(h) > 0, F.array(F.array_min(h))).otherwise(k))
+    def of(d: Column) -> Column:
+        return F.sort_array(F.when(F.size(d) <= whole, d).otherwise(_below(d, bits)))
 
-    return let(shingle_hashes(text, shingle), of)
+    return let(F.array_distinct(shingle_hashes(text, shingle)), of)
 
 
-def merged(a: Column, b: Column, bits: int = BITS) -> Column:
+def merged(a: Column, b: Column, bits: int = BITS, whole: int = WHOLE) -> Column:
     """The sketch of two texts' shingles together."""
 
     def of(u: Column) -> Column:
-        low = F.filter(u, lambda x: F.shiftrightunsigned(x, 64 - bits) == 0)
-        return F.when(F.size(low) > 0, low).when(F.size(u) > 0, F.array(F.array_min(u))).otherwise(u)
+        return F.when(_whole(a, bits) & _whole(b, bits) & (F.size(u) <= whole), u).otherwise(_below(u, bits))
 
     return let(F.sort_array(F.array_union(a, b)), of)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity; 1 for two empty sketches."""
-    both = F.size(F.array_intersect(a, b))
-    return let(both, lambda n: F.when(F.size(a) + F.size(b) > 0, n / (F.size(a) + F.size(b) - n)).otherwise(F.lit(1.0)))
+def _shared(a: Column, b: Column, bits: int, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of the parts of two sketches that can be compared."""
+    both = F.when(_whole(a, bits) & _whole(b, bits), F.array(a, b)).otherwise(F.array(_below(a, bits), _below(b, bits)))
+    return let(both, lambda p: body(F.get(p, 0), F.get(p, 1)))
+
+
+def likeness(a: Column, b: Column, bits: int = BITS) -> Column:
+    """Estimated Jaccard similarity; 1 for two equal sketches, 0 for others without a hash to compare."""
+
+    def of(x: Column, y: Column) -> Column:
+        return let(F.size(F.array_intersect(x, y)), lambda n: F.when(F.size(x) + F.size(y) > 0, n / (F.size(x) + F.size(y) - n)).otherwise(F.lit(0.0)))
+
+    return F.when(a == b, F.lit(1.0)).otherwise(_shared(a, b, bits, of))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has; 1 if a is empty."""
-    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(F.lit(1.0))
+def containment(a: Column, b: Column, bits: int = BITS) -> Column:
+    """Estimated share of a's shingles that b has; 1 if a is empty, null if no hash of a can be compared."""
+    share = _shared(a, b, bits, lambda x, y: F.when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.size(x)))
+    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(share)
 
 
 def as_text(s: Column) -> Column:
