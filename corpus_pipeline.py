@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cairn.llm.common import fresh_path, remainder, table
 from cairn.llm.decontaminate import drop_contaminated
 from cairn.llm.mixing import in_mixed_order, mix
-from cairn.llm.quality import features, fit, keep_quality
+from cairn.llm.quality import fit_texts, keep_quality
 from cairn.llm.simhash import keep_one
 from cairn.llm.token_output import token_output
 
@@ -21,9 +21,7 @@ from cairn.llm.token_output import token_output
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects; learns from labelled documents that are not held out."""
     apart = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
-    labels = table(spark, sf_dir, "labels")
-    model = fit(features(docs), labels, ~apart)
-    return keep_quality(docs, model)
+    return keep_quality(docs, fit_texts(docs, table(spark, sf_dir, "labels"), ~apart))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
