@@ -106,6 +106,19 @@ def semi(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     return df.join(if_small(ids), on, "left_semi")
 
 
+#: Rows of one key from which on it is joined by broadcast; there are no more such keys than rows over this.
+HOT_ROWS = 10_000
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, on: str, count: str, longs: int = 2) -> DataFrame:
+    """``rows`` joined with ``keyed``, a row for each key with the ``count`` of its rows (dropped): hot keys by broadcast, the rest by a shuffle."""
+    hot, few = keyed.where(F.col(count) >= HOT_ROWS).drop(count), keyed.where(F.col(count) < HOT_ROWS).drop(count)
+    if not hot.limit(1).count():
+        return rows.join(few, on)
+    cold = rows.join(if_small(hot.select(on)), on, "left_anti").join(few, on)
+    return cold.unionByName(rows.join(if_small(hot, longs), on))
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores put before it until ``df`` has no column of that name."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -30,14 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, if_small, materialize, unused
+from .common import discard, if_small, join_hot, materialize, unused
 from .components import components
 
 SHINGLE, RADIUS, HALVES, SEED = 4, 4, 2, 42
 #: Fingerprints that a shard should have at home, and how many times that it may have; those of the sample for each shard, and at most in a round.
 SHARD_SIZE, SHARD_EXCESS, SAMPLE_EACH, SAMPLE_MOST = 8192, 4, 64, 1 << 18
-#: Copies of a fingerprint from which on it is joined by broadcast: there are no more such than rows over this.
-HOT_COPIES = 10_000
 LEAF = 64
 #: Least share by which a node's larger side must shrink for it to be split.
 MIN_SPLIT = 0.05
@@ -291,11 +289,7 @@ def group_fingerprints(prints: DataFrame, radius: int = RADIUS, halves: int = HA
     placed = materialize(rooted.join(names, "root").select("fp", "component_id", "copies"), "placed")
     discard(nodes)
     discard(rooted)
-    hot = placed.where(F.col("copies") >= HOT_COPIES).drop("copies")
-    if not hot.limit(1).count():
-        return prints.join(placed.drop("copies"), "fp").select("doc_id", "fp", "component_id")
-    few = prints.join(if_small(hot.select("fp")), "fp", "left_anti").join(placed.where(F.col("copies") < HOT_COPIES).drop("copies"), "fp")
-    return few.unionByName(prints.join(if_small(hot, 2), "fp").select(*few.columns)).select("doc_id", "fp", "component_id")
+    return join_hot(prints, placed, "fp", "copies").select("doc_id", "fp", "component_id")
 
 
 def simhash_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from cairn.llm import common
 from cairn.llm import simhash as sh
 from cairn.llm.components import components
 
@@ -51,7 +52,7 @@ def test_trees_find_every_link(spark, monkeypatch, shard, halves, most, hot):
     monkeypatch.setattr(sh, "SHARD_SIZE", shard)
     monkeypatch.setattr(sh, "SHARD_EXCESS", 2)
     monkeypatch.setattr(sh, "SAMPLE_MOST", most)
-    monkeypatch.setattr(sh, "HOT_COPIES", hot)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     monkeypatch.setattr(sh, "SAMPLE_EACH", 16)
     monkeypatch.setattr(sh, "LEAF", 4)
     rng = random.Random(shard)
