@@ -18,7 +18,19 @@ BROADCAST_ROWS = 2_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows of texts that go to Python at a time: with Spark's 10,000 a batch of long texts takes tens of MB, several times over.
+TEXT_ROWS = 2000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Has Arrow batches hold no more than TEXT_ROWS rows from now on."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > TEXT_ROWS:
+        spark.conf.set(key, TEXT_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -4,35 +4,43 @@ Fixed masks over runs of ``SPAN`` words say which positions count and which are
 so that a run still matches where a word was put in another's place. The masks hit whatever
 verification accepts: a stretch of 20 words or more that agrees in ``MIN_SHARE`` has a part of 10 to
 19 words that does; that has 10 words with at most two others, or 15 with at most three, and for each
-such pattern some mask lies on agreeing words (shown by enumeration in the tests). All masked runs of
-the benchmark are hashed; documents are scanned once for each block of the benchmark and
-never shuffled. A hit is verified around itself: along its diagonal the overlap of
-document and item is scored, word for word, and counts as a leak where a stretch of at
-least ``MIN_WORDS`` words (or the whole item, if shorter) agrees in ``MIN_SHARE`` of its words.
+such pattern some mask lies on agreeing words (shown by enumeration in the tests).
 
-The benchmark is read in blocks of about ``BLOCK_WORDS`` words, by hash of the item, so that
-what is sent to the tasks keeps its size however large the benchmark gets.
+The masked runs of the benchmark are a table of hashes. A table of bits, of a size bounded by ``MOST_BITS``, tells
+which hashes it may hold; documents are scanned once, and what passes is joined with the table. Both sides bring
+the words around the run, 16 bits of each: only a document and an item that agree there well enough for a part of
+MIN_WORDS to 2 * MIN_WORDS - 1 words go on. Their texts are fetched and verified: along each diagonal of a hit the overlap of
+document and item is scored, word for word, and counts as a leak where a stretch of at least ``MIN_WORDS`` words (or
+the whole item, if shorter) agrees in ``MIN_SHARE`` of its words. Documents with one text, told by its 64-bit hash, are
+judged once. (Beyond some millions of masked runs the bits let ever more hashes pass to the join, which sorts them out.)
 
 Cases: null or empty texts, of documents or items, match nothing; an item of fewer than
 ``MIN_WORDS`` words is sought by its halves, one of which is whole if the item agrees in its share, and below five
 words, where no word may differ, as a whole; a null item_id is reported as null; repeated
-items or documents are judged one by one; an empty table on either side gives no leaks.
-Words are lower-cased (A-Z); punctuation at a word's ends is ignored. Texts are read whole.
+items are reported once for each id, repeated documents each; an empty table on either side gives no leaks.
+Words are lower-cased (A-Z); punctuation at a word's ends is ignored. Texts are read whole. Other columns are
+kept, whatever their names, but for one named as ``find_leaks`` is told to name its own.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .common import discard, if_small, materialize, semi, slices, unused
 
 #: Masks of six words that count, all within the first MIN_WORDS.
 MASKS = ("110101011000", "111100110000", "110111100000", "111111000000", "111001011000")
 SPAN = 12
 MIN_WORDS, MIN_SHARE = 10, 0.8
-BLOCK_WORDS = 2_000_000
+#: Bits of the table for each masked run, and the power of two that bounds it (16 MB); that of a part in which it is put together.
+BITS_EACH, MOST_BITS, CHUNK_BITS = 256, 27, 15
+#: Words before and from a hit on that a part it lies in may take.
+BEFORE, AFTER = 2 * MIN_WORDS - 2, 2 * MIN_WORDS - 1
+#: Text that is scanned at a time.
+SLICE_BYTES = 4 << 20
 EDGE = b".,;:!?\"'()[]"
 
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(64)], dtype=np.uint64)
@@ -51,12 +59,12 @@ def word_codes(text: str) -> np.ndarray:
     return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
 
 
-def masked(codes: np.ndarray, mask: str) -> np.ndarray:
+def masked(codes: np.ndarray, mask: str, salt: int = 0) -> np.ndarray:
     """The hash of every run under ``mask``, ignoring its zeros."""
     n = len(codes) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.zeros(n, np.uint64)
+    total = np.full(n, salt, np.uint64)
     for i, c in enumerate(mask):
         if c == "1":
             total += codes[i : i + n] * _FACTORS[i]
@@ -69,73 +77,67 @@ def short_masks(size: int) -> tuple[str, ...]:
     return ("1" * half + "0" * (size - half), "0" * half + "1" * (size - half)) if size >= 5 else ("1" * size,)
 
 
-class Index:
-    """The masked runs of a block of items, sorted by hash; those of short items by their size and mask."""
-
-    def __init__(self, items: list[tuple[int | None, str | None]]):
-        self.ids = [i for i, _ in items]
-        self.codes = [word_codes(t or "") for _, t in items]
-        sizes = sorted({len(c) for c in self.codes if 0 < len(c) < MIN_WORDS})
-        self.runs = [(mask, self._runs(mask, lambda n: n >= MIN_WORDS)) for mask in MASKS]
-        self.short = [(mask, self._runs(mask, lambda n, size=size: n == size)) for size in sizes for mask in short_masks(size)]
-        # A fixed table of bits that any masked run must hit: most of a document stops here.
-        self.bits = np.zeros(1 << 20, bool)
-        for _, (h, _, _) in self.runs:
-            self.bits[(h >> np.uint64(44)).astype(np.int64)] = True
-
-    def _runs(self, mask: str, fits):
-        hashes, item, at = [], [], []
-        for k, codes in enumerate(self.codes):
-            got = masked(self.padded(codes) if len(codes) >= MIN_WORDS else codes, mask) if fits(len(codes)) else codes[:0]
-            hashes.append(got)
-            item.append(np.full(len(got), k, np.int32))
-            at.append(np.arange(len(got), dtype=np.int32))
-        if not hashes:
-            return np.zeros(0, np.uint64), None, None
-        h = np.concatenate(hashes)
+def padded(codes: np.ndarray, room: int = SPAN - 1) -> np.ndarray:
+    """``codes`` with room for the ignored end of a mask."""
+    return np.concatenate([codes, np.zeros(room, np.uint64)])
+
+
+def around(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """16 bits of each word from BEFORE before to AFTER after each place; 0 where there is none."""
+    small = np.where(codes > 0, np.maximum(codes >> np.uint64(48), np.uint64(1)), np.uint64(0)).astype("<u2")
+    room = np.concatenate([np.zeros(BEFORE, "<u2"), small, np.zeros(AFTER, "<u2")])
+    return room[at[:, None] + np.arange(BEFORE + AFTER)]
+
+
+def may_agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether two rows of words agree in MIN_SHARE of some part of MIN_WORDS to 2 * MIN_WORDS - 1."""
+    sums = np.cumsum(np.pad((a == b) & (a > 0), ((0, 0), (1, 0))), axis=1)
+    out = np.zeros(len(a), bool)
+    for n in range(MIN_WORDS, 2 * MIN_WORDS):
+        out |= (sums[:, n:] - sums[:, :-n] >= MIN_SHARE * n - 1e-9).any(axis=1)
+    return out
+
+
+def _rows(arrays: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in arrays], pa.binary())
+
+
+def seeds(codes: np.ndarray, sizes: tuple[int, ...] = ()) -> list[np.ndarray]:
+    """Hashes by position for each mask: of padded ``codes``, and of those of short items of ``sizes``."""
+    own = [masked(codes, mask, 1 + i) for i, mask in enumerate(MASKS)]
+    return own + [masked(codes, mask, 100 + 2 * size + i) for size in sizes for i, mask in enumerate(short_masks(size))]
+
+
+def item_seeds(codes: np.ndarray) -> list[np.ndarray]:
+    if len(codes) >= MIN_WORDS:
+        return seeds(padded(codes))
+    return seeds(codes, (len(codes),))[len(MASKS) :] if len(codes) else []
+
+
+def diagonals(codes: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Where, in a document, an item would begin by any hit."""
+    out = []
+    short = (len(own),) if len(own) < MIN_WORDS else ()
+    mine = seeds(codes, short)[len(MASKS) :] if short else seeds(padded(codes))
+    for got, h in zip(mine, item_seeds(own), strict=True):
         order = np.argsort(h, kind="stable")
-        return h[order], np.concatenate(item)[order], np.concatenate(at)[order]
-
-    @staticmethod
-    def padded(codes: np.ndarray) -> np.ndarray:
-        """``codes`` with room for the ignored end of a mask."""
-        return np.concatenate([codes, np.zeros(SPAN - 1, np.uint64)])
-
-    def hits(self, codes: np.ndarray):
-        """(document position, item, item position) of equal runs."""
-        longer = self.padded(codes)
-        for mask, (h, item, at) in self.runs:
-            if len(h):
-                got = masked(longer, mask)
-                where = np.nonzero(self.bits[(got >> np.uint64(44)).astype(np.int64)])[0]
-                yield from self._equal(got, where, h, item, at)
-        for mask, (h, item, at) in self.short:
-            got = masked(codes, mask)
-            yield from self._equal(got, np.arange(len(got)), h, item, at)
-
-    @staticmethod
-    def _equal(got, where, h, item, at):
-        left, right = np.searchsorted(h, got[where], "left"), np.searchsorted(h, got[where], "right")
-        for k in np.nonzero(right > left)[0]:
-            for j in range(left[k], right[k]):
-                yield int(where[k]), int(item[j]), int(at[j])
-
-    def leaks(self, text: str) -> dict[int, tuple[int, int, int]]:
-        """By item: the longest verified stretch as (words that agree, start, end) in the document."""
-        codes = word_codes(text)
-        found: dict[int, tuple[int, int, int]] = {}
-        tried = set()
-        for at, item, pos in self.hits(codes):
-            if (item, at - pos) in tried:
-                continue
-            tried.add((item, at - pos))
-            own = self.codes[item]
-            lo, hi = max(0, at - pos), min(len(codes), at - pos + len(own))
-            same = codes[lo:hi] == own[lo - (at - pos) : hi - (at - pos)]
-            got = stretch(same, min(MIN_WORDS, len(own)))
-            if got and got[0] > found.get(item, (0,))[0]:
-                found[item] = (got[0], lo + got[1], lo + got[2])
-        return found
+        left, right = np.searchsorted(h[order], got, "left"), np.searchsorted(h[order], got, "right")
+        at = np.nonzero(right > left)[0]
+        n = (right - left)[at]
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out.append(np.unique(np.repeat(at, n) - order[np.repeat(left[at], n) + place]))
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+
+def leak(codes: np.ndarray, own: np.ndarray) -> tuple[int, int, int] | None:
+    """The longest verified stretch of an item in a document: (words that agree, start, end)."""
+    best = None
+    for shift in diagonals(codes, own).tolist():
+        lo, hi = max(0, shift), min(len(codes), shift + len(own))
+        got = stretch(codes[lo:hi] == own[lo - shift : hi - shift], min(MIN_WORDS, len(own)))
+        if got and (best is None or got[0] > best[0]):
+            best = (got[0], lo + got[1], lo + got[2])
+    return best
 
 
 def stretch(same: np.ndarray, least: int) -> tuple[int, int, int] | None:
@@ -157,58 +159,137 @@ def stretch(same: np.ndarray, least: int) -> tuple[int, int, int] | None:
     return best
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str):
-    """Lists of (id, text), each of about BLOCK_WORDS words."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = 1 + size // (6 * BLOCK_WORDS)
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) if n > 1 else items
-        yield sorted(((r["id"], r["text"]) for r in rows.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-
-
-LEAK = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("matched", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-_LEAK_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("matched", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``_leaks``: an array of (item_id, matched, start, end), in words of the document."""
+def _seed_batches(batches):
+    for batch in batches:
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            codes = word_codes(text)
+            got = item_seeds(codes)
+            if got:
+                at = np.concatenate([np.arange(len(h)) for h in got])
+                h, n = np.concatenate(got), len(at)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(n, item, np.int64)), pa.array(np.full(n, len(codes), np.int32)), _rows(around(padded(codes), at))], names=["h", "item", "size", "own"])
+
+
+def _chunk_bits(table: pa.Table) -> pa.Table:
+    bits = np.zeros(1 << CHUNK_BITS, bool)
+    bits[table.column("off").to_numpy()] = True
+    return pa.table({"chunk": table.column("chunk")[:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+
+def _bit_table(table: DataFrame) -> tuple[int, np.ndarray]:
+    """How many leading bits of a hash tell its place, and the packed bits: a bound for any benchmark."""
+    n = table.count()
+    size = min(MOST_BITS, max(CHUNK_BITS, (BITS_EACH * n).bit_length()))
+    place = F.shiftrightunsigned("h", 64 - size)
+    placed = table.select(F.shiftright(place, CHUNK_BITS).cast("int").alias("chunk"), place.bitwiseAND(F.lit((1 << CHUNK_BITS) - 1)).cast("int").alias("off")).distinct()
+    packed = np.zeros(1 << (size - 3), np.uint8)
+    step = 1 << (CHUNK_BITS - 3)
+    # 2^(MOST_BITS - 3) bytes at most.
+    for r in placed.groupBy("chunk").applyInArrow(_chunk_bits, "chunk int, bits binary").toLocalIterator():
+        packed[r["chunk"] * step : (r["chunk"] + 1) * step] = np.frombuffer(r["bits"], np.uint8)
+    return size, packed
+
+
+def _hit_batches(held, sizes: tuple[int, ...]):
+    """(th, h, words): of each text the hashes that the benchmark may hold, and the words around them; repeats once."""
+
+    def run(batches):
+        size, packed = held.value
+        for batch in batches:
+            for at, rows in slices(batch.column(1), SLICE_BYTES):
+                part = batch.slice(at, rows)
+                codes = [padded(word_codes(t), BEFORE + AFTER) for t in part.column(1).to_pylist()]
+                ends = np.cumsum([len(c) for c in codes])
+                flat, names, found = np.concatenate(codes), part.column(0).to_numpy(), []
+                for h in seeds(flat, sizes):
+                    place = (h >> np.uint64(64 - size)).astype(np.int64)
+                    hit = np.nonzero(packed[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1)[0]
+                    found.append((hit, h[hit]))
+                hit, h = (np.concatenate(x) for x in zip(*found, strict=True))
+                th, words = names[np.searchsorted(ends, hit, side="right")], around(flat, hit)
+                told = _mix(th.view(np.uint64) * _FACTORS[0] + h * _FACTORS[1] + (words * _FACTORS[2 : 2 + BEFORE + AFTER]).sum(axis=1, dtype=np.uint64))
+                _, first = np.unique(told, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(th[first]), pa.array(h[first].view(np.int64)), _rows(words[first])], names=["th", "h", "words"])
+
+    return run
+
+
+def _agree_batches(batches):
+    for batch in batches:
+        words, own = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, BEFORE + AFTER) for c in (2, 3))
+        keep = may_agree(words, own) | (batch.column(4).to_numpy() < MIN_WORDS)
+        yield batch.select([0, 1]).filter(pa.array(keep))
+
+
+def _verify_batches(batches):
+    last, codes = None, None
+    for batch in batches:
+        rows: list[list] = [[], [], [], [], []]
+        for th, item, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if th != last:
+                last, codes = th, word_codes(text)
+            got = leak(codes, word_codes(own))
+            if got:
+                for column, value in zip(rows, (th, item, *got), strict=True):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([*(pa.array(r, pa.int64()) for r in rows[:2]), *(pa.array(r, pa.int32()) for r in rows[2:])], names=["th", "item", "matched", "start", "end"])
+
+
+def _text(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def leaked_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """th (the hash of a text) and leaks, an array of (item_id, matched, start, end), of each text that holds some of the benchmark."""
     spark = docs.sparkSession
-    at_text = docs.columns.index(text)
-    out = docs.withColumn("_leaks", F.array().cast(T.ArrayType(LEAK)))
-    for items in _blocks(benchmark, item_id, item_text):
-        held = spark.sparkContext.broadcast(items)
-
-        def run(batches, held=held):
-            index = Index(held.value)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    old = part.column(part.num_columns - 1).to_pylist()
-                    rows = []
-                    for t, have in zip(part.column(at_text).to_pylist(), old, strict=True):
-                        got = index.leaks(t or "")
-                        rows.append((have or []) + [{"item_id": index.ids[k], "matched": m, "start": a, "end": b} for k, (m, a, b) in sorted(got.items())])
-                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(rows, _LEAK_ARROW)], names=part.schema.names)
-
-        out = out.mapInArrow(run, out.schema)
+    items = benchmark.select(F.col(item_id).cast("long").alias("id"), _text(item_text).alias("text")).distinct().withColumn("item", F.xxhash64("text"))
+    own = materialize(items.select("item", "text").dropDuplicates(["item"]), "items")
+    table = materialize(own.select("item", "text").mapInArrow(_seed_batches, "h long, item long, size int, own binary").dropDuplicates(["h", "item", "own"]), "seeds")
+    # At most MIN_WORDS - 1 of them.
+    sizes = tuple(sorted(r["size"] for r in table.where(F.col("size") < MIN_WORDS).select("size").distinct().collect()))
+    held = spark.sparkContext.broadcast(_bit_table(table))
+    rows = docs.select(F.xxhash64(_text(text)).alias("th"), _text(text).alias("text"))
+    hits = rows.mapInArrow(_hit_batches(held, sizes), "th long, h long, words binary").distinct()
+    beside = hits.join(table, "h").select("th", "item", "words", "own", "size")
+    pairs = materialize(beside.mapInArrow(_agree_batches, "th long, item long").distinct(), "pairs")
+    met = materialize(pairs.select("th").distinct(), "met")
+    texts = semi(rows, met, "th").groupBy("th").agg(F.min("text").alias("text"))
+    told = pairs.join(own.select("item", F.col("text").alias("own")), "item").join(texts, "th").select("th", "item", "text", "own")
+    leaks = told.mapInArrow(_verify_batches, "th long, item long, matched int, start int, end int").join(items.select("item", "id"), "item")
+    entry = F.struct(F.col("id").alias("item_id"), "matched", "start", "end")
+    out = materialize(leaks.groupBy("th").agg(F.array_sort(F.collect_list(entry)).alias("leaks")), "leaks")
+    for part in (own, table, pairs, met):
+        discard(part)
     return out
 
 
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", into: str = "leaks") -> DataFrame:
+    """All columns of ``docs`` and ``into``: an array of (item_id, matched, start, end), in words of the document."""
+    found = leaked_texts(docs, benchmark, text, item_id, item_text)
+    rows = docs.drop(into)
+    th, got = unused(rows, "th", "leaks")
+    leaks = found.toDF(th, got)
+    joined = rows.withColumn(th, F.xxhash64(_text(text))).join(if_small(leaks, 16), th, "left")
+    return joined.select(*rows.columns, F.coalesce(got, F.array().cast(leaks.schema[got].dataType)).alias(into))
+
+
 def decontamination_report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, contaminated, n_items, most_words and item_ids (text) of every document."""
-    chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = find_leaks(chosen, benchmark)
-    ids = F.array_sort(F.array_distinct(F.transform("_leaks", lambda x: x["item_id"])))
-    return found.select(
+    found = leaked_texts(docs, benchmark, text)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(_text(text)).alias("th"))
+    told = rows.join(if_small(found, 16), "th", "left")
+    ids = F.array_sort(F.array_distinct(F.transform("leaks", lambda x: x["item_id"])))
+    return told.select(
         "doc_id",
-        (F.size("_leaks") > 0).alias("contaminated"),
-        F.size(ids).alias("n_items"),
-        F.coalesce(F.array_max(F.transform("_leaks", lambda x: x["matched"])), F.lit(0)).alias("most_words"),
-        F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("item_ids"),
+        F.col("leaks").isNotNull().alias("contaminated"),
+        F.coalesce(F.size(ids), F.lit(0)).alias("n_items"),
+        F.coalesce(F.array_max(F.transform("leaks", lambda x: x["matched"])), F.lit(0)).alias("most_words"),
+        F.coalesce(F.array_join(F.transform(ids, lambda x: x.cast("string")), ","), F.lit("")).alias("item_ids"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no passage of the benchmark; no shuffle."""
-    return find_leaks(docs, benchmark, text=text).where(F.size("_leaks") == 0).drop("_leaks")
+    """The rows of ``docs``, all columns, that hold no passage of the benchmark."""
+    th = unused(docs, "th")[0]
+    found = leaked_texts(docs, benchmark, text).select("th").toDF(th)
+    return docs.withColumn(th, F.xxhash64(_text(text))).join(if_small(found), th, "left_anti").select(*docs.columns)

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from cairn.llm import common
 from cairn.llm import decontaminate as dc
 
 
@@ -38,9 +39,10 @@ def planted():
     return items, docs, leaks
 
 
-@pytest.mark.parametrize("block_words", [2_000_000, 20])
-def test_planted_passages(spark, monkeypatch, block_words):
-    monkeypatch.setattr(dc, "BLOCK_WORDS", block_words)
+@pytest.mark.parametrize("bits,broadcast", [(27, 10**6), (15, 0)])
+def test_planted_passages(spark, monkeypatch, bits, broadcast):
+    monkeypatch.setattr(dc, "MOST_BITS", bits)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     items, docs, leaks = planted()
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -76,7 +78,7 @@ def test_leaks_are_what_brute_force_over_diagonals_finds():
 
     rng = random.Random(4)
     items = [(n, " ".join(f"i{n}x{j}" for j in range(n))) for n in (1, 3, 4, 5, 6, 8, 9, 10, 11, 12, 15, 19, 20, 25, 30, 60)]
-    index = dc.Index(items)
+    owns = [dc.word_codes(t) for _, t in items]
     texts = [" ".join(w if j % 5 != 4 else "other" for j, w in enumerate(t.split())) for _, t in items]
     texts += [" ".join(t.split()[2 : 2 + n]) for _, t in items for n in (9, 10, 11)]
     for _ in range(400):
@@ -86,13 +88,14 @@ def test_leaks_are_what_brute_force_over_diagonals_finds():
         texts.append(" ".join(["before"] * rng.randint(0, 3) + words + ["after"] * rng.randint(0, 3)))
     for text in texts:
         codes, wanted = dc.word_codes(text), {}
-        for k, own in enumerate(index.codes):
+        for k, own in enumerate(owns):
             for shift in range(1 - len(own), len(codes)):
                 lo, hi = max(0, shift), min(len(codes), shift + len(own))
                 got = dc.stretch(np.equal(codes[lo:hi], own[lo - shift : hi - shift]), min(dc.MIN_WORDS, len(own)))
                 if got and got[0] > wanted.get(k, 0):
                     wanted[k] = got[0]
-        assert {k: m for k, (m, _, _) in index.leaks(text).items()} == wanted
+        got = {k: dc.leak(codes, own) for k, own in enumerate(owns)}
+        assert {k: m[0] for k, m in got.items() if m} == wanted
 
 
 def test_stretch_against_brute_force():
@@ -113,3 +116,29 @@ def test_odd_tables(spark, empty, docs, clash):
     assert dc.decontamination_report(docs, bench.limit(0)).where("contaminated").count() == 0
     assert dc.decontamination_report(clash, bench).count() == docs.count()
     assert dc.drop_contaminated(clash, bench).columns == clash.columns
+    named = docs.selectExpr("*", "'mine' as th", "'mine' as Leaks")
+    assert dc.drop_contaminated(named, bench).where("th = 'mine' and leaks = 'mine'").count() == docs.count()
+    assert dc.find_leaks(named, bench, into="found").where("th = 'mine' and leaks = 'mine' and size(found) = 0").count() == docs.count()
+    nothing = spark.createDataFrame([(1, None), (None, "")], "item_id long, text string")
+    assert dc.decontamination_report(docs, nothing).where("contaminated").count() == 0
+
+
+def test_recall_by_length_and_substitutions(spark):
+    """Passages from inside longer items: all are found that agree in the stated share of the stated length."""
+    rng = random.Random(9)
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(60))) for i in range(40)]
+    docs, want = [], {}
+    for words, other in ((10, 0), (11, 0), (12, 1), (12, 2), (15, 2), (15, 3), (20, 4), (30, 6), (50, 10)):
+        for i in range(40):
+            at = rng.randrange(60 - words + 1)
+            passage = items[i][1].split()[at : at + words]
+            for j in rng.sample(range(1, words - 1), other):
+                passage[j] = "other"
+            want[len(docs)] = (words, other)
+            docs.append((len(docs), " ".join(["before"] * 5 + passage + ["after"] * 5)))
+    # A long run of one word, in a document and in an item.
+    docs.append((len(docs), "be " * 5000))
+    items.append((99, "be " * 40))
+    got = dc.decontamination_report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {r["doc_id"] for r in got if r["contaminated"]}
+    assert {d for d in want if d not in found} == set() and len(found) == len(docs)

@@ -45,6 +45,19 @@ def test_stages_in_order_and_their_rows(spark):
     assert sorted(map(tuple, whole)) == sorted(map(tuple, out))
 
 
+def test_stages_take_odd_rows(spark, clash, empty):
+    """Nulls, repeated ids, clashing names and no rows at all."""
+    named = clash.selectExpr("*", "'mine' as th", "'mine' as rank", "'mine' as k2")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, named, SF)
+        assert out.columns == named.columns and out.where("th <> 'mine' or rank <> 'mine' or fp <> 'clash'").count() == 0
+        assert out.count() == named.count() if name == "mixing" else 0 <= out.count() <= named.count()
+        none = stage(spark, empty, SF)
+        assert none.columns == empty.columns and none.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, named, SF).count() == named.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, SF).count() == 0
+
+
 def test_every_operator_is_registered():
     assert "pipeline" in queries.QUERIES
     for n in range(1, 11):
