@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.common import fresh_path, remainder, table
+from cairn.llm.common import fresh_path, remainder, short_batches, table
 from cairn.llm.decontaminate import drop_contaminated
 from cairn.llm.mixing import in_mixed_order, mix
 from cairn.llm.quality import fit_texts, keep_quality
@@ -19,30 +19,42 @@ from cairn.llm.token_output import token_output
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier rejects; learns from labelled documents that are not held out."""
+    """Drops the documents that the quality classifier rejects; learns from labelled documents that are not held out.
+
+    A null text is judged as an empty one; rows with a null id are judged and not learned from; repeated rows are judged alike.
+    """
     apart = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
     return keep_quality(docs, fit_texts(docs, table(spark, sf_dir, "labels"), ~apart))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near-duplicates."""
+    """Keeps one document of each group of near-duplicates: of the least id (null last), then text.
+
+    Null texts and ids and repeated ids are rows like any other; an empty table stays one.
+    """
+    short_batches(spark)
     return keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a passage of the benchmark."""
+    """Drops the documents that hold a passage of the benchmark; those without text hold none."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixture."""
+    """All documents, in the order of the mixture; ties go by a hash of the row, columns keep their values."""
     return in_mixed_order(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token files in the order of the mixture and returns what they hold, a row for each document."""
+    """Writes the token files in the order of the mixture and returns what they hold, a row for each document.
+
+    The order is found again from the rows, so that it does not hang on that of files; a null text is just the end id.
+    """
     import public_tokenizers
 
+    short_batches(spark)
+
     return token_output(mix(docs), public_tokenizers.path("byte_bpe_50k.json"), order=[F.col("mix_position")])
 
 
