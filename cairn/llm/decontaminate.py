@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, if_small, materialize, semi, slices, unused
+from .common import discard, if_small, materialize, semi, slices, tidy, unused
 
 #: Masks of six words that count, all within the first MIN_WORDS.
 MASKS = ("110101011000", "111100110000", "110111100000", "111111000000", "111001011000")
@@ -244,18 +244,18 @@ def leaked_texts(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("id"), _text(item_text).alias("text")).distinct().withColumn("item", F.xxhash64("text"))
     own = materialize(items.select("item", "text").dropDuplicates(["item"]), "items")
-    table = materialize(own.select("item", "text").mapInArrow(_seed_batches, "h long, item long, size int, own binary").dropDuplicates(["h", "item", "own"]), "seeds")
+    table = materialize(own.select("item", "text").mapInArrow(tidy(_seed_batches), "h long, item long, size int, own binary").dropDuplicates(["h", "item", "own"]), "seeds")
     # At most MIN_WORDS - 1 of them.
     sizes = tuple(sorted(r["size"] for r in table.where(F.col("size") < MIN_WORDS).select("size").distinct().collect()))
     held = spark.sparkContext.broadcast(_bit_table(table))
     rows = docs.select(F.xxhash64(_text(text)).alias("th"), _text(text).alias("text"))
-    hits = rows.mapInArrow(_hit_batches(held, sizes), "th long, h long, words binary").distinct()
+    hits = rows.mapInArrow(tidy(_hit_batches(held, sizes)), "th long, h long, words binary").distinct()
     beside = hits.join(table, "h").select("th", "item", "words", "own", "size")
-    pairs = materialize(beside.mapInArrow(_agree_batches, "th long, item long").distinct(), "pairs")
+    pairs = materialize(beside.mapInArrow(tidy(_agree_batches), "th long, item long").distinct(), "pairs")
     met = materialize(pairs.select("th").distinct(), "met")
     texts = semi(rows, met, "th").groupBy("th").agg(F.min("text").alias("text"))
     told = pairs.join(own.select("item", F.col("text").alias("own")), "item").join(texts, "th").select("th", "item", "text", "own")
-    leaks = told.mapInArrow(_verify_batches, "th long, item long, matched int, start int, end int").join(items.select("item", "id"), "item")
+    leaks = told.mapInArrow(tidy(_verify_batches), "th long, item long, matched int, start int, end int").join(items.select("item", "id"), "item")
     entry = F.struct(F.col("id").alias("item_id"), "matched", "start", "end")
     out = materialize(leaks.groupBy("th").agg(F.array_sort(F.collect_list(entry)).alias("leaks")), "leaks")
     for part in (own, table, pairs, met):

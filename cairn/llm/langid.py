@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, tidy
+
 UNDETERMINED = "und"
 #: Labelled rows of a language that are learned from, at most; lengths of n-grams, longest first.
 SAMPLE_ROWS, ORDERS = 3000, (5, 4, 3, 2, 1)
@@ -188,7 +190,7 @@ def fit(docs: DataFrame, learn: Column, lang: str = "lang", doc_id: str = "doc_i
     # The share of hash values that takes SAMPLE_ROWS of each language.
     cut = F.coalesce(*[F.when(F.col(lang) == x, F.lit(int(2**31 * min(1.0, sample_rows / n)))) for x, n in sizes.items()])
     sample = rows.where(F.pmod(F.xxhash64(doc_id), F.lit(2**31)) < cut)
-    counted = sample.select(lang, text).mapInArrow(_count_batches, "lang string, kind int, gram string, n long")
+    counted = sample.select(lang, text).mapInArrow(tidy(_count_batches), "lang string, kind int, gram string, n long")
     # The pivot adds up by n-gram; what the sample holds, at most, comes to the driver.
     of = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(langs)]
     found = counted.groupBy("kind", "gram").agg(F.sum("n").alias("all"), *of).where(F.col("all") >= MIN_COUNT).drop("all").toArrow()
@@ -205,8 +207,6 @@ def fit(docs: DataFrame, learn: Column, lang: str = "lang", doc_id: str = "doc_i
 
 def predict(docs: DataFrame, model: Backoff, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred and score of every document."""
-    from .common import slices
-
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -217,4 +217,4 @@ def predict(docs: DataFrame, model: Backoff, doc_id: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return chosen.mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")

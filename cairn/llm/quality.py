@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, semi
+from .common import materialize, semi, tidy
 
 FEATURES = ("words", "distinct", "repeated_pairs", "adjacent", "top_word", "word_bytes", "word_spread", "upper", "stops", "marks", "bars", "digits", "line_words", "entropy", "exclaim")
 #: Shrinkage: weight of the pooled covariance and of the diagonal in each class covariance, and what is added to each scaled variance.
@@ -89,7 +89,7 @@ def _feature_batches(batches):
 def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and the vector ``x`` of every document."""
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return chosen.mapInArrow(_feature_batches, "doc_id long, x array<double>")
+    return chosen.mapInArrow(tidy(_feature_batches), "doc_id long, x array<double>")
 
 
 def _moment_batches(batches):
@@ -152,7 +152,7 @@ def _marked(labels: DataFrame, label: str, doc_id: str) -> DataFrame:
 def fit(vectors: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", doc_id: str = "doc_id") -> Discriminant:
     """Learns from all vectors with a label for which ``learn`` (over doc_id) holds."""
     rows = vectors.where(F.col("doc_id").isNotNull() & learn).join(_marked(labels, label, doc_id), "doc_id").select("x", "y")
-    sums = rows.mapInArrow(_moment_batches, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect()
+    sums = rows.mapInArrow(tidy(_moment_batches), "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect()
     p = len(FEATURES)
     flat = np.zeros((2, 1 + p + p * p))
     for r in sums:
@@ -180,7 +180,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, held_out: C
             arrays = [batch.column(0), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "score", "predicted"])
 
-    scored = vectors.select("doc_id", "x").mapInArrow(run, "doc_id long, score double, predicted int")
+    scored = vectors.select("doc_id", "x").mapInArrow(tidy(run), "doc_id long, score double, predicted int")
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
@@ -196,4 +196,4 @@ def keep_quality(docs: DataFrame, model: Discriminant, threshold: float = REJECT
                 x = np.array([statistics(t or "") for t in part.column(at_text).to_pylist()])
                 yield part.filter(pa.array(model.score(x) >= threshold))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, if_small, join_hot, materialize, unused
+from .common import discard, if_small, join_hot, materialize, tidy, unused
 from .components import components
 
 SHINGLE, RADIUS, HALVES, SEED = 4, 4, 2, 42
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     """doc_id, th (a hash of the text, null as empty) and fp of every row."""
     words = F.coalesce(F.col(text).cast("string"), F.lit(""))
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(words).alias("th"), words.alias("text"))
-    return chosen.mapInArrow(_fingerprint_batches(shingle), "doc_id long, th long, fp long")
+    return chosen.mapInArrow(tidy(_fingerprint_batches(shingle)), "doc_id long, th long, fp long")
 
 
 def _distance(a: np.ndarray, b, mask: np.uint64) -> np.ndarray:
@@ -226,7 +226,7 @@ def plant(nodes: DataFrame, masks: list[np.uint64]) -> list:
             return trees
         room = max(1, int(math.log2(max(2, SAMPLE_MOST // (SAMPLE_EACH * len(large))))))
         levels = {k: min(room, math.ceil(math.log2(sizes[k] / SHARD_SIZE))) for k in large}
-        homes = nodes.select("fp").mapInArrow(_homes(trees, masks), "shard int, fp long")
+        homes = nodes.select("fp").mapInArrow(tidy(_homes(trees, masks)), "shard int, fp long")
         # Of each shard the share that gives its sample, by the fingerprints' own hash: about SAMPLE_MOST in all.
         share = nodes.sparkSession.createDataFrame([(k, int(2**31 * min(1.0, (SAMPLE_EACH << levels[k]) / sizes[k]))) for k in large], "shard int, upto long")
         picked = homes.join(F.broadcast(share), "shard").where(F.pmod(F.xxhash64("fp"), F.lit(2**31)) < F.col("upto")).select("shard", "fp").collect()
@@ -242,7 +242,7 @@ def plant(nodes: DataFrame, masks: list[np.uint64]) -> list:
             else:
                 fresh[k], first = grown, after
         trees = [replace_leaves(tree, fresh) for tree in trees]
-        sizes = {r["shard"]: r["count"] for r in nodes.select("fp").mapInArrow(_homes(trees, masks), "shard int, fp long").groupBy("shard").count().collect()}
+        sizes = {r["shard"]: r["count"] for r in nodes.select("fp").mapInArrow(tidy(_homes(trees, masks)), "shard int, fp long").groupBy("shard").count().collect()}
 
 
 def link(nodes: DataFrame, radius: int = RADIUS, halves: int = HALVES) -> DataFrame:
@@ -272,7 +272,7 @@ def link(nodes: DataFrame, radius: int = RADIUS, halves: int = HALVES) -> DataFr
         moved = np.nonzero(label != np.arange(len(points)))[0]
         return pa.table({"a": pa.array(points[moved].view(np.int64)), "b": pa.array(points[label[moved]].view(np.int64))})
 
-    return nodes.select("fp").mapInArrow(deal, "shard int, fp long, home boolean").groupBy("shard").applyInArrow(solve, "a long, b long")
+    return nodes.select("fp").mapInArrow(tidy(deal), "shard int, fp long, home boolean").groupBy("shard").applyInArrow(solve, "a long, b long")
 
 
 def _rooted(nodes: DataFrame, radius: int, halves: int) -> DataFrame:

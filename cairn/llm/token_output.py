@@ -36,14 +36,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import discard, fresh_path, materialize, shuffle_partitions, slices
+from .common import discard, fresh_path, materialize, shuffle_partitions, slices, tidy
 
 MAGIC = b"CRNTOK01"
 HEADER = struct.Struct("<8sQQQQ")
 #: Tokens in a shard, and in the pieces in which it is decoded.
 SHARD_TOKENS, CHUNK_TOKENS = 1 << 24, 1 << 20
 #: Text that is encoded at a time; what a worker's remembered words may take, and what each takes besides its letters and ids.
-SLICE_BYTES, WORD_BYTES, WORD_OVERHEAD = 4 << 20, 48 << 20, 200
+SLICE_BYTES, WORD_BYTES, WORD_OVERHEAD = 4 << 20, 32 << 20, 200
 
 # Decoding tables, by control byte: bytes of each of the four values, their offsets, their sum.
 LANE_BYTES = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
@@ -357,7 +357,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_dir: str | None
     schema = T.StructType([*chosen.schema.fields[:-1], *added])
     encoder = PieceEncoder.of(tokenizer_path)
     dtype, size = encoder.dtype, max(encoder.vocabulary, (end_id or 0) + 1)
-    held = materialize(chosen.mapInArrow(_encode_batches(tokenizer_path, end_id, size), schema), "ids")
+    held = materialize(chosen.mapInArrow(tidy(_encode_batches(tokenizer_path, end_id, size)), schema), "ids")
     each = held.where("token is not null").select(F.explode(F.arrays_zip("token", "times")).alias("e"))
     # At most a row for each entry of the vocabulary: a size that no corpus changes.
     counts = each.groupBy(F.col("e.token").alias("id")).agg(F.sum("e.times").alias("n")).toPandas()
@@ -373,7 +373,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_dir: str | None
     by = [f"_o{i}" for i in range(len(order))]
     ties = F.xxhash64("ids")
     dealt = ids.repartitionByRange(shuffle_partitions(spark), *by, ties).sortWithinPartitions(*by, ties, "ids")
-    manifest = materialize(dealt.select("doc_id", "ids").mapInArrow(_shard_batches(out_dir, dtype, rank_of), MANIFEST), "manifest")
+    manifest = materialize(dealt.select("doc_id", "ids").mapInArrow(tidy(_shard_batches(out_dir, dtype, rank_of)), MANIFEST), "manifest")
     discard(held)
     return out_dir, manifest
 
@@ -406,7 +406,7 @@ def read_token_files(out_dir: str, manifest: DataFrame) -> DataFrame:
                 arrays = [pa.array(c, pa.int64()) for c in rows]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array([name] * len(rows[0]), pa.string())], names=["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
 
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
+    return files.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, **kw) -> DataFrame:
