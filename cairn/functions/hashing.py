@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from ..entity import BOOKKEEPING
 
-#: ASCII characters that the canonical JSON text writes as escapes.
-ESCAPES = {'\\"': "\\u0022", "'": "\\u0027", "<": "\\u003C", ">": "\\u003E", "&": "\\u0026", "+": "\\u002B", "`": "\\u0060"}
+#: ASCII characters that the canonical JSON text writes as escapes; the backslash comes first.
+ESCAPES = {"\\": "\\\\", '"': "\\u0022", "\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r", "\x7f": "\\u007F", "'": "\\u0027", "<": "\\u003C", ">": "\\u003E", "&": "\\u0026", "+": "\\u002B", "`": "\\u0060"}
 
 
 def invariant_text(value: Column, dtype: T.DataType) -> Column:
@@ -24,7 +24,10 @@ def invariant_text(value: Column, dtype: T.DataType) -> Column:
     elif isinstance(dtype, T.TimestampNTZType):
         text = F.date_format(value, "MM/dd/yyyy HH:mm:ss")
     elif isinstance(dtype, T.TimestampType):
-        text = F.concat(F.date_format(value, "MM/dd/yyyy HH:mm:ss"), F.lit(" +00:00"))
+        # In UTC, whatever the session's zone: the epoch as a local time, and the seconds since.
+        none = F.lit(0)
+        moment = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(none, none, none, F.unix_seconds(value))
+        text = F.concat(F.date_format(moment, "MM/dd/yyyy HH:mm:ss"), F.lit(" +00:00"))
     elif isinstance(dtype, T.DateType):
         text = F.date_format(value, "MM/dd/yyyy")
     elif isinstance(dtype, T.BinaryType):
@@ -53,12 +56,20 @@ def _escape_other(text: Column) -> Column:
     return F.when(text.rlike(r"[^ -~]"), F.array_join(F.transform(pieces, piece), "")).otherwise(text)
 
 
+def json_text(value: Column) -> Column:
+    """A text as the inside of a JSON string; most hold nothing to escape."""
+    escaped = value
+    for plain, written in ESCAPES.items():
+        escaped = F.replace(escaped, F.lit(plain), F.lit(written))
+    return F.when(value.rlike(r"[^A-Za-z0-9 _.,:;#/()*=?!@$%^|~\[\]{}-]"), _escape_other(escaped)).otherwise(value)
+
+
 def canonical_json(values: list[Column]) -> Column:
-    """``{"h":[...]}`` of texts in the given order."""
-    body = F.to_json(F.array(*values))
-    for plain, escaped in ESCAPES.items():
-        body = F.replace(body, F.lit(plain), F.lit(escaped))
-    return F.concat(F.lit('{"h":'), _escape_other(body), F.lit("}"))
+    """``{"h":[...]}`` of texts in the given order, each escaped by itself."""
+    parts: list[Column] = []
+    for v in values:
+        parts += [F.lit(',"' if parts else '"'), json_text(v), F.lit('"')]
+    return F.concat(F.lit('{"h":['), *parts, F.lit("]}"))
 
 
 class HashSpec:

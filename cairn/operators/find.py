@@ -22,10 +22,21 @@ def find_null_safe(target: DataFrame, rows: DataFrame, compare: list[str], resul
     return target.join(wanted, on, "left_semi").select(*keep)
 
 
-def lookup_key(rows: DataFrame, dimension: DataFrame, on: dict[str, str], key: str, alias: str | None = None) -> DataFrame:
-    """JN-9: rows with a dimension's surrogate key; NULL where there is none. ``on``: row column -> dimension column."""
-    dim = dimension.select(*[F.col(d).alias(f"_l_{r}") for r, d in on.items()], F.col(key).alias(alias or key))
-    return rows.join(dim, [rows[r] == dim[f"_l_{r}"] for r in on], "left").drop(*[f"_l_{r}" for r in on])
+def lookup_key(rows: DataFrame, dimension: DataFrame, on: dict[str, str], key: str, alias: str | None = None, at: str | None = None) -> DataFrame:
+    """JN-9: rows with a dimension's surrogate key; NULL where there is none. ``on``: row column -> dimension column.
+
+    Of a dimension with versions the active one counts, or, with ``at`` (a date column of the rows), the one that was valid
+    then: from its FromDate until before its ToDate.
+    """
+    kept = [F.col(d).alias(f"_l_{r}") for r, d in on.items()]
+    condition = [F.col(r) == F.col(f"_l_{r}") for r in on]
+    if at is not None:
+        kept += [F.col("FromDate").alias("_l_from"), F.col("ToDate").alias("_l_to")]
+        condition += [F.col(at) >= F.col("_l_from"), F.col("_l_to").isNull() | (F.col(at) < F.col("_l_to"))]
+    elif "IsActive" in dimension.columns:
+        dimension = dimension.where("IsActive")
+    dim = dimension.select(*kept, F.col(key).alias("_l_key"))
+    return rows.join(dim, condition, "left").select(*rows.columns, F.col("_l_key").alias(alias or key))
 
 
 def deleted_rows(target: DataFrame, source: DataFrame, on: dict[str, str]) -> DataFrame:

@@ -32,14 +32,19 @@ class LoadResult:
     updates: DataFrame | None
     classified: DataFrame
 
+    def keyed_inserts(self, natural: list[str], key_from: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """The new rows, with keys in the order of ``natural``."""
+        key = self.entity.single_key.name
+        new = key_from(self.inserts) if key_from else assign_keys(self.inserts, self.target, key, natural)
+        return new.withColumn(key, F.col(key).cast(self.entity.single_key.spark_type)).select(*[f.name for f in self.entity.mapped])
+
     def next_state(self, natural: list[str], key_from: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
         """The target after the load; new rows get keys in the order of ``natural``."""
         key = self.entity.single_key.name
         names = [f.name for f in self.entity.mapped]
-        new = key_from(self.inserts) if key_from else assign_keys(self.inserts, self.target, key, natural)
-        new = new.withColumn(key, F.col(key).cast(self.entity.single_key.spark_type))
+        new = self.keyed_inserts(natural, key_from)
         if self.target is None:
-            return new.select(*names)
+            return new
         kept = apply_updates(self.target, self.updates, key) if self.updates is not None else self.target
         return kept.select(*names).unionByName(new.select(*names))
 

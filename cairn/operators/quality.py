@@ -28,13 +28,22 @@ def failing(predicate: Column) -> Column:
     return ~F.coalesce(predicate, F.lit(False))
 
 
-def observe_test(df: DataFrame, name: str, predicate: Column, identifier: str, max_log_count: int = MAX_LOG_COUNT) -> tuple[DataFrame, Observation]:
-    """FLT-5: rows pass unchanged; counts and the least failing ids come with the action that reads them."""
+def observe_test(df: DataFrame, name: str, predicate: Column, identifier: str) -> tuple[DataFrame, Observation]:
+    """FLT-5: rows pass unchanged; counts and the least failing id come with the action that reads them."""
     seen = Observation(name)
     bad = failing(predicate)
     return df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("failed"), F.min(F.when(bad, F.col(identifier))).alias("first")), seen
 
 
+def log_failures(df: DataFrame, seen: Observation, predicate: Column, identifier: str, level: int = logging.WARNING, max_log_count: int = MAX_LOG_COUNT) -> TestOutcome:
+    """FLT-5 after the action: logs up to ``max_log_count`` failing ids; reads the rows again only if some failed."""
+    got = seen.get
+    ids = [r[0] for r in df.where(failing(predicate)).select(identifier).orderBy(identifier).limit(max_log_count).collect()] if got["failed"] else []
+    for i in ids:
+        log.log(level, "test failed for %s", i)
+    return TestOutcome(got["rows"], got["failed"], ids)
+
+
 def report_test(df: DataFrame, predicate: Column, identifier: str, level: int = logging.WARNING, max_log_count: int = MAX_LOG_COUNT) -> TestOutcome:
     """FLT-5 as an action: counts, and up to ``max_log_count`` ids, logged."""
     bad = failing(predicate)

@@ -59,3 +59,18 @@ def to_markers(sql: str) -> tuple[str, set[str]]:
         return f":{m[1]}"
 
     return _TOKEN.sub(swap, sql), names
+
+
+def fill_markers(sql: str, values: dict[str, Any], literal) -> str:
+    """``@name`` outside literals and comments as the literal of its value, put in once."""
+    by = {n.lower(): v for n, v in values.items()}
+    return _TOKEN.sub(lambda m: m[0] if m[1] is None else literal(by[m[1].lower()]), sql)
+
+
+_WORD = re.compile(_TOKEN.pattern.removesuffix("|@(\\w+)") + r"|@\w+|([A-Za-z_]\w*)", re.S)
+
+
+def rename_views(sql: str, names: dict[str, str]) -> str:
+    """Names of views outside literals and comments under other names."""
+    by = {n.lower(): v for n, v in names.items()}
+    return _WORD.sub(lambda m: by.get(m[1].lower(), m[0]) if m[1] else m[0], sql)

@@ -8,7 +8,7 @@ Nothing runs before ``invoke``; a pipeline can be invoked again.
 from __future__ import annotations
 
 import itertools
-import threading
+import logging
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
@@ -99,6 +99,8 @@ class Pipeline:
     parameters: list[ExtractParameter] = field(default_factory=list)
     batch_size: int = 1000
     tests: list[tuple[str, Observation]] = field(default_factory=list)
+    after: list[Callable[[], quality.TestOutcome]] = field(default_factory=list)
+    outcomes: list[quality.TestOutcome] = field(default_factory=list)
 
     # Building
     @classmethod
@@ -142,10 +144,13 @@ class Pipeline:
         """PRJ-10."""
         return self._add("apply", lambda spark, df: mapper.apply(df, as_of))
 
-    def test(self, predicate: Column, identifier: str, name: str = "test") -> Pipeline:
+    def test(self, predicate: Column, identifier: str, name: str = "test", level: int = logging.WARNING, max_log_count: int = quality.MAX_LOG_COUNT) -> Pipeline:
+        """FLT-5: rows pass; after the load the failing ones are counted and up to ``max_log_count`` ids logged."""
+
         def run(spark, df):
             out, seen = quality.observe_test(df, f"{name}_{next(_counter)}", predicate, identifier)
             self.tests.append((name, seen))
+            self.after.append(lambda: quality.log_failures(df, seen, predicate, identifier, level, max_log_count) if completed(spark, seen) else quality.TestOutcome(0, 0, []))
             return out
 
         return self._add("test", run)
@@ -198,12 +203,13 @@ class Pipeline:
         if self.sink is None:
             raise PipelineError("a pipeline needs a load or an ensure")
         began, blocks = time.time(), []
-        self.tests = []
+        self.tests, self.after = [], []
         create = Task("Create Data Set", lambda s: self.sink.create(s, Entity.of(self.target)), PRE, 1) if self.target else None
         tasks = ([create] if create else []) + self.tasks
         for task in sorted((t for t in tasks if t.when == PRE), key=lambda t: (t.priority, t.seq)):
             blocks.append(self._task(spark, task))
         blocks.append(self._load(spark))
+        self.outcomes = [report() for report in self.after]
         for task in sorted((t for t in tasks if t.when == POST), key=lambda t: (t.priority, t.seq)):
             blocks.append(self._task(spark, task))
         return PipelineSummary(self.name, self.container, self.cluster, self.group, time.time() - began, blocks)
@@ -229,7 +235,6 @@ class Pipeline:
         target = self.sink.read(spark) if self.loader in (load_scd, load_snapshot, load_transaction) else None
         result = self.loader(self.target, df, target, **self.loader_args) if self.loader is not load_default else load_default(self.target, df)
         ins, ups = Observation(f"inserted_{next(_counter)}"), Observation(f"updated_{next(_counter)}")
-        plain = result
         result = replace(result, inserts=result.inserts.observe(ins, F.count(F.lit(1)).alias("n")))
         if result.updates is not None:
             result = replace(result, updates=result.updates.observe(ups, F.coalesce(F.sum("_updates"), F.lit(0)).alias("n")))
@@ -237,22 +242,17 @@ class Pipeline:
             self.sink.insert(result.inserts)
         else:
             self.sink.commit(spark, result, self.natural)
-        updated = observed(ups, lambda: plain.updates.agg(F.sum("_updates")).first()[0]) if result.updates is not None else 0
-        inserted, rows = observed(ins, lambda: plain.inserts.count()), observed(seen, lambda: df.count())
-        return BlockSummary("Load", rows=rows, inserted=inserted, updated=updated, seconds=time.time() - began)
+        updated = observed(spark, ups) if result.updates is not None else 0
+        return BlockSummary("Load", rows=observed(spark, seen), inserted=observed(spark, ins), updated=updated, seconds=time.time() - began)
 
 
-def observed(seen: Observation, count: Callable[[], int | None], wait: float = 3.0) -> int:
-    """An observation's number; counts where the optimiser found its rows to be none and dropped it."""
-    got: list = []
+def completed(spark: SparkSession, seen: Observation) -> bool:
+    """Whether an action has brought an observation's numbers, once all that it reported has been taken in."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    row = seen._jo.getRowOrEmpty()
+    return bool(row.isDefined() and row.get().length())
 
-    def read() -> None:
-        try:
-            got.append(seen.get["n"])
-        except Exception:  # noqa: BLE001
-            pass
-
-    t = threading.Thread(target=read, daemon=True)
-    t.start()
-    t.join(wait)
-    return int(got[0] if got else count() or 0)
+
+def observed(spark: SparkSession, seen: Observation) -> int:
+    """An observation's number; none where the optimiser found that there are no rows, and dropped it."""
+    return int(seen.get["n"] or 0) if completed(spark, seen) else 0

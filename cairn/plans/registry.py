@@ -11,19 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import HashSpec, base64_view
-from ..functions.scalars import changed_fields, date_key, obfuscate, transpose
+from ..functions.scalars import changed_fields, date_key, transpose
 from ..operators import extract as ex
 from ..operators.find import deleted_rows, find, find_null_safe, lookup_key
 from ..operators.mapper import Mapper
-from ..operators.merge import apply_updates, first_wins, fold_in_place, load_scd, load_snapshot, load_transaction
-from ..operators.quality import ensure, failing
+from ..operators.merge import apply_updates, first_wins, fold_in_place, load_default, load_inline, load_scd, load_snapshot, load_transaction
+from ..operators.quality import ensure, report_test
 from ..operators.surrogate import assign_keys
-from ..params import ExtractParameter, context
-from ..sinks import CsvSink
-from ..sources.external import HttpReader
+from ..params import ExtractParameter
+from ..sinks import CsvSink, NullSink, SqliteSink, TableSink
+from ..sources.external import HttpReader, SqliteReader
 from ..sources.readers import CsvReader, FrameReader, JsonReader, ListReader, SqlReader
 from . import fixtures as fx
 from .fixtures import Customer, OrderLine, as_of, table
+from .pipeline import Pipeline
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -80,8 +81,9 @@ def mapper_order_override(spark, sf_dir):
 
 @query("SELECT p_partkey, repeat('*', length(p_name)) AS p_name FROM part")
 def mapper_obfuscate(spark, sf_dir):
-    """PRJ-14."""
-    return table(spark, sf_dir, "part").select("p_partkey", obfuscate(F.col("p_name")).alias("p_name"))
+    """PRJ-14, through the mapper."""
+    m = Mapper(fx.Part).map("p_partkey", "p_partkey").map("p_name", "p_name").obfuscate("p_name")
+    return m.apply(table(spark, sf_dir, "part"), as_of()).select("p_partkey", "p_name")
 
 
 @query("SELECT o_orderkey, CAST(strftime(o_orderdate, '%Y%m%d') AS INT) AS date_key FROM orders")
@@ -90,6 +92,28 @@ def date_keys_orders(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", date_key(F.col("o_orderdate")).alias("date_key"))
 
 
+_BACK, _QUOTE = "chr(92)", "chr(34)"
+
+
+@query(
+    f"""WITH v AS (SELECT c_custkey, c_name || {_BACK} AS a, CASE WHEN c_acctbal < 0 THEN NULL ELSE {_QUOTE} || c_mktsegment || chr(10) || c_name END AS b FROM customer),
+ e AS (SELECT c_custkey, replace(a, {_BACK}, {_BACK} || {_BACK}) AS a, replace(replace(coalesce(b, ''), {_QUOTE}, {_BACK} || 'u0022'), chr(10), {_BACK} || 'n') AS b FROM v)
+ SELECT c_custkey, to_base64(unhex(sha1('{{"h":["' || a || '","' || b || '"]}}'))) AS row_hash FROM e"""
+)
+def hash_escapes(spark, sf_dir):
+    """HSH-3, HSH-5, HSH-6: backslashes, quotes, line breaks and NULL; one property taken out again."""
+    v = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit("\\")).alias("a"), F.when(F.col("c_acctbal") >= 0, F.concat(F.lit('"'), "c_mktsegment", F.lit("\n"), "c_name")).alias("b"))
+    return v.select("c_custkey", base64_view(HashSpec(v).all().exclude("c_custkey").column()).alias("row_hash"))
+
+
+@query("SELECT o_orderkey, to_base64(unhex(sha1('{\"h\":[\"' || strftime(o_orderdate, '%m/%d/%Y %H:%M:%S') || ' ' || chr(92) || 'u002B00:00\"]}'))) AS day_hash FROM orders")
+def hash_moments(spark, sf_dir):
+    """HSH-5 over a moment in time, written in UTC whatever the session's zone."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.timestamp_seconds(F.unix_seconds(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("o_orderdate")).cast("timestamp"))).alias("day"))
+    o = o.select("o_orderkey", "day")
+    return o.select("o_orderkey", base64_view(HashSpec(o).include("day").column()).alias("day_hash"))
+
+
 # Filters and SQL
 
 
@@ -163,22 +187,22 @@ def find_semi_join(spark, sf_dir):
     return find(table(spark, sf_dir, "customer"), rows, ["c_custkey"], ["c_name"])
 
 
-_NULLABLE = "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS segment, c_nationkey FROM {c}"
+_NULLABLE = "SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS segment, c_nationkey, c_acctbal FROM {c}"
 
 
-@query(f"""WITH t AS ({_NULLABLE.format(c='customer')}), r AS (SELECT DISTINCT segment, c_nationkey FROM t WHERE c_custkey % 9 = 0)
+@query(f"""WITH t AS ({_NULLABLE.format(c='customer')}), r AS (SELECT DISTINCT segment, c_nationkey FROM t WHERE c_acctbal < 0)
 SELECT segment, c_nationkey, c_custkey FROM t WHERE EXISTS (SELECT 1 FROM r WHERE r.segment IS NOT DISTINCT FROM t.segment AND r.c_nationkey IS NOT DISTINCT FROM t.c_nationkey)""")
 def find_null_safe_segment(spark, sf_dir):
     """JN-2."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).alias("segment"), "c_nationkey")
-    return find_null_safe(c, c.where("c_custkey % 9 = 0"), ["segment", "c_nationkey"], ["c_custkey"])
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")).alias("segment"), "c_nationkey", "c_acctbal")
+    return find_null_safe(c, c.where("c_acctbal < 0"), ["segment", "c_nationkey"], ["c_custkey"])
 
 
-@query("SELECT DISTINCT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE EXISTS (SELECT 1 FROM orders, part WHERE o_orderkey % 50 = 0 AND o_orderkey = l_orderkey AND p_partkey = l_partkey AND p_size > 25)")
+@query("SELECT DISTINCT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 25)")
 def find_composite(spark, sf_dir):
     """JN-1 on two fields."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
-    wanted = li.where("l_orderkey % 50 = 0").join(table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi")
+    wanted = li.join(table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi")
     return find(li, wanted, ["l_orderkey", "l_partkey"], ["l_quantity"]).distinct()
 
 
@@ -222,8 +246,29 @@ def dedupe_first_wins(spark, sf_dir):
 @query(f"""SELECT Id, Name FROM ({fx.F3}) UNION ALL SELECT CustomerId, CustomerName FROM ({fx.F2})""")
 def load_default_append(spark, sf_dir):
     """LD-1, SET-1."""
-    old = fx.existing_customer(spark, sf_dir).select("Id", "Name")
-    return old.unionByName(fx.mapped(fx.changed_customer(spark, sf_dir)).select("Id", "Name"))
+    old = fx.existing_customer(spark, sf_dir)
+    return load_default(Customer, fx.mapped(fx.changed_customer(spark, sf_dir)), old).next_state(["Id"]).select("Id", "Name")
+
+
+@query(f"SELECT CustomerId AS Id, CustomerName AS Name FROM ({fx.F2}) WHERE Inactive")
+def load_inline_inactive(spark, sf_dir):
+    """LD-2, LD-6: a loader of the user's own, here of the inactive customers alone."""
+
+    def own(rows, target):
+        return load_default(Customer, rows.where("Inactive"), target)
+
+    r = load_inline(Customer, fx.mapped(fx.changed_customer(spark, sf_dir)), fx.existing_customer(spark, sf_dir), own)
+    return r.inserts.select("Id", "Name")
+
+
+@query(f"""SELECT Id, Name FROM ({fx.F3}) UNION ALL SELECT CustomerId, CustomerName FROM ({fx.F2})""")
+def table_sink_append(spark, sf_dir):
+    """SNK-0, SNK-6, SNK-8, LD-1: two loads into a table; the second writes its own rows alone."""
+    sink = TableSink(_temp(spark), Customer)
+    sink.create(spark)
+    sink.insert(fx.existing_customer(spark, sf_dir).drop("CustomerKey"), ["Id"])
+    sink.insert(fx.mapped(fx.changed_customer(spark, sf_dir)).drop("CustomerKey"), ["Id"])
+    return sink.read(spark).select("Id", "Name")
 
 
 def _lines(spark, sf_dir):
@@ -368,12 +413,17 @@ def partial_update_case(spark, sf_dir):
 @query("SELECT count(*) AS n_rows, count(*) FILTER (WHERE NOT (p_size > 2)) AS failed, (SELECT string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) FROM (SELECT p_partkey FROM part WHERE NOT (p_size > 2) ORDER BY p_partkey LIMIT 10)) AS first_ids FROM part")
 def quality_test_counts(spark, sf_dir):
     """FLT-5, LIM-3, AGG-4."""
-    p = table(spark, sf_dir, "part")
-    bad = failing(F.col("p_size") > 2)
-    ids = p.where(bad).select("p_partkey").orderBy("p_partkey").limit(10)
-    listed = ids.agg(F.array_join(F.array_sort(F.collect_list("p_partkey")).cast("array<string>"), ",").alias("first_ids"))
-    counts = p.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(bad).alias("failed"))
-    return counts.withColumn("_one", F.lit(1)).join(listed.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    got = report_test(table(spark, sf_dir, "part"), F.col("p_size") > 2, "p_partkey")
+    return spark.createDataFrame([(got.rows, got.failed, ",".join(map(str, got.first_ids)))], "n_rows long, failed long, first_ids string")
+
+
+@query("SELECT count(*) AS n_rows, count(*) FILTER (WHERE NOT (p_size > 2)) AS failed, count(*) AS inserted FROM part")
+def pipeline_test_counts(spark, sf_dir):
+    """FLT-5, AGG-4, ORC-1, ORC-2, SNK-2, UDF-1: a pipeline's tests and counters, into a sink that keeps nothing."""
+    rows = FrameReader(lambda s, args: table(s, sf_dir, "part"))
+    p = Pipeline.extract(rows).transform(lambda df: df.where("p_partkey >= 0")).test(F.col("p_size") > 2, "p_partkey")
+    done = p.load(fx.Part, NullSink()).invoke(spark)
+    return spark.createDataFrame([(p.outcomes[0].rows, p.outcomes[0].failed, done.inserted)], "n_rows long, failed long, inserted long")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders")
@@ -389,6 +439,15 @@ def multi_source_union(spark, sf_dir):
     return c.unionByName(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("supplier").alias("origin")))
 
 
+@query(f"""{_scd_cte()}, d AS (SELECT row_number() OVER (ORDER BY Id) + (SELECT max(CustomerKey) FROM t) AS CustomerKey, Id FROM m WHERE step IN ('insert', 'type2')
+ UNION ALL SELECT t.CustomerKey, t.Id FROM t LEFT JOIN m ON m.CustomerKey = t.CustomerKey WHERE coalesce(m.step, '') <> 'type2')
+SELECT o_orderkey, o_custkey, CustomerKey FROM orders LEFT JOIN d ON Id = o_custkey""")
+def lookup_active_version(spark, sf_dir):
+    """JN-9 on a dimension with history: the active version of each customer."""
+    r = load_scd(Customer, fx.mapped(fx.changed_customer(spark, sf_dir)), fx.existing_customer(spark, sf_dir), ["Id"], as_of())
+    return lookup_key(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), r.next_state(["Id"]), {"o_custkey": "Id"}, "CustomerKey")
+
+
 @query(f"SELECT o_orderkey, o_custkey, CustomerKey FROM orders LEFT JOIN ({fx.F3}) ON Id = o_custkey")
 def fact_dimension_key_lookup(spark, sf_dir):
     """JN-9."""
@@ -416,7 +475,11 @@ def transpose_nations(spark, sf_dir):
 
 
 def _temp(spark) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.gettempdir()
     return f"{base.rstrip('/')}/cairn-{next(tempfile._get_candidate_names())}"
 
 
@@ -430,10 +493,36 @@ def csv_roundtrip(spark, sf_dir):
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
 def json_array_source(spark, sf_dir):
-    """SRC-3, FLT-2."""
+    """SRC-3, SRC-3a, FLT-2: a file that is one array."""
     path = _temp(spark) + ".json"
-    table(spark, sf_dir, "nation").write.json(path)
-    return JsonReader(path, "n_nationkey int, n_name string, n_regionkey int", where="n_regionkey = 1", multi_line=False).read(spark).drop("n_regionkey")
+    n = table(spark, sf_dir, "nation")
+    n.groupBy().agg(F.to_json(F.collect_list(F.struct(*n.columns))).alias("value")).write.text(path)
+    return JsonReader(path, "n_nationkey int, n_name string, n_regionkey int", where="n_regionkey = 1").read(spark).drop("n_regionkey")
+
+
+@query("SELECT p_partkey, p_name, p_size, p_retailprice FROM part")
+def csv_header_order(spark, sf_dir):
+    """SRC-2, SRC-2a: columns by the names in the header, which stand in another order and among others."""
+    path = _temp(spark) + ".csv"
+    table(spark, sf_dir, "part").select("p_size", "p_name", "p_brand", "p_retailprice", "p_partkey").write.csv(path, header=True)
+    return CsvReader(path, fx.Part, header=True).read(spark)
+
+
+@query("SELECT p_partkey, p_name, p_size, p_retailprice FROM part WHERE p_size > 40")
+def sqlite_roundtrip(spark, sf_dir):
+    """SRC-5, SNK-4, SNK-8, SRC-11: a table of a SQLite file, for a single machine."""
+    path = f"{tempfile.mkdtemp(prefix='cairn-')}/part.db"
+    sink = SqliteSink(path, fx.Part)
+    sink.create(spark)
+    sink.insert(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice").coalesce(1))
+    return SqliteReader(path, 'SELECT * FROM "Part" WHERE p_size > @least', fx.Part).read(spark, [ExtractParameter("least", 40)])
+
+
+@query("SELECT CAST(p_size AS INT) AS p_size, p_partkey FROM part WHERE p_size <> 7")
+def bound_rows(spark, sf_dir):
+    """SRC-9, SRC-10: texts as an entity's fields; rows with a size that is no number are left out, and counted."""
+    raw = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string"), "p_name", F.when(F.col("p_size") == 7, "seven").otherwise(F.col("p_size").cast("string")).alias("p_size"), F.col("p_retailprice").cast("string"))
+    return SqlReader("SELECT * FROM raw", views={"raw": raw}, entity=fx.Part).read(spark).select("p_size", "p_partkey")
 
 
 @query("SELECT * FROM (VALUES (1, 'Alice', 'Anderson'), (2, 'Bob', 'Brown')) t(\"Id\", \"First_Name\", \"Last_Name\")")
@@ -445,12 +534,13 @@ def list_source(spark, sf_dir):
 
 @query("SELECT e.k AS id, 'item ' || e.k AS name FROM range(25) e(k)")
 def http_json_pages(spark, sf_dir):
-    """SRC-4, EXT-4: pages of an endpoint, each a partition."""
-    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), _Items)
-    threading.Thread(target=server.serve_forever, daemon=True).start()
-    base = f"http://127.0.0.1:{server.server_port}/items?offset=@Offset&limit=@BatchSize"
-    frames = [HttpReader(base, "id bigint, name string").read(spark, [*context(10), ExtractParameter("Offset", o)]) for o in range(0, 30, 10)]
-    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+    """SRC-4, EXT-4: pages of an opaque endpoint, one request after the other until an empty one."""
+    with http.server.ThreadingHTTPServer(("127.0.0.1", 0), _Items) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        reader = HttpReader(f"http://127.0.0.1:{server.server_port}/items?offset=@Offset&limit=@BatchSize", "id bigint, name string")
+        rows = [r for page in ex.pages(lambda params: [r.asDict() for r in reader.read(spark, params).collect()], ex.OffsetPager(), batch_size=10) for r in page]
+        server.shutdown()
+    return spark.createDataFrame(rows, "id bigint, name string")
 
 
 class _Items(http.server.BaseHTTPRequestHandler):

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import logging
 import threading
 import uuid
 from collections import defaultdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..entity import Entity
 from ..operators.find import find, find_null_safe
 from ..operators.merge import LoadResult, apply_updates
 from ..operators.surrogate import assign_keys
 
+log = logging.getLogger("cairn.sinks")
 #: SNK-13: a lock for each target path.
 _LOCKS: dict[str, threading.RLock] = defaultdict(threading.RLock)
 
@@ -82,7 +86,6 @@ class CsvSink(Sink):
         self.path, self.entity, self.header, self.options = path, Entity.of(entity), header, options or {}
 
     def read(self, spark):
-        from pyspark.sql import functions as F
         from pyspark.sql import types as T
 
         fields = self.entity.mapped
@@ -106,83 +109,136 @@ def _fs(spark: SparkSession, path: str):
 
 
 class TableSink(Sink):
-    """A table kept as versions in a folder with a pointer to the current one.
+    """A table kept as files that are never changed and a list of them for each version.
 
-    A load writes the whole next state beside the one it reads and then moves the pointer, so readers see
-    all of a load or nothing; a failed load leaves the table as it was. Old versions stay until ``vacuum``.
+    Rows are dealt to ``buckets`` by a hash of the entity's key. A load writes new files: its new rows, and the buckets in which
+    rows change; other buckets' files are listed again, not written. A version exists once its list has been
+    created under a name that nothing else may have, which is one step: readers see all of a load or nothing, a load that
+    fails or is cut off at any point leaves the table as it was, and of two loads of one version the later fails. Files
+    that no list names stay until ``vacuum``.
     """
 
-    def __init__(self, path: str, entity: type | Entity, buckets: int | None = None):
-        self.path, self.entity = path.rstrip("/"), Entity.of(entity)
+    def __init__(self, path: str, entity: type | Entity, buckets: int = 16):
+        self.path, self.entity, self.buckets = path.rstrip("/"), Entity.of(entity), buckets
 
     def version(self, spark: SparkSession) -> int:
-        fs, pointer = _fs(spark, f"{self.path}/_current")
-        if not fs.exists(pointer):
-            return 0
-        stream = fs.open(pointer)
+        return max(self._versions(spark), default=0)
+
+    def _versions(self, spark: SparkSession) -> list[int]:
+        fs, folder = _fs(spark, f"{self.path}/_versions")
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _list(self, spark: SparkSession, version: int) -> dict:
+        """parts: [folder, bucket] pairs; batches: the last batch of each stream."""
+        if not version:
+            return {"parts": [], "batches": {}}
+        fs, at = _fs(spark, f"{self.path}/_versions/{version}")
+        stream = fs.open(at)
         try:
-            return int(bytes(stream.readAllBytes()).decode())
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def _point(self, spark: SparkSession, version: int) -> None:
-        fs, pointer = _fs(spark, f"{self.path}/_current")
-        fresh = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current.{uuid.uuid4().hex}")
-        out = fs.create(fresh, True)
-        out.write(bytearray(str(version).encode()))
+    def _publish(self, spark: SparkSession, version: int, listed: dict) -> None:
+        fs, folder = _fs(spark, f"{self.path}/_versions")
+        fs.mkdirs(folder)
+        fresh = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_versions/{version}.{uuid.uuid4().hex}")
+        out = fs.create(fresh, False)
+        out.write(bytearray(json.dumps(listed).encode()))
         out.close()
-        fs.delete(pointer, False)
-        if not fs.rename(fresh, pointer):
-            raise SinkError(f"could not move the pointer of {self.path}")
-
-    def _write(self, spark: SparkSession, df: DataFrame) -> None:
+        # Hadoop's rename refuses a target that is there.
+        if not fs.rename(fresh, spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_versions/{version}")):
+            fs.delete(fresh, False)
+            raise SinkError(f"version {version} of {self.path} has been written by another load")
+
+    def _bucket(self) -> Column:
+        keys = [f.name for f in self.entity.key_fields] or [f.name for f in self.entity.mapped]
+        return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
+
+    def _write_parts(self, df: DataFrame) -> list[list]:
+        """Writes rows beside the table, a folder for each bucket that has some."""
+        spark, part = df.sparkSession, f"p-{uuid.uuid4().hex}"
+        df.withColumn("_bucket", self._bucket()).write.partitionBy("_bucket").parquet(f"{self.path}/{part}")
+        fs, folder = _fs(spark, f"{self.path}/{part}")
+        names = [s.getPath().getName() for s in fs.listStatus(folder)]
+        return [[f"{part}/{n}", int(n.split("=")[1])] for n in sorted(names) if n.startswith("_bucket=")]
+
+    def _read_parts(self, spark: SparkSession, parts: list[list]) -> DataFrame:
+        if not parts:
+            return spark.createDataFrame([], self.entity.schema())
+        return spark.read.schema(self.entity.schema()).parquet(*[f"{self.path}/{p}" for p, _ in parts])
+
+    def _next(self, spark: SparkSession, rows: DataFrame | None, updates: DataFrame | None = None, key: str | None = None, keep: bool = True, batch: tuple[str, int] | None = None) -> None:
+        """Writes a version: what is there (if kept), updated, and new rows."""
         with _LOCKS[self.path]:
-            version = self.version(spark) + 1
-            df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
-            self._point(spark, version)
+            version = self.version(spark)
+            listed = self._list(spark, version)
+            parts = listed["parts"] if keep else []
+            if updates is not None:
+                # As many as buckets at most.
+                touched = {r[0] for r in updates.select(self._bucket().alias("b")).distinct().collect()}
+                changed = [p for p in parts if p[1] in touched]
+                if changed:
+                    parts = [p for p in parts if p[1] not in touched]
+                    state = apply_updates(self._read_parts(spark, changed), updates, key)
+                    rows = state if rows is None else state.unionByName(rows)
+            if rows is not None:
+                parts = parts + self._write_parts(rows)
+            batches = listed["batches"] | (dict([batch]) if batch else {})
+            self._publish(spark, version + 1, {"parts": parts, "batches": batches})
+
+    def last_batch(self, spark: SparkSession, stream: str) -> int:
+        """The last micro-batch of a stream that a version holds, or -1."""
+        return self._list(spark, self.version(spark))["batches"].get(stream, -1)
 
     def create(self, spark, entity=None):
         """SNK-8: an empty typed table, unless there is one."""
         if not self.version(spark):
-            self._write(spark, spark.createDataFrame([], self.entity.schema()))
+            self._next(spark, None)
 
     def truncate(self, spark):
         """SNK-9, SNK-10."""
-        self._write(spark, spark.createDataFrame([], self.entity.schema()))
+        self._next(spark, None, keep=False)
 
     def read(self, spark):
         version = self.version(spark)
-        return spark.read.schema(self.entity.schema()).parquet(f"{self.path}/v={version}") if version else None
+        return self._read_parts(spark, self._list(spark, version)["parts"]) if version else None
 
     def replace(self, df: DataFrame) -> None:
-        self._write(df.sparkSession, df)
+        self._next(df.sparkSession, df, keep=False)
 
-    def insert(self, df, natural: list[str] | None = None):
-        """SNK-6: adds rows; an identity key continues after the largest."""
+    def insert(self, df, natural: list[str] | None = None, batch: tuple[str, int] | None = None):
+        """SNK-6: adds rows, and files for these alone; an identity key continues after the largest."""
         spark = df.sparkSession
-        held = self.read(spark)
         keys = [f.name for f in self.entity.key_fields if f.identity]
-        rows = assign_keys(df, held, keys[0], natural or [c for c in df.columns if c not in keys][:1]) if keys else df
-        names = [f.name for f in self.entity.mapped]
-        rows = self.entity.complete(rows).select(*names)
-        self._write(spark, held.unionByName(rows) if held is not None else rows)
+        rows = assign_keys(df, self.read(spark), keys[0], natural or [c for c in df.columns if c not in keys][:1]) if keys else df
+        self._next(spark, self.entity.complete(rows).select(*[f.name for f in self.entity.mapped]), batch=batch)
 
     def update(self, updates, key):
-        spark = updates.sparkSession
-        self._write(spark, apply_updates(self.read(spark), updates, key))
+        self._next(updates.sparkSession, None, updates, key)
 
-    def commit(self, spark, result, natural):
+    def commit(self, spark, result, natural, batch: tuple[str, int] | None = None):
         """Updates and inserts of a load as one version."""
-        self._write(spark, result.next_state(natural))
+        self._next(spark, result.keyed_inserts(natural), result.updates, result.entity.single_key.name, batch=batch)
 
     def vacuum(self, spark: SparkSession, keep: int = 2) -> None:
-        """Deletes all but the last ``keep`` versions."""
-        now = self.version(spark)
-        fs, root = _fs(spark, self.path)
-        for status in fs.listStatus(root):
-            name = status.getPath().getName()
-            if name.startswith("v=") and int(name[2:]) <= now - keep:
-                fs.delete(status.getPath(), True)
+        """Deletes all but the last ``keep`` versions, and the files that none of those names."""
+        with _LOCKS[self.path]:
+            versions = self._versions(spark)
+            named = {p.split("/")[0]: p for v in versions[-keep:] for p, _ in self._list(spark, v)["parts"]}
+            fs, root = _fs(spark, self.path)
+            for v in versions[:-keep]:
+                fs.delete(_fs(spark, f"{self.path}/_versions/{v}")[1], False)
+            whole = {p for v in versions[-keep:] for p, _ in self._list(spark, v)["parts"]}
+            for status in fs.listStatus(root):
+                name = status.getPath().getName()
+                if name.startswith("p-") and name not in named:
+                    fs.delete(status.getPath(), True)
+                elif name in named:
+                    for own in fs.listStatus(status.getPath()):
+                        if f"{name}/{own.getPath().getName()}" not in whole:
+                            fs.delete(own.getPath(), True)
 
 
 class SqliteSink(Sink):
@@ -217,10 +273,11 @@ class SqliteSink(Sink):
         self.execute(f'DELETE FROM "{self.entity.table}"')
 
     def execute(self, command: str) -> int:
-        """SNK-11."""
+        """SNK-11, SNK-12."""
         import sqlite3
 
-        with sqlite3.connect(self.path) as con:
+        log.debug("command: %s", command)
+        with _LOCKS[self.path], sqlite3.connect(self.path) as con:
             return con.execute(command).rowcount
 
     def read(self, spark):
@@ -278,11 +335,18 @@ class CatalogSink(Sink):
         spark.sql(f"TRUNCATE TABLE {self.table}")
 
     def execute(self, spark: SparkSession, command: str) -> DataFrame:
+        log.debug("command: %s", command)
         return spark.sql(command)
 
-    def read(self, spark):
-        from pyspark.sql import functions as F
+    def update(self, updates, key):
+        """Rewrites the table with the changed rows; they are written beside it first, as it cannot be read while it is replaced."""
+        spark, beside = updates.sparkSession, f"{self.table}_next"
+        state = self.entity.rename_out(apply_updates(self.read(spark), updates, key)).select(*[f.column for f in self.entity.ddl_order()])
+        state.write.mode("overwrite").saveAsTable(beside)
+        spark.table(beside).write.mode("overwrite").insertInto(self.table, overwrite=True)
+        spark.sql(f"DROP TABLE {beside}")
 
+    def read(self, spark):
         return spark.table(self.table).select(*[F.col(f.column).alias(f.name) for f in self.entity.mapped])
 
     def insert(self, df):

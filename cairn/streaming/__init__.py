@@ -10,21 +10,25 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.merge import LoadResult
+from ..operators.merge import LoadResult, load_default
 from ..sinks import TableSink
 
 
 def merge_stream(stream: DataFrame, entity: type, sink: TableSink, loader: Callable[..., LoadResult], natural: list[str], checkpoint: str, order: list, prepare: Callable[[DataFrame], DataFrame] | None = None, trigger: dict | None = None, **loader_args) -> StreamingQuery:
     """Each micro-batch is one load into ``sink``, whose state is the table itself.
 
-    Loads go by key hash, so a batch that is tried again after a failure changes nothing more.
+    Each version records the batch that made it, under the checkpoint's name; a batch that is tried again after
+    it has been written is passed over, whatever the loader.
     """
 
     def one(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         sink.create(spark)
+        if batch_id <= sink.last_batch(spark, checkpoint):
+            return
         rows = prepare(batch) if prepare else batch
-        sink.commit(spark, loader(entity, rows, sink.read(spark), order, **loader_args), natural)
+        result = loader(entity, rows, sink.read(spark)) if loader is load_default else loader(entity, rows, sink.read(spark), order, **loader_args)
+        sink.commit(spark, result, natural, batch=(checkpoint, batch_id))
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -110,6 +110,8 @@ def text_of(spark, value, kind):
         (1e16, T.DoubleType(), "1E\\u002B16"),
         (12345678.5, T.DoubleType(), "12345678.5"),
         ("it's <é> & \"q\"", T.StringType(), "it\\u0027s \\u003C\\u00E9\\u003E \\u0026 \\u0022q\\u0022"),
+        ("abc\\", T.StringType(), "abc\\\\"),
+        ("\\\"\n\x01", T.StringType(), "\\\\\\u0022\\n\\u0001"),
         ("😀", T.StringType(), "\\uD83D\\uDE00"),
         (None, T.StringType(), ""),
         (bytearray(b"\x01\xff"), T.BinaryType(), "01FF"),
@@ -119,6 +121,16 @@ def test_invariant_texts(spark, value, kind, text):
     assert text_of(spark, value, kind) == '{"h":["' + text + '"]}'
 
 
+def test_times_hash_alike_in_every_session(spark):
+    df = spark.range(1).select(F.timestamp_seconds(F.lit(0)).alias("v"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        assert df.select(HashSpec(df).include("v").text()).first()[0] == '{"h":["01/01/1970 00:00:00 \\u002B00:00"]}'
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_hash_runs_without_python(person):
     plan = person.select(HashSpec(person).all().column())._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan

@@ -103,6 +103,7 @@ def test_parameters_reach_the_reader(spark):
 def test_data_tests(spark):
     p = Pipeline.extract(FrameReader(rows(spark, 20))).test(F.col("Id") < 15, "Id").load(A, NullSink())
     p.invoke(spark)
+    assert (p.outcomes[0].rows, p.outcomes[0].failed, p.outcomes[0].first_ids) == (20, 5, [15, 16, 17, 18, 19])
     name, seen = p.tests[0]
     assert (seen.get["rows"], seen.get["failed"], seen.get["first"]) == (20, 5, 15)
     got = report_test(rows(spark, 30), F.col("Id") % 2 == 0, "Id")
@@ -195,6 +196,21 @@ def test_stream_and_batch_agree(spark, tmp_path):
     assert got == sorted((r["Id"], r["Quantity"]) for r in state.collect()) == [(i, 2) for i in range(7)]
 
 
+def test_a_batch_that_is_tried_again_adds_nothing(spark, tmp_path):
+    from cairn.operators.merge import load_default
+
+    rows(spark, 5).coalesce(1).write.json(f"{tmp_path}/in")
+    sink = TableSink(f"file://{tmp_path}/t", Line)
+    for _ in range(2):
+        # Without its checkpoint's files the stream begins again with batch 0.
+        stream = spark.readStream.schema("Id int, Quantity int").json(f"{tmp_path}/in")
+        merge_stream(stream, Line, sink, load_default, ["Id"], f"{tmp_path}/check", ["Id"], prepare=lambda df: mapper().apply(df, clock())).awaitTermination(120)
+        import shutil
+
+        shutil.rmtree(f"{tmp_path}/check")
+    assert sink.read(spark).count() == 5
+
+
 def test_cursor_stream(spark, tmp_path):
     path = f"{tmp_path}/s.db"
     with sqlite3.connect(path) as con:

@@ -14,11 +14,11 @@ from cairn.entity import Bool, ColumnName, DateTime, Entity, Fact, ForeignKey, I
 from cairn.operators import extract as ex
 from cairn.operators.find import deleted_rows, find, find_null_safe, lookup_key
 from cairn.operators.merge import load_transaction
-from cairn.params import ExtractParameter, context, get_value, to_markers, user_parameter
+from cairn.params import ExtractParameter, context, get_value, rename_views, to_markers, user_parameter
 from cairn.sinks import CatalogSink, CsvSink, ListSink, NullSink, SinkError, SqliteSink, TableSink
 from cairn.sources import external
 from cairn.sources.external import HttpReader, SqliteReader, fill_uri, get_json
-from cairn.sources.readers import CsvReader, FrameReader, JsonReader, ListReader, ParquetReader, SourceError, SqlReader, bind, file_path, literal
+from cairn.sources.readers import CsvReader, FrameReader, JdbcReader, JsonReader, ListReader, ParquetReader, SourceError, SqlReader, bind, file_path, literal, with_retry
 
 
 class Item:
@@ -185,11 +185,85 @@ def test_table_versions(spark, tmp_path):
         sink.replace(sink.read(spark).where(F.assert_true(F.lit(False)).isNull()))
     assert sink.version(spark) == version and sink.read(spark).count() == 2
     sink.vacuum(spark, keep=1)
-    assert sorted(p.name for p in tmp_path.glob("t/v=*"))[0] == f"v={version}"
+    assert [p.name for p in tmp_path.glob("t/_versions/*") if p.name.isdigit()] == [str(version)]
+    assert sink.read(spark).count() == 2
     sink.truncate(spark)
     assert sink.read(spark).count() == 0
 
 
+def test_a_load_that_is_cut_off_changes_nothing(spark, tmp_path, monkeypatch):
+    sink = TableSink(f"file://{tmp_path}/t", Keyed)
+    sink.insert(spark.range(40).select(F.col("id").cast("int").alias("Id")), ["Id"])
+    before = sink.read(spark).collect()
+    with monkeypatch.context() as m:
+        m.setattr(TableSink, "_publish", lambda *a: (_ for _ in ()).throw(RuntimeError("cut off")))
+        with pytest.raises(RuntimeError):
+            sink.insert(spark.createDataFrame([(99,)], "Id int"), ["Id"])
+    assert sink.version(spark) == 1 and sorted(sink.read(spark).collect()) == sorted(before)
+    # A version is written once: a load that has read the same one fails.
+    with pytest.raises(SinkError):
+        sink._publish(spark, 1, {"parts": [], "batches": {}})
+    assert sink.read(spark).count() == 40
+
+
+def test_a_load_writes_the_buckets_that_it_touches(spark, tmp_path):
+    sink = TableSink(f"file://{tmp_path}/t", Keyed, buckets=8)
+    sink.insert(spark.range(200).select(F.col("id").cast("int").alias("Id")), ["Id"])
+    first = {tuple(p) for p in sink._list(spark, 1)["parts"]}
+    assert len(first) == 8
+    sink.insert(spark.createDataFrame([(500,)], "Id int"), ["Id"], batch=("s", 4))
+    second = {tuple(p) for p in sink._list(spark, 2)["parts"]}
+    assert first < second and len(second) == 9 and sink.last_batch(spark, "s") == 4 and sink.last_batch(spark, "t") == -1
+    one = sink.read(spark).where("Key_ = 7").withColumn("Id", F.lit(-1)).withColumn("_changed", F.array(F.lit("Id")))
+    sink.update(one, "Key_")
+    third = {tuple(p) for p in sink._list(spark, 3)["parts"]}
+    assert len(third - second) == 1 and len(second - third) in (1, 2) and sink.last_batch(spark, "s") == 4
+    got = {r["Key_"]: r["Id"] for r in sink.read(spark).collect()}
+    assert len(got) == 201 and got[7] == -1 and got[201] == 500 and got[8] == 7
+    sink.vacuum(spark, keep=1)
+    assert sink.read(spark).count() == 201
+
+
+def test_csv_columns_go_by_their_names(spark, tmp_path):
+    path = tmp_path / "people.csv"
+    path.write_text("name, ID ,more\nAlice,1,x\nBob,2,y\n")
+    assert [tuple(r) for r in CsvReader(str(path), "id int, name string", header=True).read(spark).orderBy("id").collect()] == [(1, "Alice"), (2, "Bob")]
+    other = tmp_path / "items.csv"
+    other.write_text("Ok,item_name,Id\ntrue,a,1\n")
+    assert [tuple(r) for r in CsvReader(str(other), Item, header=True).read(spark).collect()] == [(1, "a", True)]
+    with pytest.raises(SourceError, match="Id"):
+        CsvReader(str(path), "id int, name string, Id2 int", header=True).read(spark)
+
+
+def test_values_go_in_once(spark):
+    reader = JdbcReader("jdbc:none", "SELECT * FROM t WHERE note = 'at :a @a' AND x = @a AND y = @b -- @a")
+    assert reader.sql([ExtractParameter("a", "@b :b it's"), ExtractParameter("b", datetime(2020, 1, 2, 3))]) == "SELECT * FROM t WHERE note = 'at :a @a' AND x = '@b :b it''s' AND y = '2020-01-02 03:00:00' -- @a"
+    with pytest.raises(SourceError):
+        reader.sql([ExtractParameter("a", 1)])
+    assert literal(bytearray(b"\x01\xff")) == "X'01ff'"
+    tried, waits = [], []
+    with pytest.raises(ValueError):
+        with_retry(lambda: tried.append(1) or int("x"), sleep=waits.append)
+    assert len(tried) == 5 and waits == [1, 2, 4, 8]
+    assert with_retry(lambda: tried.append(1) or len(tried), sleep=waits.append) == 6
+    assert rename_views("SELECT a.x, 'a', \"a\" FROM a -- a\n, aa WHERE @a", {"a": "b1"}) == "SELECT b1.x, 'a', \"a\" FROM b1 -- a\n, aa WHERE @a"
+
+
+def test_rows_left_out_are_counted(spark, caplog):
+    raw = spark.createDataFrame([("1", "a", "true"), ("x", "b", "true")], "id string, item_name string, ok string")
+    reader = SqlReader("SELECT * FROM raw", views={"raw": raw}, entity=Item)
+    assert reader.read(spark).count() == 1 and reader.report() == 1
+    assert "1 of 2 rows" in caplog.text and reader.rejected.count() == 1
+
+
+def test_lookups_take_one_version(spark):
+    dim = spark.createDataFrame([(1, 7, datetime(2000, 1, 1), datetime(2001, 1, 1), False), (2, 7, datetime(2001, 1, 1), None, True)], "CustomerKey int, Id int, FromDate timestamp_ntz, ToDate timestamp_ntz, IsActive boolean")
+    facts = spark.createDataFrame([(7, datetime(2000, 6, 1)), (7, datetime(2001, 1, 1)), (8, datetime(2001, 1, 1))], "Id int, day timestamp_ntz")
+    assert sorted((r["Id"], r["day"].year, r["CustomerKey"]) for r in lookup_key(facts, dim, {"Id": "Id"}, "CustomerKey").collect() if r["Id"] == 7) == [(7, 2000, 2), (7, 2001, 2)]
+    got = lookup_key(facts, dim, {"Id": "Id"}, "CustomerKey", at="day").collect()
+    assert sorted((r["Id"], r["day"].year, r["CustomerKey"] or 0) for r in got) == [(7, 2000, 1), (7, 2001, 2), (8, 2001, 0)]
+
+
 def test_plain_sinks(spark, tmp_path):
     out: list = []
     ListSink(out).insert(items(spark))
