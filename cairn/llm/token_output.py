@@ -43,7 +43,7 @@ HEADER = struct.Struct("<8sQQQQ")
 #: Tokens in a shard, and in the pieces in which it is decoded.
 SHARD_TOKENS, CHUNK_TOKENS = 1 << 24, 1 << 20
 #: Text that is encoded at a time; what a worker's remembered words may take, and what each takes besides its letters and ids.
-SLICE_BYTES, WORD_BYTES, WORD_OVERHEAD = 4 << 20, 32 << 20, 200
+SLICE_BYTES, WORD_BYTES, WORD_OVERHEAD = 8 << 20, 64 << 20, 200
 
 # Decoding tables, by control byte: bytes of each of the four values, their offsets, their sum.
 LANE_BYTES = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
