@@ -9,9 +9,11 @@ alike enough share a word among the first few in that order (prefix filter). Whe
 in either bounds what they can have in common (length and positional filters); the bits in which the parities of
 their hashed words differ bound it too. What is left is verified on the whole sets.
 
-Words that begin more than ``HOT_CLASSES`` classes are counted first. Among the classes of such a word only
-those that share a second early word meet (any two alike do), and there each class is first held against
-the earliest, as often as that settles many; only classes that are still open are held against all earlier ones.
+Words that begin more than ``HOT_CLASSES`` classes are counted first and split by length: sets alike enough lie in one band
+of lengths or in two that adjoin. Where a band of a word still has more than ``HOT_BANDS`` times as many, only those that share
+a second early word meet (any two alike do), and there each class is first held against the earliest, as often as that settles
+many; only classes that are still open are held against all earlier ones. These rows by two words are made and used up in as
+many parts as keep each below ``SECOND_ROWS`` rows a class.
 
 Cases: null and empty texts have no lines to remove; null ids come last in the order; rows with one id
 and one text are one document, reported for each row; repeated lines are one class, whatever their number; an empty
@@ -31,8 +33,10 @@ from .common import discard, if_small, materialize, semi, unused
 
 #: The similarity as a whole fraction, so that nothing is rounded.
 SIMILARITY = NUM, DEN = 4, 5
-#: Classes that may meet by one word; the share of open ones that a round must settle for another to follow.
-HOT_CLASSES, ROUND_SHARE = 512, 0.1
+#: Classes that may meet by one word, and as a multiple of that by one word and length; the share of open ones that a round must settle for another to follow.
+HOT_CLASSES, HOT_BANDS, ROUND_SHARE = 512, 4, 0.1
+#: Rows by two words that there may be at a time: for each class, and whatever their number.
+SECOND_ROWS, SECOND_LEAST = 2, 1_000_000
 #: Buckets in which words are counted to see where hot ones may be; at most as many rows are broadcast.
 HOT_BUCKETS = 1 << 18
 #: Leading bits of a hash that make its bucket; bits of a hash that stand below its level of rarity.
@@ -40,7 +44,7 @@ BUCKET_BITS, BELOW_LEVEL = 18, 57
 #: Words from which on a line has a second word of parities.
 SECOND_PARITY = 40
 #: Parts in which prefixes are shuffled, one after the other, so that the disk holds one of them.
-PASSES = 2
+PASSES = 3
 #: Words repeat within a file of lines: with a large dictionary each takes a few bits, which no codec shortens.
 LINE_FILES = {"parquet.dictionary.page.size": 8 << 20, "compression": "uncompressed"}
 
@@ -117,6 +121,34 @@ def _hot_words(classes: DataFrame) -> DataFrame | None:
     return hot if hot.limit(1).count() else None
 
 
+def _band(n: Column) -> Column:
+    """The band of lengths that n lies in: each begins just above 5/4 of where the last began, so sets alike enough are at most one apart."""
+    starts = [1]
+    while starts[-1] < 1 << 30:
+        starts.append(starts[-1] * DEN // NUM + 1)
+    return F.size(F.filter(F.array(*map(F.lit, starts)), lambda s: s <= n))
+
+
+def _met_by(classes: DataFrame, hot: DataFrame | None, how: str) -> DataFrame:
+    """Rows of _begun by ``key``: a word, or if it is hot a word and a band, the class's own (role 0) and the one below (role 1); "inner": hot ones only."""
+    rows = _begun(classes)
+    if hot is None:
+        return rows.withColumn("key", F.col("tok")).withColumn("role", F.lit(0))
+    rows = rows.join(if_small(hot.withColumn("hot", F.lit(True))), "tok", how).withColumn("band", F.when(F.col("hot"), _band(F.col("n"))))
+    keys = F.when(F.col("hot"), F.array(F.xxhash64("tok", "band"), F.xxhash64("tok", F.col("band") - 1))).otherwise(F.array("tok"))
+    return rows.select("*", F.posexplode(keys).alias("role", "key"))
+
+
+def _hot_keys(classes: DataFrame, hot: DataFrame) -> DataFrame | None:
+    """The keys, of a hot word and a band, with too many classes to meet by them, or None."""
+    keys = _met_by(classes, hot, "inner").groupBy("key").count().where(F.col("count") > HOT_BANDS * HOT_CLASSES)
+    found = materialize(keys.select("key"), "keys")
+    if found.limit(1).count():
+        return found
+    discard(found)
+    return None
+
+
 def _pairs(found: DataFrame, a: str, b: str) -> DataFrame:
     return found.select(F.col(f"{a}.cls").alias("a"), F.col(f"{b}.cls").alias("b")).distinct()
 
@@ -128,14 +160,16 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(_enough(F.size(F.array_intersect("ta", "tb")), F.size("ta"), F.size("tb"))).select(F.col("b").alias("cls")).distinct()
 
 
-def _cold_pairs(classes: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) of classes that may match, met by a word that is not hot; a and b as their numbers stand."""
-    rows = _begun(classes).select("tok", "cls", "n", "pos", "bits", "more")
-    rows = rows if hot is None else rows.join(if_small(hot), "tok", "left_anti")
+def _cold_pairs(classes: DataFrame, hot: DataFrame | None, heavy: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) of classes that may match, met by a key that is not heavy; a and b as their numbers stand, or as their bands do."""
+    rows = _met_by(classes, hot, "left").select("key", "role", "cls", "n", "pos", "bits", "more")
+    rows = rows if heavy is None else rows.join(if_small(heavy), "key", "left_anti")
     parts = []
     for i in range(PASSES):
-        part = rows.where(F.pmod("tok", F.lit(PASSES)) == i)
-        met = part.alias("x").join(part.alias("y"), F.col("x.tok") == F.col("y.tok")).where((F.col("x.cls") < F.col("y.cls")) & _may_match("x", "y"))
+        part = rows.where(F.pmod("key", F.lit(PASSES)) == i)
+        # No condition is on one side alone: so both sides are one exchange.
+        once = (F.col("x.role") < F.col("y.role")) | ((F.col("x.role") + F.col("y.role") == 0) & (F.col("x.cls") < F.col("y.cls")))
+        met = part.alias("x").join(part.alias("y"), F.col("x.key") == F.col("y.key")).where(once & _may_match("x", "y"))
         parts.append(materialize(_pairs(met, "x", "y"), "pairs"))
     pairs = materialize(reduce(DataFrame.unionByName, parts).distinct(), "pairs")
     for part in parts:
@@ -143,11 +177,17 @@ def _cold_pairs(classes: DataFrame, hot: DataFrame | None) -> DataFrame:
     return pairs
 
 
-def _hot_rows(classes: DataFrame, hot: DataFrame) -> DataFrame:
-    """A row (key, r) for each hot word of a class and each word after it in its head."""
-    second = F.explode(F.expr("slice(head, pos + 2, size(head))"))
-    rows = _begun(classes).join(if_small(hot), "tok").select("cls", "first", "n", "pos", "bits", "more", "tok", second.alias("next"))
-    return materialize(rows.select(F.xxhash64("tok", "next").alias("key"), F.struct("first", "cls", "n", "pos", "bits", "more").alias("r")), "second")
+def _hot_rows(classes: DataFrame, hot: DataFrame, heavy: DataFrame) -> DataFrame:
+    """A row (key, role, r) for each heavy key of a class and each word after that of the key in its head."""
+    rows = _met_by(classes, hot, "inner").join(if_small(heavy), "key")
+    rows = rows.select("key", "role", F.struct("first", "cls", "n", "pos", "bits", "more").alias("r"), F.explode(F.expr("slice(head, pos + 2, size(head))")).alias("next"))
+    return rows.select(F.xxhash64("key", "next").alias("key"), "role", "r")
+
+
+def _second_parts(classes: DataFrame, rows: DataFrame) -> list[DataFrame]:
+    """``rows`` in parts by key, of about SECOND_ROWS rows a class or SECOND_LEAST at most."""
+    n = max(1, -(-rows.count() // max(SECOND_LEAST, SECOND_ROWS * classes.count())))
+    return [rows.where(F.pmod(F.shiftrightunsigned("key", 8), F.lit(n)) == i) for i in range(n)]
 
 
 def _late_cold(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -167,23 +207,24 @@ def _late_cold(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFra
 
 def _late_hot(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Classes of ``rows`` that match an earlier one with the same key."""
+    rows = materialize(rows, "second")
     remaining, done = rows, []
     while True:
         leads = remaining.groupBy("key").agg(F.min("r").alias("lead"))
         beside = remaining.join(leads, "key").where(F.col("lead.cls") != F.col("r.cls"))
         settled = materialize(_alike(_pairs(beside.where(_may_match("lead", "r")), "lead", "r"), sets), "settled")
         done.append(settled)
-        left = materialize(beside.select("key", "r", F.col("r.cls").alias("cls")).join(if_small(settled), "cls", "left_anti").drop("cls"), "open")
+        left = materialize(beside.select("key", "role", "r", F.col("r.cls").alias("cls")).join(if_small(settled), "cls", "left_anti").drop("cls"), "open")
         before, after = remaining.count(), left.count()
         if remaining is not rows:
             discard(remaining)
         remaining = left
         if before - after < ROUND_SHARE * before or not after:
             break
-    met = remaining.select("key", F.col("r").alias("late")).join(rows.select("key", F.col("r").alias("early")), "key")
-    met = met.where((F.col("early.first") < F.col("late.first")) & _may_match("early", "late"))
+    met = remaining.select("key", F.col("role").alias("lr"), F.col("r").alias("late")).join(rows.select("key", F.col("role").alias("er"), F.col("r").alias("early")), "key")
+    met = met.where((F.col("lr") + F.col("er") < 2) & (F.col("early.first") < F.col("late.first")) & _may_match("early", "late"))
     late = materialize(reduce(DataFrame.unionByName, done, _alike(_pairs(met, "early", "late"), sets)).distinct(), "late")
-    for part in (*done, remaining):
+    for part in {id(x): x for x in (*done, remaining, rows)}.values():
         discard(part)
     return late
 
@@ -196,18 +237,18 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     lines = materialize(tokens.select("nd", "k", "tie", "line", F.xxhash64("toks").alias("cls"), "toks"), "lines", **LINE_FILES)
     classes = _classes(lines)
     hot = _hot_words(classes)
-    pairs, involved = _cold_pairs(classes, hot), F.explode(F.array("a", "b")).alias("cls")
-    involved = pairs.select(involved)
-    rows = None if hot is None else _hot_rows(classes, hot)
-    if rows is not None:
-        involved = involved.unionByName(rows.select("r.cls"))
+    heavy = None if hot is None else _hot_keys(classes, hot)
+    pairs = _cold_pairs(classes, hot, heavy)
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
+    if heavy is not None:
+        involved = involved.unionByName(_met_by(classes, hot, "inner").join(if_small(heavy), "key", "left_semi").select("cls"))
     involved = materialize(involved.distinct(), "involved")
     sets = materialize(semi(lines.select("cls", "toks"), involved, "cls").groupBy("cls").agg(F.first("toks").alias("toks")), "sets", **LINE_FILES)
     late = _late_cold(pairs, classes, sets)
-    if rows is not None:
-        late = late.unionByName(_late_hot(rows, sets)).distinct()
-        discard(rows)
-        discard(hot)
+    if heavy is not None:
+        parts = [_late_hot(part, sets) for part in _second_parts(classes, _hot_rows(classes, hot, heavy))]
+        late = reduce(DataFrame.unionByName, parts, late).distinct()
+        discard(heavy)
     late = materialize(late.withColumn("late", F.lit(True)), "late")
     flagged = classes.select("cls", "first", "lines").join(if_small(late, 2), "cls", "left").where("lines > 1 or late")
     flagged = materialize(flagged.select("cls", "first", F.coalesce("late", F.lit(False)).alias("late")), "flagged")
