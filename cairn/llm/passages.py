@@ -10,8 +10,10 @@ stretches with a Jaccard similarity of ``SIMILARITY`` or more are repeated passa
 
 Exact copies are put together first, by the 64-bit hash of the text, and only one of each is searched. In a group of
 at most ``SMALL_GROUP`` documents with one min-hash, all are paired. In a larger one each is paired with the least, and
-again within the groups of those that also share the min-hash of another function near by, by the same rule. So
-groups grow linearly, and what is alike in a large group but not to its least member meets in the second groups.
+again within the groups of those that also share the min-hash of another function near by, by the same rule. What
+that links is one component. All pairs that two functions' min-hashes bring together and that are not yet in one component
+are then compared too, whatever the size of their groups (see ``_large_across``): no two documents that meet and hold
+a passage in common are in different components. Pairs within a component need not all be listed as partners.
 
 Cases: null and empty texts, and those shorter than a passage, have no windows; rows with one text, whatever
 their ids, are one class, searched even if none has an id (it is then nobody's partner by id); rows with one id and
@@ -21,6 +23,8 @@ more than ``BATCH_WORDS`` words is taken by itself. Other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import discard, if_small, join_hot, materialize, semi, tidy
+from .components import components
 
 SHINGLE, MIN_WORDS, SIMILARITY = 5, 50, 0.8
 HASHES, NEEDED = 4, 2
@@ -211,7 +216,10 @@ def verify(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int]]:
 
 def _stretches(hit: np.ndarray, width: int) -> list[tuple[int, int]]:
     """Stretches of ``width`` or more that start and end in a hit and have no gap longer than a fifth of it."""
-    at = np.nonzero(hit)[0]
+    return _runs(np.nonzero(hit)[0], width)
+
+
+def _runs(at: np.ndarray, width: int) -> list[tuple[int, int]]:
     if not len(at):
         return []
     most = round((1 - SIMILARITY) * MIN_WORDS)
@@ -266,18 +274,33 @@ def _within(rows: DataFrame, key: str) -> DataFrame:
     return every.unionByName(hot.select(*_pair_rows("lead", "own", True)))
 
 
-def candidates(windows: DataFrame) -> DataFrame:
-    """(a, b, star, af, at, bf, bt), a < b: documents whose windows of enough hash functions meet, and what those span.
+PAIR = "a long, b long, star boolean, af int, at int, bf int, bt int"
 
-    star: known from a large group only.
-    """
+
+def _spans(windows: DataFrame) -> DataFrame:
+    """What the windows of one min-hash that a document has span, for min-hashes of more than one document."""
     shared = materialize(windows.groupBy("v").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("v"), "shared")
     met = materialize(windows.join(shared, "v", "left_semi"), "met")
     discard(windows)
-    # Of windows that one document has of a min-hash, what they span.
     spans = materialize(met.groupBy("v", "doc").agg(F.first("k").alias("k"), F.min("l").alias("l"), F.max("r").alias("r"), F.min("c").alias("c")), "spans")
     discard(met)
     discard(shared)
+    return spans
+
+
+def _meeting(pairs: DataFrame) -> DataFrame:
+    """Of rows for each pair and window, the pairs whose windows of enough hash functions meet, and what those span."""
+    ends = [f("l" + x if f is F.min else "r" + x).alias(x + t) for x in "ab" for f, t in ((F.min, "f"), (F.max, "t"))]
+    listed = pairs.groupBy("a", "b").agg(F.collect_list(F.struct("k", "la", "ra", "lb", "rb")).alias("ws"), F.min("star").alias("star"), F.bit_or(F.expr("shiftleft(1, k)")).alias("ks"), *ends)
+    enough = listed.where(F.bit_count("ks") >= NEEDED).select("a", "b", "star", "af", "at", "bf", "bt", "ws")
+    return materialize(enough.mapInArrow(tidy(_meet_batches), PAIR), "pairs")
+
+
+def candidates(spans: DataFrame) -> DataFrame:
+    """(a, b, star, af, at, bf, bt), a < b: documents whose windows of enough hash functions meet, and what those span.
+
+    star: known from a large group only.
+    """
     hot = materialize(spans.groupBy("v").count().where(F.col("count") > SMALL_GROUP).select("v"), "hot")
     # In a large group, those that also share the min-hash of another function near by make groups of their own.
     within = spans.join(if_small(hot), "v", "left_semi").select("doc").distinct()
@@ -286,20 +309,100 @@ def candidates(windows: DataFrame) -> DataFrame:
     width = MIN_WORDS - SHINGLE + 1
     around = around.where((F.col("o.k") != F.col("k")) & (F.least("r", "o.r") - F.greatest("l", "o.l") + 1 >= width))
     second = around.select(F.xxhash64("v", "o.v").alias("w"), "doc", "k", "l", "r").dropDuplicates(["w", "doc"])
-    pairs = _within(spans.drop("c"), "v").unionByName(_within(second, "w"))
-    ends = [f("l" + x if f is F.min else "r" + x).alias(x + t) for x in "ab" for f, t in ((F.min, "f"), (F.max, "t"))]
-    listed = pairs.groupBy("a", "b").agg(F.collect_list(F.struct("k", "la", "ra", "lb", "rb")).alias("ws"), F.min("star").alias("star"), F.bit_or(F.expr("shiftleft(1, k)")).alias("ks"), *ends)
-    enough = listed.where(F.bit_count("ks") >= NEEDED).select("a", "b", "star", "af", "at", "bf", "bt", "ws")
-    out = materialize(enough.mapInArrow(tidy(_meet_batches), "a long, b long, star boolean, af int, at int, bf int, bt int"), "pairs")
-    discard(spans)
+    out = _meeting(_within(spans.drop("c"), "v").unionByName(_within(second, "w")))
     discard(hot)
     return out
 
 
-def repeated_passages(texts: DataFrame) -> DataFrame:
-    """(a, b, star, passages): verified passages of pairs of ``texts`` (doc, text: distinct numbers and texts), a < b."""
-    windows = materialize(texts.select("doc", "text").mapInArrow(tidy(_window_batches), "v long, doc long, k byte, l int, c int, r int"), "windows")
-    pairs = candidates(windows)
+def _divided(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` (doc, grp) of the keys whose documents are in more than one group; main: the group of most of them, size: their number."""
+    sizes = rows.groupBy(key, "grp").count().groupBy(key).agg(F.max_by("grp", F.struct("count", "grp")).alias("main"), F.sum("count").alias("size"), F.count("*").alias("n"))
+    return rows.join(sizes.where("n > 1").drop("n"), key)
+
+
+def _crossed(met: DataFrame) -> DataFrame:
+    """Pairs (a, b, af, at, bf, bt) of joined rows x and y (doc, l, r)."""
+    ahead = F.col("x.doc") < F.col("y.doc")
+    ends = [F.when(ahead, F.col(f"{s}.{c}")).otherwise(F.col(f"{t}.{c}")).alias(n) for s, t, n in (("x", "y", "a"), ("y", "x", "b")) for c, n in (("l", n + "f"), ("r", n + "t"))]
+    return met.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"), *ends)
+
+
+def _all_across(rows: DataFrame) -> DataFrame:
+    """All pairs of the ``rows`` of each w, as of ``_divided``, that are in different groups: those outside the main one meet all."""
+    met = rows.where("grp != main").alias("x").join(rows.alias("y"), F.col("x.w") == F.col("y.w"))
+    return _crossed(met.where((F.col("x.grp") != F.col("y.grp")) & ((F.col("y.grp") == F.col("y.main")) | (F.col("x.doc") < F.col("y.doc")))))
+
+
+def _shingle_batches(batches):
+    """(w, doc, grp, l, r, s, at, fresh): a row for each shingle of each row (w, doc, grp, l, r, part); fresh: its first place there."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            seqs = [np.frombuffer(x, "<u4") for x in part.column(5).to_pylist()]
+            of = np.repeat(np.arange(len(seqs)), [len(x) for x in seqs])
+            flat = np.concatenate(seqs)
+            place = np.arange(len(of)) - np.searchsorted(of, of)
+            fresh = np.zeros(len(of), bool)
+            fresh[np.unique(of.astype(np.uint64) << np.uint64(32) | flat, return_index=True)[1]] = True
+            rows = [part.column(c).take(pa.array(of)) for c in range(5)]
+            yield pa.RecordBatch.from_arrays([*rows, pa.array(flat.view(np.int32)), pa.array(place.astype(np.int32)), pa.array(fresh)], names=["w", "doc", "grp", "l", "r", "s", "at", "fresh"])
+
+
+def _long_batches(batches):
+    """The rows whose places (the last column) have a stretch as long as a passage."""
+    for batch in batches:
+        last = batch.num_columns - 1
+        keep = [bool(_runs(np.sort(np.array(x, np.int64)), MIN_WORDS - SHINGLE + 1)) for x in batch.column(last).to_pylist()]
+        yield batch.select(range(last)).filter(pa.array(keep, pa.bool_()))
+
+
+def _large_across(rows: DataFrame, texts: DataFrame) -> list[DataFrame]:
+    """All pairs of the ``rows`` of each w, as ``_all_across``, of which ``verify`` may find a passage.
+
+    Shingles that at most SMALL_GROUP documents of a w have make groups of their own, in which all meet. A pair without such a
+    shingle can only have a passage of the others: then both have a stretch of these as long as a passage, and all those meet.
+    """
+    held = semi(texts, rows.select("doc").distinct(), "doc").select("doc", "text").mapInArrow(tidy(_sequence_batches), "doc long, seq binary")
+    parts = rows.join(held, "doc").select("w", "doc", "grp", "l", "r", F.expr("substring(seq, l * 4 + 1, (r - l + 1) * 4)").alias("part"))
+    every = materialize(parts.mapInArrow(tidy(_shingle_batches), "w long, doc long, grp long, l int, r int, s int, at int, fresh boolean"), "every")
+    keys = every.where("fresh").groupBy("w", "s").agg(F.count("*").alias("n"), (F.min("grp") != F.max("grp")).alias("mixed"))
+    keys = materialize(keys.where("n > 1"), "keys")
+    rare = every.where("fresh").join(keys.where(F.col("mixed") & (F.col("n") <= SMALL_GROUP)).select("w", "s"), ["w", "s"]).select("w", "s", "doc", "grp", "l", "r")
+    rare = materialize(rare, "rare")
+    met = rare.alias("x").join(rare.alias("y"), (F.col("x.w") == F.col("y.w")) & (F.col("x.s") == F.col("y.s"))).where((F.col("x.doc") < F.col("y.doc")) & (F.col("x.grp") != F.col("y.grp")))
+    common = if_small(keys.where(F.col("n") > SMALL_GROUP).select("w", "s"), 2)
+    placed = every.join(common, ["w", "s"]).groupBy("w", "doc", "grp", "l", "r").agg(F.collect_list("at").alias("places"))
+    long = placed.mapInArrow(tidy(_long_batches), "w long, doc long, grp long, l int, r int")
+    long = materialize(_divided(long, "w"), "long")
+    out = [materialize(x.distinct(), "across") for x in (_crossed(met), _all_across(long))]
+    for part in (every, keys, rare, long):
+        discard(part)
+    return out
+
+
+def _across(spans: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """Candidates, as of ``candidates``, between all documents that are not in one group (node, root) yet.
+
+    Those that share the min-hashes of two functions over a common interval meet, whatever their number; pairs within a group
+    are never made.
+    """
+    own = spans.join(if_small(groups.select(F.col("node").alias("doc"), "root"), 2), "doc", "left")
+    own = materialize(own.select("v", "doc", "k", "l", "r", F.coalesce("root", "doc").alias("grp")), "grouped")
+    first = materialize(_divided(own, "v").drop("main", "size"), "divided")
+    width = MIN_WORDS - SHINGLE + 1
+    two = first.alias("x").join(first.alias("y"), F.col("x.doc") == F.col("y.doc")).where((F.col("x.k") < F.col("y.k")) & (F.least("x.r", "y.r") - F.greatest("x.l", "y.l") + 1 >= width))
+    two = materialize(two.select(F.xxhash64("x.v", "y.v").alias("w"), "x.doc", F.greatest("x.l", "y.l").alias("l"), F.least("x.r", "y.r").alias("r"), "x.grp"), "two")
+    told = materialize(_divided(two, "w"), "told")
+    parts = [_all_across(told.where(F.col("size") <= SMALL_GROUP)), *_large_across(told.where(F.col("size") > SMALL_GROUP), texts)]
+    pairs = reduce(DataFrame.unionByName, parts).groupBy("a", "b").agg(*[f(c).alias(c) for c, f in (("af", F.min), ("at", F.max), ("bf", F.min), ("bt", F.max))])
+    out = materialize(pairs.select("a", "b", F.lit(False).alias("star"), "af", "at", "bf", "bt"), "pairs")
+    for part in (own, first, two, told, *parts[1:]):
+        discard(part)
+    return out
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, star, passages) of the ``pairs`` that have passages in common."""
     involved = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "involved")
     held = materialize(semi(texts, involved, "doc").select("doc", "text").mapInArrow(tidy(_sequence_batches), "doc long, seq binary"), "held")
 
@@ -309,14 +412,32 @@ def repeated_passages(texts: DataFrame) -> DataFrame:
     # Of either sequence only what the windows span goes on.
     with_a = pairs.join(held.withColumnRenamed("doc", "a"), "a").select("a", "b", "star", "af", "bf", "bt", part("a"))
     both = with_a.join(held.withColumnRenamed("doc", "b"), "b").select("a", "b", "star", "af", "bf", "sa", part("b"))
-    return both.mapInArrow(tidy(_verify_batches), f"a long, b long, star boolean, passages {PASSAGE}")
+    found = materialize(both.mapInArrow(tidy(_verify_batches), f"a long, b long, star boolean, passages {PASSAGE}"), "found")
+    for done in (involved, held, pairs):
+        discard(done)
+    return found
+
+
+def repeated_passages(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verified passages (a, b, star, passages) of pairs of ``texts`` (doc, text: distinct numbers and texts), a < b, and the groups (node, root) that they link."""
+    windows = materialize(texts.select("doc", "text").mapInArrow(tidy(_window_batches), "v long, doc long, k byte, l int, c int, r int"), "windows")
+    spans = _spans(windows)
+    found = _verified(candidates(spans), texts)
+    groups = components(found)
+    rest = _verified(_across(spans, groups, texts), texts)
+    discard(spans)
+    found = found.unionByName(rest)
+    if rest.limit(1).count():
+        groups = components(found)
+    return found, groups
 
 
 def passage_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document: doc_id, copy_of, repeated, n_passages, passages (text), partners (list of ids).
+    """A row for each document: doc_id, copy_of, repeated, n_passages, passages (text), partners (list of ids), component_id.
 
     ``copy_of`` is the least id with the same text. ``passages`` are word ranges start-end of the
-    document (end exclusive); ``partners`` are least ids of other texts that hold one of them.
+    document (end exclusive); ``partners`` are least ids of other texts that hold one of them. ``component_id`` is the
+    least id that passages link the document to, directly or through others, its own copies included.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("doc", F.xxhash64("text"))
     long = F.size(F.split(F.trim("text"), r"[\x20\x09-\x0D]+")) >= MIN_WORDS
@@ -330,7 +451,7 @@ def passage_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     own = narrow.select("doc", F.col("doc_id").isNull().alias("nd"), F.coalesce("doc_id", F.lit(0)).alias("k"))
     if own.join(if_small(reps, 3), ["doc", "nd", "k"], "left_semi").groupBy("doc").count().where("count > 1").limit(1).count():
         texts = texts.groupBy("doc").agg(F.min("text").alias("text"))
-    found = materialize(repeated_passages(texts), "passages")
+    found, groups = repeated_passages(texts)
     p = found.select("a", "b", "star", F.explode("passages").alias("p"))
     ours = p.select(F.col("b").alias("doc"), F.col("a").alias("other"), F.col("p.b_from").alias("s"), F.col("p.b_to").alias("e"))
     theirs = p.select(F.col("a").alias("doc"), F.col("b").alias("other"), F.col("p.a_from").alias("s"), F.col("p.a_to").alias("e"), "star")
@@ -339,7 +460,12 @@ def passage_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     spans = ours.unionByName(theirs.where("not star").drop("star")).unionByName(lead)
     told = spans.join(classes.select(F.col("doc").alias("other"), F.col("copy_of").alias("partner")), "other")
     told = told.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"), F.array_sort(F.collect_set("partner")).alias("partners"))
-    members = join_hot(narrow.select("doc_id", "doc"), classes.join(told, "doc", "left").select("doc", "copy_of", "long", "copies", F.col("copies").alias("rows"), "spans", "partners"), "doc", "rows", 64)
+    # A root has no row of its own.
+    every = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
+    linked = every.join(classes.select(F.col("doc").alias("node"), "copy_of"), "node")
+    linked = linked.join(linked.groupBy("root").agg(F.min("copy_of").alias("component_id")), "root").select(F.col("node").alias("doc"), "component_id")
+    told = classes.join(told, "doc", "left").join(linked, "doc", "left").withColumn("component_id", F.coalesce("component_id", "copy_of"))
+    members = join_hot(narrow.select("doc_id", "doc"), told.select("doc", "copy_of", "long", "copies", F.col("copies").alias("rows"), "spans", "partners", "component_id"), "doc", "rows", 64)
     return members.select(
         "doc_id",
         "copy_of",
@@ -347,4 +473,5 @@ def passage_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.coalesce(F.size("spans"), F.lit(0)).alias("n_passages"),
         F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["s"], x["e"])), ",").alias("passages"),
         F.coalesce("partners", F.array().cast("array<bigint>")).alias("partners"),
+        "component_id",
     )

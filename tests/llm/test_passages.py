@@ -108,6 +108,55 @@ def test_pairs_within_large_groups_are_found(spark, monkeypatch, small, least):
     assert sum(r["repeated"] for r in got.values()) >= least * len(rows)
 
 
+def meeting_pairs(texts):
+    """Pairs whose windows of two hash functions meet over a common interval and that hold a passage, by brute force.
+
+    ``verify`` may divide a wider range elsewhere and miss a passage just at the limit: only what it finds in either range counts.
+    """
+    width, spans, seqs = pg.MIN_WORDS - pg.SHINGLE + 1, [], [pg.shingles(pg.word_codes(t)) for t in texts]
+    for seq in seqs:
+        mine = {}
+        for k in range(pg.HASHES):
+            _, left, _, right, value = pg.compact_windows(pg._mix(seq ^ pg._ODD[10 + k]), [len(seq)], width)
+            for s, e, v in zip(left.tolist(), right.tolist(), value.tolist(), strict=True):
+                was = mine.get((k, v), (s, e))
+                mine[k, v] = min(s, was[0]), max(e, was[1])
+        spans.append(mine)
+    out = set()
+    for b in range(len(texts)):
+        for a in range(b):
+            both = [x for x in spans[a] if x in spans[b]]
+            for x in both:
+                for y in both:
+                    (la, ra), (lb, rb) = ((max(m[x][0], m[y][0]), min(m[x][1], m[y][1])) for m in (spans[a], spans[b]))
+                    if x[0] < y[0] and min(ra - la, rb - lb) + 1 >= width and pg.verify(seqs[a][la : ra + 1], seqs[b][lb : rb + 1]) and pg.verify(seqs[a], seqs[b]):
+                        out.add((a, b))
+    return out
+
+
+@pytest.mark.parametrize("small,share", [(2, 0.1), (4, 0.04), (8, 0.1)])
+def test_no_link_of_a_large_group_is_lost(spark, monkeypatch, small, share):
+    """All that meets and is alike is in one component, however large the groups in which it meets."""
+    monkeypatch.setattr(pg, "SMALL_GROUP", small)
+    rng = random.Random(8)
+    texts = []
+    for _ in range(3):
+        base = prose(rng, 70)
+        for _ in range(14):
+            one = [w if rng.random() > share else f"u{rng.randrange(10**9)}" for w in base]
+            for passage in (one, [w if i != 30 else f"x{rng.randrange(10**9)}" for i, w in enumerate(one)]):
+                texts.append(" ".join(prose(rng, 20, 60_000) + passage + prose(rng, 20, 60_000)))
+    phrase = prose(rng, 12)  # in all of them, in different company
+    texts += [" ".join(prose(rng, 60, 60_000) + phrase + prose(rng, 60, 60_000)) for _ in range(40)]
+    want = meeting_pairs(texts)
+    got = {r["doc_id"]: r for r in pg.passage_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    assert len(want) > 40
+    assert not [p for p in want if got[p[0]]["component_id"] != got[p[1]]["component_id"]]
+    assert all(got[d]["repeated"] for p in want for d in p)
+    assert all(got[p]["component_id"] == r["component_id"] for r in got.values() for p in r["partners"])
+    assert not any(got[d]["repeated"] for d in range(len(texts) - 40, len(texts)))
+
+
 def test_recall_against_brute_force(spark):
     rng = random.Random(6)
     texts = [" ".join(prose(rng, 120, 60_000)) for _ in range(20)]
