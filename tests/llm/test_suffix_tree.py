@@ -142,3 +142,31 @@ def test_chances_in_every_state_add_up(spark, monkeypatch):
             ids = np.array([*before, symbol])
             total += tree.chances(ids, np.arange(len(ids)), np.append(np.ones(len(before)), r))[-1]
         assert abs(total - 1) < 1e-9
+
+
+@pytest.mark.parametrize("block,part", [(500, 300), (1 << 21, 1 << 21)])
+def test_rounds_make_the_same_tree(spark, docs, monkeypatch, block, part):
+    monkeypatch.setattr(st, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(st, "PART_SYMBOLS", part)
+    for df in (docs, spark.createDataFrame(repeating(4, 120), "doc_id long, text string").repartition(3)):
+        monkeypatch.setattr(st, "TREE_SYMBOLS", 1 << 20)
+        want = sorted(score(df), key=repr)
+        monkeypatch.setattr(st, "TREE_SYMBOLS", 1)
+        got = sorted(score(df), key=repr)
+        assert [tuple(r)[:5] for r in got] == [tuple(r)[:5] for r in want]
+        for c in ("base_score", "score"):
+            assert [r[c] for r in got] == pytest.approx([r[c] for r in want], rel=1e-9)
+        assert any(r["score"] != r["base_score"] for r in got)
+
+
+@pytest.mark.parametrize("most", [1, 1 << 20])
+def test_a_rare_context_is_a_state_in_a_corpus_of_any_size(spark, monkeypatch, most):
+    monkeypatch.setattr(st, "TREE_SYMBOLS", most)
+    rows = [(i, "rarely seen together") for i in (1, 3, 4)]
+    # So many other symbols that the context's share is below one in 10,000.
+    rows += [(100 + i, " ".join(f"u{i}x{k}" for k in range(400))) for i in range(100)]
+    got = {r["doc_id"]: r for r in st.score_corpus(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False)).collect()}
+    assert 3 < 1e-4 * sum(len(tokens(t)) for _, t in rows)
+    # The first word has 2.25 of 103 after an end, each of the others at least 2.25 of 3 after the one before.
+    least = math.log10((3 - st.DISCOUNT) / 103) + 3 * math.log10((3 - st.DISCOUNT) / 3)
+    assert all(0.2 * got[i]["base_score"] < least < got[i]["score"] < 0 for i in (1, 3, 4))
