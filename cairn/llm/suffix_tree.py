@@ -309,7 +309,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 #: What a block asks part ``to`` for. Even kinds 2d: counts of runs of d + 1 symbols (``keys``; ``n``: its own training counts). Odd
 #: kinds 2d + 1: what contexts of d symbols leave (``keys``, ``n``: their counts), and the pairs it tells of: ``at`` among the keys, ``joint``, ``under``.
 ASKED = "block long, kind int, to int, keys binary, n binary, at binary, joint binary, under binary"
-#: The answer, in the order of the keys. Even kinds: count * 2, plus 1 for the one block that is to tell of the pair; ``fresh``: different runs in training text.
+#: The answer, in the order of the keys. Even kinds: count * 2 (0 below LEAST, but for words), plus 1 for the one block that is to tell of the pair; ``fresh``: different runs in training text.
 ANSWERS = "block long, kind int, part int, got binary, fresh long"
 _ODD, _ODDER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -434,8 +434,10 @@ class Rounds:
         if kind % 2 == 0:
             count = np.bincount(of, weights=n).astype(np.int64)
             fresh = int(np.count_nonzero(count))
-            got = (count << 1)[of]
-            got[first] |= 1
+            # Of runs of two or more, what is seen less than LEAST times is never used: one value for all of them packs better.
+            got = (np.where(count >= LEAST, count, 0) if kind else count)[of] << 1
+            if kind:
+                got[first[count >= LEAST]] |= 1
         else:
             at = flat("at", "<i4")
             context = of[np.concatenate(at) + np.repeat(np.cumsum(sizes) - sizes, [len(x) for x in at])]
