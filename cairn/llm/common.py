@@ -55,6 +55,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 LET_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Spark's own switch: whether it may read a table in buckets without them.
+KEEP_BUCKETS = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+
+
 @contextmanager
 def shuffles_let_go(spark: SparkSession) -> Iterator[None]:
     before = spark.conf.get(LET_GO, None)
@@ -83,6 +87,38 @@ def discard(df: DataFrame) -> None:
     delete_path(df.sparkSession, df._cairn_path)
 
 
+class Shelf:
+    """A table in the shared folder that grows and stays dealt out by ``key``, so that grouping it by the key shuffles only what is added, once."""
+
+    def __init__(self, spark: SparkSession, key: str):
+        self.spark, self.key, self.buckets = spark, key, max(1, min(shuffle_partitions(spark), 100_000))
+        self.path, self.name = fresh_path(spark, "shelf"), f"cairn_shelf_{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Shelf:
+        # Otherwise Spark may read the buckets as plain files and shuffle them again.
+        self.before = self.spark.conf.get(KEEP_BUCKETS, None)
+        self.spark.conf.set(KEEP_BUCKETS, "false")
+        return self
+
+    def add(self, df: DataFrame) -> None:
+        with shuffles_let_go(self.spark):
+            dealt = df.repartition(self.buckets, self.key)
+            dealt.write.format("parquet").bucketBy(self.buckets, self.key).option("path", self.path).option("compression", "zstd").mode("append").saveAsTable(self.name)
+        self.spark.catalog.refreshTable(self.name)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def like(self, df: DataFrame) -> DataFrame:
+        """``df`` with the columns of the table, null where it has none."""
+        return df.select(*[F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.read().schema])
+
+    def __exit__(self, *_) -> None:
+        self.spark.conf.unset(KEEP_BUCKETS) if self.before is None else self.spark.conf.set(KEEP_BUCKETS, self.before)
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete_path(self.spark, self.path)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

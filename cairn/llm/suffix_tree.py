@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, tidy
+from .common import Shelf, discard, materialize, tidy
 
 DEPTH = 3
 #: Occurrences of a context, and of a symbol after it, from which on they count, at least.
@@ -63,6 +63,24 @@ def unpack(blob: bytes, dtype: str, steps: bool = False) -> np.ndarray:
     return np.cumsum(x, dtype=dtype) if steps else x
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different ones of 64-bit hashes, sorted, a place of each, and the number of each place's. Sorts leading bits and places as one number."""
+    low = np.uint64(max(1, len(x) - 1).bit_length())
+    order = (x >> low << low) | np.arange(len(x), dtype=np.uint64)
+    order.sort()
+    order &= (np.uint64(1) << low) - np.uint64(1)
+    order = order.astype(np.int32)
+    ranked = x[order]
+    if (ranked[1:] < ranked[:-1]).any():  # different ones with the same leading bits
+        again = np.argsort(ranked, kind="stable")
+        order, ranked = order[again], ranked[again]
+    new = np.ones(len(x), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    number = np.empty(len(x), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return ranked[new], order[new], number
+
+
 def symbols(text: str) -> np.ndarray:
     """Hashes of a text's words and the end."""
     from xxhash import xxh64_intdigest
@@ -86,10 +104,12 @@ def _block_batches(batches):
     def flush():
         nonlocal seq, size
         flat = np.concatenate(texts)
-        words, codes, often = np.unique(flat, return_inverse=True, return_counts=True)
+        words, _, codes = distinct(flat)
+        often = np.bincount(codes, minlength=len(words))
         # Codes by frequency compress better; the counts tell the order again.
         rank = np.empty(len(words), "<u4")
         rank[np.argsort(-often, kind="stable")] = np.arange(len(words))
+        del flat
         lengths = [len(t) for t in texts]
         train = sum(n for n, h in zip(lengths, held, strict=True) if not h)
         row = pa.RecordBatch.from_arrays(
@@ -131,7 +151,7 @@ class Block:
         self.ids, self.held = row["doc_ids"], np.array(row["held"], bool)
         self.lengths = np.array(row["lengths"], np.int64)
         self.words = unpack(row["words"], "<u8", steps=True)
-        self.codes = np.argsort(-unpack(row["often"], "<u4").astype(np.int64), kind="stable")[unpack(row["codes"], "<u4")]
+        self.codes = np.argsort(-unpack(row["often"], "<u4").astype(np.int64), kind="stable").astype(np.int32)[unpack(row["codes"], "<u4")]
         self.ends = np.cumsum(self.lengths)
         self.starts = self.ends - self.lengths
 
@@ -334,64 +354,81 @@ class Rounds:
 
     def cuts(self, keys: np.ndarray) -> list[tuple[int, int, int]]:
         """(part, from, to) of sorted keys; parts go by the leading bits."""
-        parts = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
-        at = np.searchsorted(parts, np.arange((1 << self.bits) + 1))
+        begins = np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits) if self.bits else np.zeros(1, np.uint64)
+        at = np.append(np.searchsorted(keys, begins), len(keys))
         return [(k, int(at[k]), int(at[k + 1])) for k in range(1 << self.bits) if at[k] < at[k + 1]]
 
-    def replay(self, block: Block, got: dict[int, np.ndarray]) -> tuple[list[tuple], tuple | None]:
-        """Goes through a block as far as the answers reach: what to ask next, or the chances (root, p, known) of its symbols."""
+    def replay(self, block: Block, got: dict[int, list[bytes]]) -> tuple[list[tuple], tuple | None]:
+        """Goes through a block as far as the answers (``got``, packed) reach: what to ask next, or the chances (root, p, known) of its symbols.
+
+        What is kept for each symbol is small, and answers are unpacked one at a time, for a task holds all of a block at once.
+        """
         asked: list[tuple] = []
         if not self.done:
             n = np.bincount(block.codes[block.training()], minlength=len(block.words))
             return [(0, k, block.words[s:e], n[s:e]) for k, s, e in self.cuts(block.words)], None
+
+        def answered(kind: int) -> np.ndarray:
+            return np.concatenate([np.zeros(0, "<f8" if kind % 2 else "<i8"), *(unpack(x, "<f8" if kind % 2 else "<i8") for x in got.get(kind, ()))])
+
         # Each text with an end before it. The end has the least hash, so code 0.
         sizes = block.lengths + 1
         starts = np.cumsum(sizes) - sizes
         own = np.ones(int(sizes.sum()), bool)
         own[starts] = False
-        codes = np.zeros(len(own), np.int64)
+        codes = np.zeros(len(own), np.int32)
         codes[own] = block.codes
-        since = (np.arange(len(own)) - np.repeat(starts, sizes)).astype(np.int32)
+        # Symbols of the text before each, as far as they matter.
+        since = np.full(len(own), DEPTH, np.int8)
+        for d in range(DEPTH):
+            since[starts[sizes > d] + d] = d
         train = np.repeat(~block.held, sizes)
-        w = block.words[codes]
-        run, n = w, (got[0] >> 1)[codes]
-        root = (n + 1) / (self.total + self.types + 1)
-        known, p = n > 0, root.copy()
-        del codes
+        counts = np.append(answered(0) >> 1, 0)
+        root = (counts + 1) / (self.total + self.types + 1)
+        seen = counts > 0
+        p = root[codes] if self.done > 1 else None
+        # The runs of d symbols, sorted; for each symbol the number of the run that ends there, or -1; how often each occurs, and a 0.
+        runs, which = block.words, codes
         for d in range(1, DEPTH + 1):
-            # Where the run of d symbols before (n: its count) is frequent enough; of those, where the run of d that ends here is, too.
-            at = np.nonzero((since[1:] >= d) & (n[:-1] >= self.least))[0] + 1
-            both = n[at] >= LEAST
+            # Where the run of d symbols before is frequent enough; of those, where the run of d that ends here is, too.
+            at = (np.nonzero((since[1:] >= d) & (counts >= self.least)[which[:-1]])[0] + 1).astype(np.int32)
+            both = (counts >= LEAST)[which[at]]
             on = at[both]
-            keys, first, inverse = np.unique(_longer(run[on - 1], w[on]), return_index=True, return_inverse=True)
+            keys, first, inverse = distinct(_longer(runs[which[on - 1]], block.words[codes[on]]))
             if self.done <= d:
                 mine = np.bincount(inverse[train[on]], minlength=len(keys))
                 asked += [(2 * d, k, keys[s:e], mine[s:e]) for k, s, e in self.cuts(keys)]
                 return asked, None
-            joint = got.get(2 * d, np.zeros(0, np.int64))
-            longer = np.zeros(len(w), np.int64)
-            longer[on] = (joint >> 1)[inverse]
-            contexts, lead, of = np.unique(run[at - 1], return_index=True, return_inverse=True)
+            joint = answered(2 * d)
+            # The contexts are runs that are known, so their order is.
+            used = np.zeros(len(runs), bool)
+            used[which[at - 1]] = True
+            number = np.cumsum(used, dtype=np.int32) - np.int32(1)
             if self.done <= d + 1:
                 tell = np.nonzero((joint & 1 == 1) & (joint >> 1 >= self.joint))[0]
-                context = of[both][first[tell]]
+                place = on[first[tell]]
+                context = number[which[place - 1]]
                 order = np.argsort(context, kind="stable")
-                tell, context = tell[order], context[order]
-                under, count = p[on[first[tell]]], n[at[lead] - 1]
+                tell, context, under = tell[order], context[order], p[place[order]]
+                contexts, count = runs[used], counts[:-1][used]
                 for k, s, e in self.cuts(contexts):
                     x, y = np.searchsorted(context, (s, e))
                     asked.append((2 * d + 1, k, contexts[s:e], count[s:e], context[x:y] - s, joint[tell[x:y]] >> 1, under[x:y]))
+                del tell, place, context, order
             else:
-                left = got.get(2 * d + 1, np.zeros(0))[of]
-                kept = longer[at]
-                share = np.where(kept >= self.joint, (kept - DISCOUNT) / n[at - 1], 0.0)
-                p[at] = np.where(left < 1, share + left * p[at], p[at])
+                left = answered(2 * d + 1)[number[which[at - 1]]]
+                below = p[at]
+                full = left * below
+                kept = (joint >> 1)[inverse]
+                full[both] += np.where(kept >= self.joint, (kept - DISCOUNT) / counts[which[on - 1]], 0.0)
+                p[at] = np.where(left < 1, full, below)
+                del left, below, full, kept
             if d < DEPTH:
-                grown = np.zeros(len(w), np.uint64)
-                grown[on] = keys[inverse]
-                run = grown
-            n = longer
-        return asked, None if asked else (root[own], p[own], known[own])
+                which = np.full(len(codes), -1, np.int32)
+                which[on] = inverse
+                runs, counts = keys, np.append(joint >> 1, 0)
+            del at, both, on, keys, first, inverse, joint, used, number
+        return asked, None if asked else (root[codes][own], p[own], seen[codes][own])
 
     def visit(self, table: pa.Table) -> tuple[Block, list[tuple], tuple | None]:
         """``replay`` for the rows of a block: its own (kind -1) and the answers."""
@@ -401,8 +438,7 @@ class Rounds:
         got = {}
         for kind in np.unique(kinds[kinds >= 0]).tolist():
             rows = np.nonzero(kinds == kind)[0]
-            blobs = table.column("got").take(pa.array(rows[np.argsort(parts[rows])])).to_pylist()
-            got[kind] = np.concatenate([unpack(x, "<f8" if kind % 2 else "<i8") for x in blobs])
+            got[kind] = table.column("got").take(pa.array(rows[np.argsort(parts[rows])])).to_pylist()
         return block, *self.replay(block, got)
 
     def ask(self, table: pa.Table) -> pa.Table:
@@ -429,7 +465,8 @@ class Rounds:
 
         asked = flat("keys", "<u8")
         sizes, n = [len(x) for x in asked], np.concatenate(flat("n", "<i8"))
-        keys, first, of = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
+        keys, first, of = distinct(np.concatenate(asked))
+        del asked, keys
         fresh = 0
         if kind % 2 == 0:
             count = np.bincount(of, weights=n).astype(np.int64)
@@ -480,31 +517,25 @@ def _score_by_tree(blocks: DataFrame, total: int) -> DataFrame:
 def _score_by_rounds(blocks: DataFrame, total: int, every: int) -> DataFrame:
     """Scores by a tree that no process holds; ``every``: symbols of all texts."""
     rounds = Rounds(max(0, -(-every // PART_SYMBOLS) - 1).bit_length(), total)
-    own = blocks.select("block", F.lit(-1).alias("kind"), F.lit(-1).alias("part"), "doc_ids", "held", "lengths", "words", "often", "codes")
     asked = blocks.select("block", "lengths", "held", "words", "often", "codes").mapInArrow(tidy(rounds.begin), ASKED)
-    answers: list[DataFrame] = []
 
     def run(name: str):
         now = rounds
         # Spark counts the arguments of a method with self.
         return lambda table: getattr(now, name)(table)
 
-    def met() -> DataFrame:
-        rows = own
-        for part in answers:
-            rows = rows.unionByName(part.drop("fresh"), allowMissingColumns=True)
-        return rows.groupBy("block")
-
-    # Words; runs of two; contexts of one symbol and runs of three; and so on, and the last contexts by themselves.
-    for _ in range(DEPTH + 2):
-        answers.append(materialize(asked.groupBy("kind", "to").applyInArrow(run("answer"), ANSWERS), "answers"))
-        types = rounds.types or answers[0].agg(F.sum("fresh")).first()[0]
-        rounds = Rounds(rounds.bits, total, len(answers), types)
-        asked = met().applyInArrow(run("ask"), ASKED)
-    out = materialize(met().applyInArrow(run("scores"), SCORES), "scores")
-    for part in answers:
-        discard(part)
-    return out
+    with Shelf(blocks.sparkSession, "block") as shelf:
+        shelf.add(blocks.selectExpr("block", "-1 as kind", "-1 as part", "doc_ids", "held", "lengths", "words", "often", "codes", "cast(null as binary) as got", "0L as fresh"))
+        # Words; runs of two; contexts of one symbol and runs of three; and so on, and the last contexts by themselves.
+        for k in range(DEPTH + 2):
+            answers = asked.groupBy("kind", "to").applyInArrow(run("answer"), ANSWERS)
+            shelf.add(shelf.like(answers))
+            types = rounds.types or shelf.read().where("kind = 0").agg(F.sum("fresh")).first()[0]
+            rounds = Rounds(rounds.bits, total, k + 1, types)
+            asked = shelf.read().drop("fresh").groupBy("block").applyInArrow(run("ask"), ASKED)
+            if not k:
+                discard(blocks)
+        return materialize(shelf.read().drop("fresh").groupBy("block").applyInArrow(run("scores"), SCORES), "scores")
 
 
 def score_corpus(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -514,6 +545,4 @@ def score_corpus(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text
     total, every = blocks.agg(F.sum("train"), F.sum(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)"))).first()
     if (total or 0) <= TREE_SYMBOLS:
         return _score_by_tree(blocks, total or 0)
-    out = _score_by_rounds(blocks, total, every)
-    discard(blocks)
-    return out
+    return _score_by_rounds(blocks, total, every)

@@ -170,3 +170,59 @@ def test_a_rare_context_is_a_state_in_a_corpus_of_any_size(spark, monkeypatch, m
     # The first word has 2.25 of 103 after an end, each of the others at least 2.25 of 3 after the one before.
     least = math.log10((3 - st.DISCOUNT) / 103) + 3 * math.log10((3 - st.DISCOUNT) / 3)
     assert all(0.2 * got[i]["base_score"] < least < got[i]["score"] < 0 for i in (1, 3, 4))
+
+
+def test_a_block_takes_little_memory(monkeypatch):
+    """All rounds over one block, in this process, by the most that arrays took at once for each symbol."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    n, texts = 1 << 18, 64
+    # Rare and frequent words, and texts that occur twice, so that long runs are frequent too.
+    flat = (rng.zipf(1.3, n // 2) % 50_000 + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    flat = np.concatenate([flat, flat])
+    flat[n // texts - 1 :: n // texts] = st.END
+    words, codes, often = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(words), "<u4")
+    rank[np.argsort(-often, kind="stable")] = np.arange(len(words))
+    lengths = [n // texts] * texts
+    row = {"block": 0, "kind": -1, "part": -1, "doc_ids": list(range(texts)), "held": [False] * texts, "lengths": lengths, "words": st.pack(words, steps=True), "often": st.pack(often.astype("<u4")), "codes": st.pack(rank[codes]), "got": None}
+    kinds = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("part", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), *((x, pa.binary()) for x in ("words", "often", "codes", "got"))])
+    del flat, words, codes, often, rank
+    rounds, rows, most = st.Rounds(0, n), [row], 0
+    asked = rounds.requests(0, rounds.replay(st.Block(row), {})[0])
+    for k in range(st.DEPTH + 2):
+        for kind in sorted(set(asked.column("kind").to_pylist())):
+            got = rounds.answer(asked.filter(pa.compute.equal(asked.column("kind"), kind))).to_pylist()
+            rows += [{c: x.get(c) for c in kinds.names} for x in got]
+            types = got[0]["fresh"] if kind == 0 else rounds.types
+        rounds = st.Rounds(0, n, k + 1, types)
+        table = pa.Table.from_pylist(rows, kinds)
+        tracemalloc.start()
+        asked = rounds.ask(table) if k < st.DEPTH + 1 else rounds.scores(table)
+        most = max(most, tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert asked.num_rows == texts and any(s > b for s, b in zip(asked.column("score").to_pylist(), asked.column("base_score").to_pylist(), strict=True))
+    assert most < 125 * n
+
+
+def test_what_is_kept_by_block_is_not_shuffled_again(spark):
+    from cairn.llm.common import Shelf
+
+    with Shelf(spark, "id") as shelf:
+        for k in range(2):
+            shelf.add(spark.range(100).select("id", F.lit(k).alias("k")))
+        got = shelf.read().groupBy("id").applyInArrow(lambda t: t.slice(0, 1), "id long, k int")
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert got.count() == 100
+
+
+def test_distinct_hashes():
+    rng = np.random.default_rng(1)
+    close = np.uint64(1) << np.uint64(40)
+    for x in (np.zeros(0, np.uint64), np.zeros(5, np.uint64), rng.integers(0, 1 << 63, 3000).astype(np.uint64)[rng.integers(0, 3000, 9000)], close + rng.integers(0, 900, 5000).astype(np.uint64)):
+        values, first, number = st.distinct(x)
+        want, inverse = np.unique(x, return_inverse=True)
+        assert (values == want).all() and (number == inverse).all() and (x[first] == values).all()
