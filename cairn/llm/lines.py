@@ -22,12 +22,13 @@ chance of about m^2 / 2^65.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, if_small, materialize, semi, unused
+from .common import counted_in_place, discard, if_small, materialize, semi, unused
 
 #: The similarity as a whole fraction, so that nothing is rounded.
 SIMILARITY = NUM, DEN = 4, 5
@@ -35,6 +36,8 @@ SIMILARITY = NUM, DEN = 4, 5
 HOT_CLASSES, ROUND_SHARE = 512, 0.1
 #: Buckets in which words are counted to see where hot ones may be; at most as many rows are broadcast.
 HOT_BUCKETS = 1 << 18
+#: Pairs up to which only the sets of their classes are shuffled to verify them.
+FEW_PAIRS = 50_000
 #: Leading bits of a hash that make its bucket; bits of a hash that stand below its level of rarity.
 BUCKET_BITS, BELOW_LEVEL = 18, 57
 #: Words from which on a line has a second word of parities.
@@ -48,7 +51,7 @@ LINE_FILES = {"parquet.dictionary.page.size": 8 << 20, "compression": "uncompres
 def line_tokens(line: Column) -> Column:
     """The distinct 64-bit word hashes of a lower-cased line without other white space than spaces, sorted."""
     hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
-    return F.sort_array(F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit("")))))
+    return F.sort_array(F.array_except(hashes, F.array(F.xxhash64(F.lit("")))))
 
 
 def _spaced(text: Column) -> Column:
@@ -76,20 +79,26 @@ def _may_match(a: str, b: str) -> Column:
 
 
 def _levels(lines: DataFrame) -> DataFrame:
-    """One row: the level of each bucket, an array. Level 0 is a bucket that at most one line has a word of."""
+    """One row: an array of what turns a hash of each bucket into its rank, by exclusive or: the level comes to stand in the leading bits.
+
+    Level 0 is a bucket that at most one line has a word of.
+    """
     seen = lines.select(F.explode("toks").alias("t")).groupBy(F.shiftrightunsigned("t", 64 - BUCKET_BITS).alias("id")).agg(F.count("*").alias("n"))
     level = F.when(F.col("n") > 1, F.least(F.lit(63), F.floor(2 * F.log2("n")))).otherwise(0)
-    every = lines.sparkSession.range(1 << BUCKET_BITS).join(seen, "id", "left").select("id", level.cast("int").alias("level"))
+    # The leading bits of a hash are those of its bucket.
+    lead = F.shiftright("id", BUCKET_BITS - (64 - BELOW_LEVEL))
+    turn = F.shiftleft(F.coalesce(level, F.lit(0)).cast("bigint").bitwiseXOR(lead), BELOW_LEVEL)
+    every = lines.sparkSession.range(1 << BUCKET_BITS).join(seen, "id", "left").select("id", turn.alias("turn"))
     # An entry for each bucket, whatever the corpus.
-    listed = every.groupBy().agg(F.array_sort(F.collect_list(F.struct("id", "level"))).alias("all"))
-    return materialize(listed.select(F.transform("all", lambda x: x["level"]).alias("levels")), "levels")
+    listed = every.groupBy().agg(F.sort_array(F.collect_list(F.struct("id", "turn"))).alias("all"))
+    with counted_in_place(lines.sparkSession, BUCKET_BITS + 1):
+        return materialize(listed.select(F.col("all.turn").alias("levels")), "levels")
 
 
 def _classes(lines: DataFrame) -> DataFrame:
     """A row for each class: cls, first (its earliest line), lines, n, bits, more, and head, the rarest words: the prefix and one more."""
     def ranked(t: Column) -> Column:
-        level = F.coalesce(F.get("levels", F.shiftrightunsigned(t, 64 - BUCKET_BITS).cast("int")), F.lit(0)).cast("bigint")
-        return F.coalesce(F.shiftleft(level, BELOW_LEVEL).bitwiseOR(t.bitwiseAND(F.lit((1 << BELOW_LEVEL) - 1))), F.lit(0).cast("bigint"))
+        return F.coalesce(t.bitwiseXOR(F.get("levels", F.shiftrightunsigned(t, 64 - BUCKET_BITS).cast("int"))), F.lit(0).cast("bigint"))
 
     bits = F.expr("aggregate(toks, 0L, (a, t) -> a ^ shiftleft(1L, cast(t & 63L as int)))")
     n = F.size("toks")
@@ -108,8 +117,12 @@ def _begun(classes: DataFrame) -> DataFrame:
 
 
 def _hot_words(classes: DataFrame) -> DataFrame | None:
-    """The words that begin more than HOT_CLASSES classes, or None; buckets are counted first, then the words of the heavy ones."""
-    words = _begun(classes).select("tok", F.col("tok").bitwiseAND(F.lit(HOT_BUCKETS - 1)).alias("b"))
+    """The words that begin more than HOT_CLASSES classes, or None; buckets are counted first, then the words of the heavy ones.
+
+    Such words are in more lines than that, so only those of their levels are counted (a level less, for rounding).
+    """
+    least = max(0, int(2 * math.log2(HOT_CLASSES + 1)) - 1)
+    words = _begun(classes).where(F.col("tok") >= min(least, 62) << BELOW_LEVEL).select("tok", F.col("tok").bitwiseAND(F.lit(HOT_BUCKETS - 1)).alias("b"))
     heavy = words.groupBy("b").count().where(F.col("count") > HOT_CLASSES).select("b")
     within = materialize(heavy, "heavy")
     hot = materialize(words.join(F.broadcast(within), "b").groupBy("tok").count().where(F.col("count") > HOT_CLASSES).select("tok"), "hot")
@@ -123,9 +136,17 @@ def _pairs(found: DataFrame, a: str, b: str) -> DataFrame:
 
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The later classes, as cls, of those ``pairs`` (a, b: earlier and later) whose whole sets are alike enough."""
-    with_a = pairs.select("a", "b").join(sets.select(F.col("cls").alias("a"), F.col("toks").alias("ta")), "a")
+    pairs = materialize(pairs.select("a", "b"), "held")
+    # Few pairs must not have all sets shuffled.
+    if pairs.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        sets = sets.join(F.broadcast(ends), "cls", "left_semi")
+    with_a = pairs.join(sets.select(F.col("cls").alias("a"), F.col("toks").alias("ta")), "a")
     both = with_a.join(sets.select(F.col("cls").alias("b"), F.col("toks").alias("tb")), "b")
-    return both.where(_enough(F.size(F.array_intersect("ta", "tb")), F.size("ta"), F.size("tb"))).select(F.col("b").alias("cls")).distinct()
+    late = both.where(_enough(F.size(F.array_intersect("ta", "tb")), F.size("ta"), F.size("tb"))).select(F.col("b").alias("cls")).distinct()
+    late = materialize(late, "alike")
+    discard(pairs)
+    return late
 
 
 def _cold_pairs(classes: DataFrame, hot: DataFrame | None) -> DataFrame:
@@ -157,10 +178,11 @@ def _late_cold(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFra
     told = pairs.join(firsts.select(F.col("cls").alias("a"), F.col("first").alias("fa")), "a").join(firsts.select(F.col("cls").alias("b"), F.col("first").alias("fb")), "b")
     after = F.col("fa") < F.col("fb")
     told = materialize(told.select(F.when(after, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(after, F.col("b")).otherwise(F.col("a")).alias("b"), F.least("fa", "fb").alias("since")), "told")
-    settled = materialize(_alike(told.groupBy("b").agg(F.min(F.struct("since", "a")).alias("m")).select("m.a", "b"), sets), "settled")
+    settled = _alike(told.groupBy("b").agg(F.min(F.struct("since", "a")).alias("m")).select("m.a", "b"), sets)
     rest = told.join(if_small(settled.select(F.col("cls").alias("b"))), "b", "left_anti")
-    late = materialize(settled.unionByName(_alike(rest, sets)), "late")
-    for part in (ends, told, settled):
+    others = _alike(rest, sets)
+    late = materialize(settled.unionByName(others), "late")
+    for part in (ends, told, settled, others):
         discard(part)
     return late
 
@@ -171,7 +193,7 @@ def _late_hot(rows: DataFrame, sets: DataFrame) -> DataFrame:
     while True:
         leads = remaining.groupBy("key").agg(F.min("r").alias("lead"))
         beside = remaining.join(leads, "key").where(F.col("lead.cls") != F.col("r.cls"))
-        settled = materialize(_alike(_pairs(beside.where(_may_match("lead", "r")), "lead", "r"), sets), "settled")
+        settled = _alike(_pairs(beside.where(_may_match("lead", "r")), "lead", "r"), sets)
         done.append(settled)
         left = materialize(beside.select("key", "r", F.col("r.cls").alias("cls")).join(if_small(settled), "cls", "left_anti").drop("cls"), "open")
         before, after = remaining.count(), left.count()
@@ -182,7 +204,8 @@ def _late_hot(rows: DataFrame, sets: DataFrame) -> DataFrame:
             break
     met = remaining.select("key", F.col("r").alias("late")).join(rows.select("key", F.col("r").alias("early")), "key")
     met = met.where((F.col("early.first") < F.col("late.first")) & _may_match("early", "late"))
-    late = materialize(reduce(DataFrame.unionByName, done, _alike(_pairs(met, "early", "late"), sets)).distinct(), "late")
+    done.append(_alike(_pairs(met, "early", "late"), sets))
+    late = materialize(reduce(DataFrame.unionByName, done).distinct(), "late")
     for part in (*done, remaining):
         discard(part)
     return late

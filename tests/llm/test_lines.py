@@ -101,3 +101,14 @@ def test_whole_table_of_words(spark):
     got = {(r["doc_id"]): r["removed"] for r in ln.line_report(docs).collect()}
     assert got == {d: want[d, t or ""] for d, t in rows}
     assert sum(map(len, got.values())) > 50
+
+
+@pytest.mark.parametrize("few,semi", [(100, True), (1, False)])
+def test_few_pairs_shuffle_only_their_sets(spark, monkeypatch, few, semi):
+    plans, own = {}, ln.materialize
+    monkeypatch.setattr(ln, "FEW_PAIRS", few)
+    monkeypatch.setattr(ln, "materialize", lambda df, name, **o: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and own(df, name, **o))
+    sets = spark.createDataFrame([(i, [i // 2 * 10 + j for j in range(9)]) for i in range(200)], "cls long, toks array<long>")
+    pairs = spark.createDataFrame([(0, 1), (1, 2), (6, 7)], "a long, b long")
+    assert sorted(r["cls"] for r in ln._alike(pairs, sets).collect()) == [1, 7]
+    assert ("LeftSemi" in plans["alike"]) == semi
