@@ -42,8 +42,10 @@ MAGIC = b"CRNTOK01"
 HEADER = struct.Struct("<8sQQQQ")
 #: Tokens in a shard, and in the pieces in which it is decoded.
 SHARD_TOKENS, CHUNK_TOKENS = 1 << 24, 1 << 20
-#: Text that is encoded at a time; what a worker's remembered words may take, and what each takes besides its letters and ids.
-SLICE_BYTES, WORD_BYTES, WORD_OVERHEAD = 8 << 20, 64 << 20, 200
+#: Text that is encoded at a time; what a task's remembered words may take, and what each takes besides its letters and ids.
+SLICE_BYTES, WORD_BYTES, WORD_OVERHEAD = 8 << 20, 32 << 20, 200
+#: What a worker's remembered pieces take before no more are added, and the longest that is remembered.
+PIECE_BYTES, LONG_PIECE = 40 << 20, 64
 
 # Decoding tables, by control byte: bytes of each of the four values, their offsets, their sum.
 LANE_BYTES = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
@@ -97,7 +99,8 @@ class PieceEncoder:
     piece that a slice holds is spelled once (broken into words by the tokenizer's pattern, words put
     to its model), and the ids of the slice are gathered with numpy. Texts with other white space after a
     space, with an added token of the tokenizer, and all texts of other tokenizers go to the library whole.
-    Words are remembered until they take ``WORD_BYTES``, and only for the length of a task.
+    Words are remembered until they take ``WORD_BYTES``, and only for the length of a task; pieces, as Arrow and numpy
+    arrays, until they take ``PIECE_BYTES`` (and the last slice's), as long as the worker lives.
     """
 
     _own: dict[str, PieceEncoder] = {}
@@ -117,6 +120,7 @@ class PieceEncoder:
         self.letters = _byte_letters()
         self.words: dict[str, bytes] = {}
         self.held = 0
+        self.pieces, self.piece_ids, self.piece_ends = pa.array([], pa.string()), np.zeros(0, self.dtype), np.zeros(1, np.int64)
 
     @classmethod
     def of(cls, path: str) -> PieceEncoder:
@@ -139,13 +143,38 @@ class PieceEncoder:
 
     def _word(self, word: str) -> bytes:
         got = self.words.get(word)
-        return self._keep(word, self._ids(word.encode("utf-8", "replace").decode("latin-1").translate(self.letters))) if got is None else got
+        if got is not None:
+            return got
+        if word.isascii() and word[1:].isalpha() and word[0] == " ":
+            return self._keep(word, self._ids(self.letters[32] + word[1:]))
+        return self._keep(word, self._ids(word.encode("utf-8", "replace").decode("latin-1").translate(self.letters)))
 
     def _spell(self, piece: str) -> bytes:
-        # A space and letters are one word; anything else goes through the pattern.
-        if piece[1:].isalpha() and piece[0] == " ":
-            return self._keep(piece, self._ids(self.letters[32] + piece[1:])) if piece.isascii() else self._word(piece)
-        return self._keep(piece, b"".join(map(self._word, self.break_up(piece))))
+        # A space and letters are one word, and so is a mark after them; anything else goes through the pattern.
+        if piece[:1] == " ":
+            if piece[1:].isalpha():
+                return self._word(piece)
+            if piece[-1] in ".," and piece[1:-1].isalpha():
+                return self._word(piece[:-1]) + self._word(piece[-1])
+        return b"".join(map(self._word, self.break_up(piece)))
+
+    def _spelled(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces, laid end to end, and where in them each of ``distinct`` starts and ends; new pieces are remembered."""
+        place = pc.index_in(distinct, value_set=self.pieces)
+        new = distinct.filter(pc.is_null(place))
+        got = [self._spell(p[1:] if p[1:2] == "\n" else p) for p in new.to_pylist()]
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // np.dtype(self.dtype).itemsize
+        ids = np.frombuffer(b"".join(got), self.dtype)
+        every = np.concatenate([self.piece_ids, ids])
+        ends = np.concatenate([self.piece_ends, self.piece_ends[-1] + np.cumsum(sizes)])
+        at = place.to_numpy(zero_copy_only=False)
+        at = np.where(np.isnan(at), len(self.pieces) - 1 + np.cumsum(np.isnan(at)), at).astype(np.int64) if len(new) else at.astype(np.int64)
+        if len(new) and self.pieces.nbytes + self.piece_ids.nbytes + self.piece_ends.nbytes < PIECE_BYTES:
+            short = pc.less_equal(pc.binary_length(new), LONG_PIECE).to_numpy(zero_copy_only=False)
+            self.pieces = pa.concat_arrays([self.pieces, new.filter(pa.array(short))])
+            self.piece_ids = np.concatenate([self.piece_ids, ids[np.repeat(short, sizes)]])
+            self.piece_ends = np.concatenate([self.piece_ends, self.piece_ends[-1] + np.cumsum(sizes[short])])
+        return every, ends[at], ends[at + 1]
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -181,21 +210,16 @@ class PieceEncoder:
         offsets = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.flatten().dictionary_encode()
         offsets -= offsets[0]
-        distinct = pc.binary_join_element_wise("", coded.dictionary, " ").to_pylist()
         at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
-        heads = [distinct[i][1:] for i in at[offsets[:-1]].tolist()]
-        spelled = list(map(self.words.get, distinct))
-        for i, got in enumerate(spelled):
-            if got is None:
-                piece = distinct[i]
-                spelled[i] = self._spell(piece[1:] if piece[1:2] == "\n" else piece)
-        spelled += [b"".join(map(self._word, self.break_up(p))) for p in heads]
-        spelled.append(end.tobytes())
-        at[offsets[:-1]] = len(distinct) + np.arange(n)
-        at = np.insert(at, offsets[1:], len(spelled) - 1)
-        lengths = np.fromiter(map(len, spelled), np.int64, len(spelled)) // np.dtype(self.dtype).itemsize
-        starts = np.cumsum(lengths) - lengths
-        flat = np.frombuffer(b"".join(spelled), self.dtype)
+        heads = [b"".join(map(self._word, self.break_up(p))) for p in coded.dictionary.take(pa.array(at[offsets[:-1]])).to_pylist()]
+        flat, starts, ends = self._spelled(pc.binary_join_element_wise("", coded.dictionary, " "))
+        at[offsets[:-1]] = len(coded.dictionary) + np.arange(n)
+        at = np.insert(at, offsets[1:], len(coded.dictionary) + n)
+        rest = [*heads, end.tobytes()]
+        sizes = np.fromiter(map(len, rest), np.int64, n + 1) // np.dtype(self.dtype).itemsize
+        lengths = np.concatenate([ends - starts, sizes])
+        starts = np.concatenate([starts, len(flat) + np.cumsum(sizes) - sizes])
+        flat = np.concatenate([flat, np.frombuffer(b"".join(rest), self.dtype)])
         each = lengths[at]
         until = np.cumsum(each)
         total = int(until[-1])

@@ -44,6 +44,22 @@ def test_pieces_encode_as_the_tokenizer_does(plain, monkeypatch):
     assert not encoder.words
 
 
+def test_pieces_are_remembered_from_task_to_task(plain, monkeypatch):
+    encoder = to.PieceEncoder(PATH)
+    texts = pa.array(["a rare.\nword, zzyzx 12 qué!", "a " + "b" * 100 + " rare. zzyzx"])
+    first = encoder.encode(texts, 2)
+    encoder.forget()
+    asked, ids_of = [], encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda letters: asked.append(letters) or ids_of(letters))
+    again = encoder.encode(texts, 2)
+    # Only what starts a text, and a piece too long to be remembered, is put to the model again.
+    assert [len(x) for x in asked] == [1, 101]
+    assert all(np.array_equal(x, y) for x, y in zip(first, again, strict=True))
+    monkeypatch.setattr(to, "PIECE_BYTES", 0)
+    held = len(encoder.pieces)
+    assert encoder.encode(pa.array(["x unseen rare."]), 2)[0].tolist() == plain("x unseen rare.") and len(encoder.pieces) == held
+
+
 def test_slices_cover_all_rows():
     column = pa.array(["a" * n for n in (5, 0, 200, 3, 3, 3)] + [None, "b"])
     got = list(to.slices(column, 10))
