@@ -10,8 +10,8 @@ in either bounds what they can have in common (length and positional filters); t
 their hashed words differ bound it too. What is left is verified on the whole sets.
 
 Words that begin more than ``HOT_CLASSES`` classes are counted first. Among the classes of such a word only
-those that share a second early word meet (any two alike do), and there each class is first held against
-the earliest, as often as that settles many; only classes that are still open are held against all earlier ones.
+those that share a second early word meet (any two alike do). Where more than ``HOT_CLASSES`` classes share two, each class
+is first held against the earliest, as often as that settles many; only classes that are still open are held against all earlier ones.
 
 Cases: null and empty texts have no lines to remove; null ids come last in the order; rows with one id
 and one text are one document, reported for each row; repeated lines are one class, whatever their number; an empty
@@ -34,16 +34,17 @@ from .common import counted_in_place, discard, if_small, materialize, semi, unus
 SIMILARITY = NUM, DEN = 4, 5
 #: Classes that may meet by one word; the share of open ones that a round must settle for another to follow.
 HOT_CLASSES, ROUND_SHARE = 512, 0.1
-#: Buckets in which words are counted to see where hot ones may be; at most as many rows are broadcast.
-HOT_BUCKETS = 1 << 18
+#: Buckets in which words, and pairs of them, are counted to see where hot ones may be; at most as many rows are broadcast.
+HOT_BUCKETS, HOT_PAIR_BUCKETS = 1 << 18, 1 << 20
 #: Pairs up to which only the sets of their classes are shuffled to verify them.
 FEW_PAIRS = 50_000
 #: Leading bits of a hash that make its bucket; bits of a hash that stand below its level of rarity.
 BUCKET_BITS, BELOW_LEVEL = 18, 57
 #: Words from which on a line has a second word of parities.
 SECOND_PARITY = 40
-#: Parts in which prefixes are shuffled, one after the other, so that the disk holds one of them.
-PASSES = 2
+#: Parts in which prefixes are shuffled, one after the other, so that the disk holds one of them; pairs of words of a class, on
+#: average, that a part may have.
+PASSES, PASS_ROWS = 2, 3
 #: Words repeat within a file of lines: with a large dictionary each takes a few bits, which no codec shortens.
 LINE_FILES = {"parquet.dictionary.page.size": 8 << 20, "compression": "uncompressed"}
 
@@ -116,17 +117,24 @@ def _begun(classes: DataFrame) -> DataFrame:
     return classes.select("*", F.posexplode(prefix).alias("pos", "tok")).where(F.col("tok") >= 1 << BELOW_LEVEL)
 
 
+def _frequent(rows: DataFrame, key: str, buckets: int) -> tuple[DataFrame, int]:
+    """The values of ``key`` that more than HOT_CLASSES rows have, and the number of all rows; buckets are counted first, then the values of the heavy ones."""
+    keys = rows.select(key, F.col(key).bitwiseAND(F.lit(buckets - 1)).alias("b"))
+    held = materialize(keys.groupBy("b").count(), "heavy")
+    total = held.agg(F.sum("count")).first()[0] or 0
+    heavy = F.broadcast(held.where(F.col("count") > HOT_CLASSES).select("b"))
+    frequent = materialize(keys.join(heavy, "b").groupBy(key).count().where(F.col("count") > HOT_CLASSES).select(key), "hot")
+    discard(held)
+    return frequent, total
+
+
 def _hot_words(classes: DataFrame) -> DataFrame | None:
-    """The words that begin more than HOT_CLASSES classes, or None; buckets are counted first, then the words of the heavy ones.
+    """The words that begin more than HOT_CLASSES classes, or None.
 
     Such words are in more lines than that, so only those of their levels are counted (a level less, for rounding).
     """
     least = max(0, int(2 * math.log2(HOT_CLASSES + 1)) - 1)
-    words = _begun(classes).where(F.col("tok") >= min(least, 62) << BELOW_LEVEL).select("tok", F.col("tok").bitwiseAND(F.lit(HOT_BUCKETS - 1)).alias("b"))
-    heavy = words.groupBy("b").count().where(F.col("count") > HOT_CLASSES).select("b")
-    within = materialize(heavy, "heavy")
-    hot = materialize(words.join(F.broadcast(within), "b").groupBy("tok").count().where(F.col("count") > HOT_CLASSES).select("tok"), "hot")
-    discard(within)
+    hot, _ = _frequent(_begun(classes).where(F.col("tok") >= min(least, 62) << BELOW_LEVEL), "tok", HOT_BUCKETS)
     return hot if hot.limit(1).count() else None
 
 
@@ -149,26 +157,45 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return late
 
 
-def _cold_pairs(classes: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) of classes that may match, met by a word that is not hot; a and b as their numbers stand."""
-    rows = _begun(classes).select("tok", "cls", "n", "pos", "bits", "more")
-    rows = rows if hot is None else rows.join(if_small(hot), "tok", "left_anti")
+def _met(rows: DataFrame, key: str, passes: int) -> list[DataFrame]:
+    """Pairs (a, b) of classes of ``rows`` that have a ``key`` in common and may match, by parts; a and b as their numbers stand."""
     parts = []
-    for i in range(PASSES):
-        part = rows.where(F.pmod("tok", F.lit(PASSES)) == i)
-        met = part.alias("x").join(part.alias("y"), F.col("x.tok") == F.col("y.tok")).where((F.col("x.cls") < F.col("y.cls")) & _may_match("x", "y"))
+    for i in range(passes):
+        part = rows.where(F.pmod(key, F.lit(passes)) == i).select(key, "cls", "n", "pos", "bits", "more")
+        met = part.alias("x").join(part.alias("y"), F.col(f"x.{key}") == F.col(f"y.{key}")).where((F.col("x.cls") < F.col("y.cls")) & _may_match("x", "y"))
         parts.append(materialize(_pairs(met, "x", "y"), "pairs"))
-    pairs = materialize(reduce(DataFrame.unionByName, parts).distinct(), "pairs")
-    for part in parts:
-        discard(part)
-    return pairs
+    return parts
 
 
-def _hot_rows(classes: DataFrame, hot: DataFrame) -> DataFrame:
-    """A row (key, r) for each hot word of a class and each word after it in its head."""
+def _second(classes: DataFrame, hot: DataFrame) -> DataFrame:
+    """The classes of hot words, a row with ``key`` for each such word and each word after it in the head."""
     second = F.explode(F.expr("slice(head, pos + 2, size(head))"))
     rows = _begun(classes).join(if_small(hot), "tok").select("cls", "first", "n", "pos", "bits", "more", "tok", second.alias("next"))
-    return materialize(rows.select(F.xxhash64("tok", "next").alias("key"), F.struct("first", "cls", "n", "pos", "bits", "more").alias("r")), "second")
+    return rows.withColumn("key", F.xxhash64("tok", "next")).drop("tok", "next")
+
+
+def _candidates(classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs (a, b) of classes that may match, met by words that few classes share; rows (key, r) of two words that many share: all, then by parts."""
+    hot = _hot_words(classes)
+    rows, crowded = _begun(classes), []
+    parts = _met(rows if hot is None else rows.join(if_small(hot), "tok", "left_anti"), "tok", PASSES)
+    if hot is not None:
+        rows, most = _second(classes, hot), PASS_ROWS * classes.count()
+        keys, total = _frequent(rows, "key", HOT_PAIR_BUCKETS)
+        few = rows
+        if keys.limit(1).count():
+            few = rows.join(if_small(keys), "key", "left_anti")
+            held = rows.join(if_small(keys), "key").select("key", F.struct("first", "cls", "n", "pos", "bits", "more").alias("r"))
+            held = materialize(held, "second")
+            n = math.ceil(held.count() / most)
+            crowded = [held] + [held.where(F.pmod("key", F.lit(n)) == i) for i in range(n)]
+        parts += _met(few, "key", math.ceil(total / most))
+        discard(keys)
+        discard(hot)
+    pairs = materialize(reduce(DataFrame.unionByName, parts).distinct(), "pairs")
+    for part in parts:
+        discard(part)
+    return pairs, crowded
 
 
 def _late_cold(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -189,7 +216,7 @@ def _late_cold(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFra
 
 def _late_hot(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Classes of ``rows`` that match an earlier one with the same key."""
-    remaining, done = rows, []
+    remaining, opened, done = rows, None, []
     while True:
         leads = remaining.groupBy("key").agg(F.min("r").alias("lead"))
         beside = remaining.join(leads, "key").where(F.col("lead.cls") != F.col("r.cls"))
@@ -197,16 +224,19 @@ def _late_hot(rows: DataFrame, sets: DataFrame) -> DataFrame:
         done.append(settled)
         left = materialize(beside.select("key", "r", F.col("r.cls").alias("cls")).join(if_small(settled), "cls", "left_anti").drop("cls"), "open")
         before, after = remaining.count(), left.count()
-        if remaining is not rows:
+        if remaining is not rows and remaining is not opened:
             discard(remaining)
-        remaining = left
+        remaining, opened = left, opened or left
         if before - after < ROUND_SHARE * before or not after:
             break
-    met = remaining.select("key", F.col("r").alias("late")).join(rows.select("key", F.col("r").alias("early")), "key")
+    # Later rounds' leads were held against those before them, but not against those that earlier rounds settled.
+    settled = materialize(reduce(DataFrame.unionByName, done).distinct(), "settled")
+    late = opened.select("key", F.col("r").alias("late"), F.col("r.cls").alias("cls")).join(if_small(settled), "cls", "left_anti").drop("cls")
+    met = late.join(rows.select("key", F.col("r").alias("early")), "key")
     met = met.where((F.col("early.first") < F.col("late.first")) & _may_match("early", "late"))
     done.append(_alike(_pairs(met, "early", "late"), sets))
     late = materialize(reduce(DataFrame.unionByName, done).distinct(), "late")
-    for part in (*done, remaining):
+    for part in (*done, remaining, opened, settled):
         discard(part)
     return late
 
@@ -218,19 +248,17 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     tokens = exploded.where(F.trim("words") != "").select("nd", "k", "tie", "line", line_tokens(F.col("words")).alias("toks"))
     lines = materialize(tokens.select("nd", "k", "tie", "line", F.xxhash64("toks").alias("cls"), "toks"), "lines", **LINE_FILES)
     classes = _classes(lines)
-    hot = _hot_words(classes)
-    pairs, involved = _cold_pairs(classes, hot), F.explode(F.array("a", "b")).alias("cls")
-    involved = pairs.select(involved)
-    rows = None if hot is None else _hot_rows(classes, hot)
-    if rows is not None:
-        involved = involved.unionByName(rows.select("r.cls"))
+    pairs, crowded = _candidates(classes)
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
+    if crowded:
+        involved = involved.unionByName(crowded[0].select("r.cls"))
     involved = materialize(involved.distinct(), "involved")
     sets = materialize(semi(lines.select("cls", "toks"), involved, "cls").groupBy("cls").agg(F.first("toks").alias("toks")), "sets", **LINE_FILES)
     late = _late_cold(pairs, classes, sets)
-    if rows is not None:
-        late = late.unionByName(_late_hot(rows, sets)).distinct()
-        discard(rows)
-        discard(hot)
+    for part in crowded[1:]:
+        late = late.unionByName(_late_hot(part, sets)).distinct()
+    if crowded:
+        discard(crowded[0])
     late = materialize(late.withColumn("late", F.lit(True)), "late")
     flagged = classes.select("cls", "first", "lines").join(if_small(late, 2), "cls", "left").where("lines > 1 or late")
     flagged = materialize(flagged.select("cls", "first", F.coalesce("late", F.lit(False)).alias("late")), "flagged")

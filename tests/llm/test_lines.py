@@ -112,3 +112,34 @@ def test_few_pairs_shuffle_only_their_sets(spark, monkeypatch, few, semi):
     pairs = spark.createDataFrame([(0, 1), (1, 2), (6, 7)], "a long, b long")
     assert sorted(r["cls"] for r in ln._alike(pairs, sets).collect()) == [1, 7]
     assert ("LeftSemi" in plans["alike"]) == semi
+
+
+def test_a_line_like_one_that_a_round_settled(spark, monkeypatch):
+    """The third line is like the second only, which goes for the first: all three share their rarest words, and few others do."""
+    monkeypatch.setattr(ln, "HOT_CLASSES", 2)
+    rare, common_words = ["c0", "c1", "c2"], [f"c{j}" for j in range(3, 10)] + ["x", "y"]
+    first, second, third = (" ".join(rare + [f"c{j}" for j in range(3, upto)] + more) for upto, more in ((10, []), (9, ["x"]), (8, ["x", "y"])))
+    fill = "\n".join(f"{w} " + " ".join(f"f{w}{i}{j}" for j in range(6)) for w in common_words for i in range(12))
+    rows = [(1, first), (2, second), (3, third), (4, fill)]
+    got = {r["doc_id"]: r["removed"] for r in ln.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: plain(rows)[d, t] for d, t in rows} and got[3] == [0]
+
+
+def test_words_that_few_classes_share_are_met_at_once(spark, monkeypatch):
+    """A hot word's classes that share a second word go to a join of narrow rows; only where many share two there are rounds."""
+    seen, own = {}, ln.materialize
+
+    def counted(df, name, **options):
+        out = own(df, name, **options)
+        seen.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(ln, "HOT_CLASSES", 8)
+    monkeypatch.setattr(ln, "materialize", counted)
+    rng = random.Random(7)
+    lines = [rng.sample([f"v{j}" for j in range(60)], 10) for _ in range(100)]
+    lines += [[*words[:9], "v0"] for words in lines[:20]]
+    rows = [(i, " ".join(words)) for i, words in enumerate(lines)]
+    got = {r["doc_id"]: r["removed"] for r in ln.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: plain(rows)[d, t] for d, t in rows} and sum(map(len, got.values())) >= 10
+    assert seen["hot"][0] > 0 and "open" not in seen
