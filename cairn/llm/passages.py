@@ -124,36 +124,187 @@ def compact_windows(values: np.ndarray, lengths: list[int], width: int, inside:
     return owner, np.array(left) - base, nodes - base, np.array(right) - base, values[nodes]
 
 
-def _window_batches(batches):
-    width = MIN_WORDS - SHINGLE + 1
+def _bucket_bits(size: int) -> int:
+    """Leading bits of a shingle's hash that make its bucket, for texts of ``size`` bytes: a bucket has some four million shingles."""
+    return min(14, max(2, (size // 6 >> 22).bit_length()))
 
-    def emit(ids, seqs):
-        lengths = [len(s) for s in seqs]
-        flat, inside = np.concatenate(seqs), whole_runs(lengths, width)
-        for k in range(HASHES):
-            values = _mix(flat ^ _ODD[10 + k])
-            owner, left, at, right, value = compact_windows(values, lengths, width, inside)
-            if len(owner):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_mix(value + _ODD[30 + k]).view(np.int64)), pa.array(np.array(ids, np.int64)[owner]), pa.array(np.full(len(owner), k, np.int8)), *(pa.array(x.astype(np.int32)) for x in (left, at, right))],
-                    names=["v", "doc", "k", "l", "c", "r"],
-                )
 
-    ids, seqs, size = [], [], 0
+def _collected(batches, lead: int = 0):
+    """Texts (doc, text, ...) long enough for a passage, as (rows of their first ``lead`` columns but the text, shingles) of about BATCH_WORDS shingles."""
+    rows, seqs, size = [], [], 0
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            more = [part.column(c).to_pylist() for c in (0, *range(2, 2 + lead))]
+            for row, text in zip(zip(*more, strict=True), part.column(1).to_pylist(), strict=True):
                 seq = shingles(word_codes(text or ""))
-                if len(seq) >= width:
-                    ids.append(doc)
+                if len(seq) >= MIN_WORDS - SHINGLE + 1:
+                    rows.append(row)
                     seqs.append(seq)
                     size += len(seq)
                 if size >= BATCH_WORDS:
-                    yield from emit(ids, seqs)
-                    ids, seqs, size = [], [], 0
+                    yield rows, seqs
+                    rows, seqs, size = [], [], 0
     if seqs:
-        yield from emit(ids, seqs)
+        yield rows, seqs
+
+
+BUCKETED = "batch long, bucket int, docs array<long>, counts binary, grps binary, data binary"
+_BUCKETED = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("docs", pa.list_(pa.int64())), ("counts", pa.binary()), ("grps", pa.binary()), ("data", pa.binary())])
+
+
+def _bucket_batches(bits: int, grouped: bool):
+    """Of each batch of texts (doc, text, and grp or nothing) a row for each bucket of hashes: 32 bits of each, in order, and as many of
+    their groups'; and a row with bucket -1: the bucket of each place.
+
+    Of a shingle that a text has at several places one place counts; the others are in no bucket (2^16 - 1).
+    """
+
+    def run(batches):
+        for rows, seqs in _collected(batches, int(grouped)):
+            flat, lengths = np.concatenate(seqs), np.array([len(x) for x in seqs], np.int64)
+            owner = np.repeat(np.arange(len(seqs), dtype=np.uint64), lengths)
+            keyed = (flat >> np.uint64(24) << np.uint64(24)) | owner
+            order = np.argsort(keyed)
+            again = order[1:][keyed[order[1:]] == keyed[order[:-1]]]
+            bucket = (flat >> np.uint64(64 - bits)).astype(np.uint16)
+            bucket[again] = np.iinfo(np.uint16).max
+            order = np.argsort(bucket, kind="stable")[: len(flat) - len(again)]
+            ends = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
+            values = (flat[order] >> np.uint64(32 - bits)).astype("<u4")
+            full = np.nonzero(np.diff(ends))[0].tolist()
+            grps = [None] * len(full)
+            if grouped:
+                own = _mix(np.array([r[1] for r in rows], np.int64).view(np.uint64)).astype("<u4")[owner[order].astype(np.int64)]
+                grps = [own[ends[i] : ends[i + 1]].tobytes() for i in full]
+            batch = int(np.bitwise_xor.reduce(_mix(np.array([r[0] for r in rows], np.int64).view(np.uint64))).view(np.int64))
+            data = [bucket.astype("<u2").tobytes(), *(values[ends[i] : ends[i + 1]].tobytes() for i in full)]
+            n = len(full) + 1
+            listed = [[r[0] for r in rows], *[None] * (n - 1)]
+            counts = [lengths.astype("<i8").tobytes(), *[None] * (n - 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([batch] * n, pa.int64()), pa.array([-1, *full], pa.int32()), pa.array(listed, pa.list_(pa.int64())), pa.array(counts, pa.binary()), pa.array([None, *grps], pa.binary()), pa.array(data, pa.binary())], schema=_BUCKETED)
+
+    return run
+
+
+def _told_twice(table: pa.Table) -> pa.Table:
+    """For each row (batch, bucket, grps, data) of a bucket, a bit for each hash: whether it is there more than once, and of more than one group if they have such."""
+    data = [np.frombuffer(x.as_py(), "<u4") for x in table.column("data")]
+    flat = np.concatenate(data)
+    if table.column("grps").null_count:
+        order = np.argsort(flat)
+        same = flat[order[1:]] == flat[order[:-1]]
+        shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    else:
+        grps = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("grps")])
+        order = np.argsort(flat.astype(np.uint64) << np.uint64(32) | grps)
+        start = np.concatenate([[True], flat[order[1:]] != flat[order[:-1]]])
+        first = np.flatnonzero(start)
+        last = np.concatenate([first[1:], [len(flat)]]) - 1
+        shared = (grps[order[first]] != grps[order[last]])[np.cumsum(start) - 1]
+    bits = np.zeros(len(flat), bool)
+    bits[order] = shared
+    ends = np.cumsum([len(x) for x in data])
+    masks = [np.packbits(bits[e - len(x) : e]).tobytes() for e, x in zip(ends.tolist(), data, strict=True)]
+    return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "data": pa.array(masks, pa.binary())})
+
+
+def dense_starts(live: np.ndarray, lengths: list[int]) -> np.ndarray:
+    """By place, over documents laid end to end: whether a run as long as a passage starts there of which enough is ``live``.
+
+    Of a passage's places at most the rest to SIMILARITY have shingles that no other text has. A run of twice ``width`` places
+    or more has a part of ``width`` or more of which as large a share is live: so runs of less than that tell.
+    """
+    width = MIN_WORDS - SHINGLE + 1
+    out = np.zeros(len(live), bool)
+    ends = np.cumsum(lengths)
+    num, den = round(SIMILARITY * 20), 20
+    gain = np.concatenate([[0], np.cumsum(den * live.astype(np.int64) - num)])
+    left = np.repeat(ends, lengths) - np.arange(len(live))
+    for length in range(width, 2 * width):
+        here = len(live) - length + 1
+        if here <= 0:
+            break
+        out[:here] |= (gain[length:] >= gain[:-length]) & (left[:here] >= length)
+    return out
+
+
+def _edges(flags: np.ndarray) -> np.ndarray:
+    """Start, end (exclusive), start, end ... of the runs of ``flags``."""
+    return np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
+
+
+def _dense_ranges(table: pa.Table) -> pa.Table:
+    """(doc, dense) of a batch's rows: pairs start, end (exclusive) of where runs of ``dense_starts`` start; only texts with such."""
+    bucket = table.column("bucket").to_numpy()
+    head = int(np.nonzero(bucket == -1)[0][0])
+    at = np.frombuffer(table.column("data")[head].as_py(), "<u2")
+    lengths = np.frombuffer(table.column("counts")[head].as_py(), "<i8")
+    docs = np.array(table.column("docs")[head].as_py(), np.int64)
+    sizes = np.bincount(at, minlength=1 << 16)
+    places = np.argsort(at, kind="stable")
+    first = np.cumsum(sizes) - sizes
+    live = np.ones(len(at), bool)
+    for i in np.nonzero(bucket >= 0)[0].tolist():
+        k = int(bucket[i])
+        mask = np.unpackbits(np.frombuffer(table.column("data")[i].as_py(), np.uint8), count=int(sizes[k]))
+        live[places[first[k] : first[k] + sizes[k]]] = mask.astype(bool)
+    flags = dense_starts(live, lengths.tolist())
+    # A run of starts ends before the last place of its text: so no run goes from one text to the next.
+    edges = _edges(flags)
+    ends = np.cumsum(lengths)
+    owner = np.searchsorted(ends, edges[::2], side="right")
+    local = edges - np.repeat((ends - lengths)[owner], 2)
+    own, where = np.unique(owner, return_index=True)
+    offsets = np.concatenate([2 * where, [len(local)]]).astype(np.int32)
+    return pa.table({"doc": pa.array(docs[own]), "dense": pa.ListArray.from_arrays(pa.array(offsets), pa.array(local.astype(np.int32)))})
+
+
+def _dense(texts: DataFrame, size: int) -> DataFrame:
+    """(doc, dense) of the ``texts`` (doc, text), of ``size`` bytes in all, that may hold a passage that another one has; if they have a grp, one of another group.
+
+    A shingle that no other text has is in no passage in common. Hashes meet by buckets, as bits go back to their batches; nothing
+    is held whole anywhere.
+    """
+    grouped = "grp" in texts.columns
+    rows = texts.select("doc", "text", *["grp"] * grouped)
+    held = materialize(rows.mapInArrow(tidy(_bucket_batches(_bucket_bits(size), grouped)), BUCKETED), "hashes", compression="uncompressed")
+    told = held.where("bucket >= 0").select("batch", "bucket", "grps", "data").groupBy("bucket").applyInArrow(_told_twice, "batch long, bucket int, data binary")
+    every = held.where("bucket < 0").drop("grps").unionByName(told, allowMissingColumns=True)
+    out = materialize(every.groupBy("batch").applyInArrow(_dense_ranges, "doc long, dense array<int>"), "dense")
+    discard(held)
+    return out
+
+
+def _holds(left: str, right: str) -> Column:
+    """Whether a run that starts within ``dense`` lies from ``left`` to ``right``."""
+    last = F.col(right) - (MIN_WORDS - SHINGLE)
+    at = F.filter("dense", lambda _, i: i % 2 == 0)
+    return F.exists(F.arrays_zip(at.alias("s"), F.filter("dense", lambda _, i: i % 2 == 1).alias("e")), lambda x: F.greatest(x["s"], F.col(left)) < F.least(x["e"], last))
+
+
+def _window_batches(batches):
+    """Windows of texts (doc, text, dense) in which a run of ``dense_starts`` lies."""
+    width = MIN_WORDS - SHINGLE + 1
+    for rows, seqs in _collected(batches, 1):
+        lengths, ids = [len(s) for s in seqs], np.array([r[0] for r in rows], np.int64)
+        flat, inside = np.concatenate(seqs), whole_runs(lengths, width)
+        starts = np.cumsum(lengths) - lengths
+        turns = np.zeros(len(flat) + 1, np.int64)
+        for start, (_, dense) in zip(starts.tolist(), rows, strict=True):
+            turns[start + np.array(dense[::2], np.int64)] += 1
+            turns[start + np.array(dense[1::2], np.int64)] -= 1
+        before = np.concatenate([[0], np.cumsum(np.cumsum(turns[:-1]))])
+        for k in range(HASHES):
+            owner, left, at, right, value = compact_windows(_mix(flat ^ _ODD[10 + k]), lengths, width, inside)
+            if len(owner):
+                base = starts[owner]
+                kept = before[base + right - width + 2] > before[base + left]
+                owner, left, at, right, value = (x[kept] for x in (owner, left, at, right, value))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_mix(value + _ODD[30 + k]).view(np.int64)), pa.array(ids[owner]), pa.array(np.full(len(owner), k, np.int8)), *(pa.array(x.astype(np.int32)) for x in (left, at, right))],
+                    names=["v", "doc", "k", "l", "c", "r"],
+                )
 
 
 def meeting(sizes: np.ndarray, k: np.ndarray, la: np.ndarray, ra: np.ndarray, lb: np.ndarray, rb: np.ndarray) -> np.ndarray:
@@ -334,69 +485,84 @@ def _all_across(rows: DataFrame) -> DataFrame:
 
 
 def _shingle_batches(batches):
-    """(w, doc, grp, l, r, s, at, fresh): a row for each shingle of each row (w, doc, grp, l, r, part); fresh: its first place there."""
+    """(doc, grp, s, at): a row for each shingle of each text (doc, grp, part: its shingles), with one of its places."""
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
-            seqs = [np.frombuffer(x, "<u4") for x in part.column(5).to_pylist()]
+            seqs = [np.frombuffer(x, "<u4") for x in part.column(2).to_pylist()]
             of = np.repeat(np.arange(len(seqs)), [len(x) for x in seqs])
             flat = np.concatenate(seqs)
             place = np.arange(len(of)) - np.searchsorted(of, of)
-            fresh = np.zeros(len(of), bool)
-            fresh[np.unique(of.astype(np.uint64) << np.uint64(32) | flat, return_index=True)[1]] = True
-            rows = [part.column(c).take(pa.array(of)) for c in range(5)]
-            yield pa.RecordBatch.from_arrays([*rows, pa.array(flat.view(np.int32)), pa.array(place.astype(np.int32)), pa.array(fresh)], names=["w", "doc", "grp", "l", "r", "s", "at", "fresh"])
+            fresh = np.unique(of.astype(np.uint64) << np.uint64(32) | flat, return_index=True)[1]
+            rows = [part.column(c).take(pa.array(of[fresh])) for c in range(2)]
+            yield pa.RecordBatch.from_arrays([*rows, pa.array(flat[fresh].view(np.int32)), pa.array(place[fresh].astype(np.int32))], names=["doc", "grp", "s", "at"])
 
 
 def _long_batches(batches):
-    """The rows whose places (the last column) have a stretch as long as a passage."""
+    """(doc, dense) of the rows (doc, l, size, dead), of so many places from l on, of which enough are not ``dead`` for a passage."""
     for batch in batches:
-        last = batch.num_columns - 1
-        keep = [bool(_runs(np.sort(np.array(x, np.int64)), MIN_WORDS - SHINGLE + 1)) for x in batch.column(last).to_pylist()]
-        yield batch.select(range(last)).filter(pa.array(keep, pa.bool_()))
+        found = []
+        for start, size, dead in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+            live = np.ones(size, bool)
+            live[np.array(dead, np.int64)] = False
+            found.append((start + _edges(dense_starts(live, [size]))).tolist())
+        out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["doc", "dense"])
+        yield out.filter(pa.array([bool(x) for x in found], pa.bool_()))
 
 
 def _large_across(rows: DataFrame, texts: DataFrame) -> list[DataFrame]:
     """All pairs of the ``rows`` of each w, as ``_all_across``, of which ``verify`` may find a passage.
 
-    Shingles that at most SMALL_GROUP documents of a w have make groups of their own, in which all meet. A pair without such a
-    shingle can only have a passage of the others: then both have a stretch of these as long as a passage, and all those meet.
+    The texts' shingles are looked at once, whatever the number of their rows. Shingles that at most SMALL_GROUP texts have make
+    groups, of which those meet that have a w in common. A pair without such a shingle can only have a passage of the others: then
+    both have enough of these in a run as long as a passage, and all those meet by w.
     """
-    held = semi(texts, rows.select("doc").distinct(), "doc").select("doc", "text").mapInArrow(tidy(_sequence_batches), "doc long, seq binary")
-    parts = rows.join(held, "doc").select("w", "doc", "grp", "l", "r", F.expr("substring(seq, l * 4 + 1, (r - l + 1) * 4)").alias("part"))
-    every = materialize(parts.mapInArrow(tidy(_shingle_batches), "w long, doc long, grp long, l int, r int, s int, at int, fresh boolean"), "every")
-    keys = every.where("fresh").groupBy("w", "s").agg(F.count("*").alias("n"), (F.min("grp") != F.max("grp")).alias("mixed"))
-    keys = materialize(keys.where("n > 1"), "keys")
-    rare = every.where("fresh").join(keys.where(F.col("mixed") & (F.col("n") <= SMALL_GROUP)).select("w", "s"), ["w", "s"]).select("w", "s", "doc", "grp", "l", "r")
-    rare = materialize(rare, "rare")
-    met = rare.alias("x").join(rare.alias("y"), (F.col("x.w") == F.col("y.w")) & (F.col("x.s") == F.col("y.s"))).where((F.col("x.doc") < F.col("y.doc")) & (F.col("x.grp") != F.col("y.grp")))
-    common = if_small(keys.where(F.col("n") > SMALL_GROUP).select("w", "s"), 2)
-    placed = every.join(common, ["w", "s"]).groupBy("w", "doc", "grp", "l", "r").agg(F.collect_list("at").alias("places"))
-    long = placed.mapInArrow(tidy(_long_batches), "w long, doc long, grp long, l int, r int")
-    long = materialize(_divided(long, "w"), "long")
-    out = [materialize(x.distinct(), "across") for x in (_crossed(met), _all_across(long))]
-    for part in (every, keys, rare, long):
+    spans = materialize(rows.groupBy("doc", "grp").agg(F.min("l").alias("l"), F.max("r").alias("r"), F.collect_set("w").alias("ws")), "whole")
+    held = semi(texts, spans.select("doc"), "doc").select("doc", "text").mapInArrow(tidy(_sequence_batches), "doc long, seq binary")
+    parts = spans.drop("ws").join(held, "doc").select("doc", "grp", F.expr("substring(seq, l * 4 + 1, (r - l + 1) * 4)").alias("part"))
+    every = materialize(parts.mapInArrow(tidy(_shingle_batches), "doc long, grp long, s int, at int"), "every")
+    keys = every.groupBy("s").agg(F.count("*").alias("n"), (F.min("grp") != F.max("grp")).alias("mixed"))
+    keys = materialize(keys.where("n > 1 and mixed"), "keys")
+    rare = materialize(every.join(if_small(keys.where(F.col("n") <= SMALL_GROUP).select("s")), "s").select("s", "doc", "grp"), "rare")
+    met = rare.alias("x").join(rare.alias("y"), "s").where((F.col("x.doc") < F.col("y.doc")) & (F.col("x.grp") != F.col("y.grp")))
+    met = materialize(met.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct(), "near")
+    sides = [spans.select(F.col("doc").alias(x), F.col("l").alias(x + "f"), F.col("r").alias(x + "t"), F.col("ws").alias("w" + x)) for x in "ab"]
+    near = met.join(sides[0], "a").join(sides[1], "b").where(F.arrays_overlap("wa", "wb")).select("a", "b", "af", "at", "bf", "bt")
+    common = if_small(keys.where(F.col("n") > SMALL_GROUP).select("s"))
+    # What is not common is dead; a text without such is not missing.
+    dead = every.join(common, "s", "left_anti").groupBy("doc").agg(F.collect_list("at").alias("dead"))
+    sized = spans.select("doc", "l", (F.col("r") - F.col("l") + 1).alias("size")).join(dead, "doc", "left").withColumn("dead", F.coalesce("dead", F.array().cast("array<int>")))
+    long = materialize(sized.select("doc", "l", "size", "dead").mapInArrow(tidy(_long_batches), "doc long, dense array<int>"), "long")
+    again = rows.select("w", "doc", "grp", "l", "r").join(if_small(long, 4), "doc").where(_holds("l", "r")).drop("dense")
+    again = materialize(_divided(again, "w"), "again")
+    out = [materialize(x, "across") for x in (near, _all_across(again).distinct())]
+    for part in (spans, every, keys, rare, met, long, again):
         discard(part)
     return out
 
 
-def _across(spans: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
+def _across(spans: DataFrame, groups: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """Candidates, as of ``candidates``, between all documents that are not in one group (node, root) yet.
 
     Those that share the min-hashes of two functions over a common interval meet, whatever their number; pairs within a group
-    are never made.
+    are never made. Where a text has no run of shingles of other groups, none of these has a passage of it.
     """
     own = spans.join(if_small(groups.select(F.col("node").alias("doc"), "root"), 2), "doc", "left")
     own = materialize(own.select("v", "doc", "k", "l", "r", F.coalesce("root", "doc").alias("grp")), "grouped")
-    first = materialize(_divided(own, "v").drop("main", "size"), "divided")
+    met = materialize(_divided(own, "v").drop("main", "size"), "divided")
+    involved = materialize(met.select("doc", "grp").distinct(), "involved")
+    dense = _dense(semi(texts, involved.select("doc"), "doc").join(if_small(involved, 2), "doc"), size)
+    # Others of a min-hash may have no such run.
+    first = materialize(_divided(met.join(if_small(dense, 4), "doc").where(_holds("l", "r")), "v").drop("main", "size"), "divided")
     width = MIN_WORDS - SHINGLE + 1
     two = first.alias("x").join(first.alias("y"), F.col("x.doc") == F.col("y.doc")).where((F.col("x.k") < F.col("y.k")) & (F.least("x.r", "y.r") - F.greatest("x.l", "y.l") + 1 >= width))
-    two = materialize(two.select(F.xxhash64("x.v", "y.v").alias("w"), "x.doc", F.greatest("x.l", "y.l").alias("l"), F.least("x.r", "y.r").alias("r"), "x.grp"), "two")
+    two = two.select(F.xxhash64("x.v", "y.v").alias("w"), "x.doc", F.greatest("x.l", "y.l").alias("l"), F.least("x.r", "y.r").alias("r"), "x.grp", "x.dense")
+    two = materialize(two.where(_holds("l", "r")).drop("dense"), "two")
     told = materialize(_divided(two, "w"), "told")
     parts = [_all_across(told.where(F.col("size") <= SMALL_GROUP)), *_large_across(told.where(F.col("size") > SMALL_GROUP), texts)]
     pairs = reduce(DataFrame.unionByName, parts).groupBy("a", "b").agg(*[f(c).alias(c) for c, f in (("af", F.min), ("at", F.max), ("bf", F.min), ("bt", F.max))])
     out = materialize(pairs.select("a", "b", F.lit(False).alias("star"), "af", "at", "bf", "bt"), "pairs")
-    for part in (own, first, two, told, *parts[1:]):
+    for part in (own, met, involved, dense, first, two, told, *parts[1:]):
         discard(part)
     return out
 
@@ -418,13 +584,16 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return found
 
 
-def repeated_passages(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Verified passages (a, b, star, passages) of pairs of ``texts`` (doc, text: distinct numbers and texts), a < b, and the groups (node, root) that they link."""
-    windows = materialize(texts.select("doc", "text").mapInArrow(tidy(_window_batches), "v long, doc long, k byte, l int, c int, r int"), "windows")
+def repeated_passages(texts: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Verified passages (a, b, star, passages) of pairs of ``texts`` (doc, text: distinct numbers and texts, of about ``size`` bytes), a < b, and the groups (node, root) that they link."""
+    dense = _dense(texts, size)
+    searched = semi(texts, dense.select("doc"), "doc").join(if_small(dense, 4), "doc")
+    windows = materialize(searched.select("doc", "text", "dense").mapInArrow(tidy(_window_batches), "v long, doc long, k byte, l int, c int, r int"), "windows")
+    discard(dense)
     spans = _spans(windows)
     found = _verified(candidates(spans), texts)
     groups = components(found)
-    rest = _verified(_across(spans, groups, texts), texts)
+    rest = _verified(_across(spans, groups, texts, size), texts)
     discard(spans)
     found = found.unionByName(rest)
     if rest.limit(1).count():
@@ -440,8 +609,10 @@ def passage_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     least id that passages link the document to, directly or through others, its own copies included.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("doc", F.xxhash64("text"))
-    long = F.size(F.split(F.trim("text"), r"[\x20\x09-\x0D]+")) >= MIN_WORDS
-    narrow = materialize(rows.select("doc_id", "doc", long.alias("long")), "copies")
+    # No more of a text is split than it takes to tell.
+    long = F.size(F.split(F.trim("text"), r"[\x20\x09-\x0D]+", MIN_WORDS)) >= MIN_WORDS
+    narrow = materialize(rows.select("doc_id", "doc", long.alias("long"), F.octet_length("text").alias("bytes")), "copies")
+    size = narrow.agg(F.sum("bytes")).first()[0] or 0
     order = F.struct(F.col("doc_id").isNull().alias("nd"), F.coalesce("doc_id", F.lit(0)).alias("k"))
     classes = materialize(narrow.groupBy("doc").agg(F.min("doc_id").alias("copy_of"), F.min(order).alias("rep"), F.count("*").alias("copies"), F.first("long").alias("long")), "classes")
     # One row of each class is searched: of the least id, and any of its equal rows.
@@ -451,7 +622,7 @@ def passage_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     own = narrow.select("doc", F.col("doc_id").isNull().alias("nd"), F.coalesce("doc_id", F.lit(0)).alias("k"))
     if own.join(if_small(reps, 3), ["doc", "nd", "k"], "left_semi").groupBy("doc").count().where("count > 1").limit(1).count():
         texts = texts.groupBy("doc").agg(F.min("text").alias("text"))
-    found, groups = repeated_passages(texts)
+    found, groups = repeated_passages(texts, size)
     p = found.select("a", "b", "star", F.explode("passages").alias("p"))
     ours = p.select(F.col("b").alias("doc"), F.col("a").alias("other"), F.col("p.b_from").alias("s"), F.col("p.b_to").alias("e"))
     theirs = p.select(F.col("a").alias("doc"), F.col("b").alias("other"), F.col("p.a_from").alias("s"), F.col("p.a_to").alias("e"), "star")

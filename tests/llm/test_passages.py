@@ -216,3 +216,27 @@ def test_meeting_against_brute_force():
         assert g == (bool(over) or size > pg.MANY)
         at += size
     assert pg.meeting(np.zeros(0, np.int64), *[np.zeros(0, np.int64)] * 5).tolist() == []
+
+
+def test_dense_starts_against_brute_force():
+    """A run is kept where some run of a passage's length or more, within its text, has enough that is live."""
+    rng, width = np.random.default_rng(3), pg.MIN_WORDS - pg.SHINGLE + 1
+    lengths = [130, 46, 60, 200]
+    live = rng.random(sum(lengths)) < np.repeat([0.8, 0.85, 0.5, 0.79], lengths)
+    got, at = pg.dense_starts(live, lengths), 0
+    for n in lengths:
+        part = live[at : at + n]
+        want = [any(5 * part[i:e].sum() >= 4 * (e - i) for e in range(i + width, min(n, i + 2 * width - 1) + 1)) for i in range(n)]
+        assert got[at : at + n].tolist() == want
+        at += n
+
+
+def test_hashes_told_twice_go_back_to_their_batches():
+    import pyarrow as pa
+
+    blobs = [np.array(x, "<u4").tobytes() for x in ([5, 1, 9], [9, 2], [7, 7])]
+    rows = {"batch": [1, 2, 3], "bucket": [0, 0, 0], "data": blobs}
+    for grps, want in ((None, [[0, 0, 1], [1, 0], [1, 1]]), ([[4, 4, 4], [6, 6], [8, 8]], [[0, 0, 1], [1, 0], [0, 0]])):
+        told = pa.array([None] * 3 if grps is None else [np.array(x, "<u4").tobytes() for x in grps], pa.binary())
+        got = pg._told_twice(pa.table({**rows, "grps": told})).column("data").to_pylist()
+        assert [np.unpackbits(np.frombuffer(g, np.uint8), count=len(w)).tolist() for g, w in zip(got, want, strict=True)] == want
