@@ -9,6 +9,9 @@ alike enough share a word among the first few in that order (prefix filter). Whe
 in either bounds what they can have in common (length and positional filters); the bits in which the parities of
 their hashed words differ bound it too. What is left is verified on the whole sets.
 
+Of many lines alike most are found before that: each class is held against the earliest that has two of its rare words
+side by side in that order too. Of two classes so found to go no pair is made any more; each still stands for lines after it.
+
 Words that begin more than ``HOT_CLASSES`` classes are counted first. Among the classes of such a word only
 those that share a second early word meet (any two alike do). Where more than ``HOT_CLASSES`` classes share two, each class
 is first held against the earliest, as often as that settles many; only classes that are still open are held against all earlier ones.
@@ -36,6 +39,8 @@ SIMILARITY = NUM, DEN = 4, 5
 HOT_CLASSES, ROUND_SHARE = 512, 0.1
 #: Buckets in which words, and pairs of them, are counted to see where hot ones may be; at most as many rows are broadcast.
 HOT_BUCKETS, HOT_PAIR_BUCKETS = 1 << 18, 1 << 20
+#: Pairs of neighbours by rarity, of least hash, by which a class is first held against the earliest class that has such a pair.
+LEAD_PAIRS = 3
 #: Pairs up to which only the sets of their classes are shuffled to verify them.
 FEW_PAIRS = 50_000
 #: Leading bits of a hash that make its bucket; bits of a hash that stand below its level of rarity.
@@ -67,16 +72,18 @@ def _enough(common: Column, na: Column, nb: Column) -> Column:
 
 
 def _may_match(a: str, b: str) -> Column:
-    """What the parities and the places of a shared word leave open, for rows of (n, pos, bits, more).
+    """What the parities and the places of a shared word leave open, for rows of (n, at, bits, more); at: twice the place, and 1 if the class is known to go.
 
     A word that only one of them has changes one parity, so parities that differ are no more than such words.
     The place bounds the overlap if the word is the least that both have; a pair alike enough is met there.
     """
-    n, pos, bits, more = ([F.col(f"{x}.{c}") for x in (a, b)] for c in ("n", "pos", "bits", "more"))
+    n, at, bits, more = ([F.col(f"{x}.{c}") for x in (a, b)] for c in ("n", "at", "bits", "more"))
+    pos = [F.shiftright(x, 1) for x in at]
     every, odd = bits[0].bitwiseXOR(bits[1]), more[0].bitwiseXOR(more[1])
     long = F.least(*n) >= SECOND_PARITY
     apart = F.when(long, F.bit_count(every.bitwiseXOR(odd)) + F.bit_count(odd)).otherwise(F.bit_count(every))
-    return (apart * (NUM + DEN) <= (n[0] + n[1]) * (DEN - NUM)) & _enough(F.least(n[0] - pos[0], n[1] - pos[1]), *n)
+    open_ = at[0].bitwiseAND(at[1]).bitwiseAND(F.lit(1)) == 0
+    return (apart * (NUM + DEN) <= (n[0] + n[1]) * (DEN - NUM)) & _enough(F.least(n[0] - pos[0], n[1] - pos[1]), *n) & open_
 
 
 def _levels(lines: DataFrame) -> DataFrame:
@@ -99,7 +106,7 @@ def _levels(lines: DataFrame) -> DataFrame:
 def _classes(lines: DataFrame) -> DataFrame:
     """A row for each class: cls, first (its earliest line), lines, n, bits, more, and head, the rarest words: the prefix and one more."""
     def ranked(t: Column) -> Column:
-        return F.coalesce(t.bitwiseXOR(F.get("levels", F.shiftrightunsigned(t, 64 - BUCKET_BITS).cast("int"))), F.lit(0).cast("bigint"))
+        return F.coalesce(t.bitwiseXOR(F.get("levels", F.shiftrightunsigned(t, 64 - BUCKET_BITS))), F.lit(0).cast("bigint"))
 
     bits = F.expr("aggregate(toks, 0L, (a, t) -> a ^ shiftleft(1L, cast(t & 63L as int)))")
     n = F.size("toks")
@@ -112,9 +119,10 @@ def _classes(lines: DataFrame) -> DataFrame:
 
 
 def _begun(classes: DataFrame) -> DataFrame:
-    """A row for each word of each prefix that other lines may have: pos and tok."""
+    """A row for each word of each prefix that other lines may have: pos, at (see ``_may_match``) and tok."""
     prefix = F.slice("head", F.lit(1), F.col("n") - F.expr(f"(n * {NUM} + {DEN} - 1) div {DEN}").cast("int") + 1)
-    return classes.select("*", F.posexplode(prefix).alias("pos", "tok")).where(F.col("tok") >= 1 << BELOW_LEVEL)
+    rows = classes.select("*", F.posexplode(prefix).alias("pos", "tok")).where(F.col("tok") >= 1 << BELOW_LEVEL)
+    return rows.withColumn("at", 2 * F.col("pos") + F.col("late").cast("int"))
 
 
 def _frequent(rows: DataFrame, key: str, buckets: int) -> tuple[DataFrame, int]:
@@ -122,9 +130,14 @@ def _frequent(rows: DataFrame, key: str, buckets: int) -> tuple[DataFrame, int]:
     keys = rows.select(key, F.col(key).bitwiseAND(F.lit(buckets - 1)).alias("b"))
     held = materialize(keys.groupBy("b").count(), "heavy")
     total = held.agg(F.sum("count")).first()[0] or 0
-    heavy = F.broadcast(held.where(F.col("count") > HOT_CLASSES).select("b"))
-    frequent = materialize(keys.join(heavy, "b").groupBy(key).count().where(F.col("count") > HOT_CLASSES).select(key), "hot")
+    heavy = held.where(F.col("count") > HOT_CLASSES).groupBy(F.shiftright("b", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits"))
+    # A bit for each bucket, whatever the corpus.
+    every = rows.sparkSession.range(buckets // 64).join(heavy, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))
+    bits = materialize(every.groupBy().agg(F.sort_array(F.collect_list(F.struct("id", "bits"))).alias("every")).select(F.col("every.bits").alias("bits")), "bits")
+    in_heavy = keys.withColumn("bits", bits.scalar()).where(F.expr("shiftright(get(bits, shiftright(b, 6)), cast(b & 63 as int)) & 1 = 1"))
+    frequent = materialize(in_heavy.groupBy(key).count().where(F.col("count") > HOT_CLASSES).select(key), "hot")
     discard(held)
+    discard(bits)
     return frequent, total
 
 
@@ -157,11 +170,45 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return late
 
 
+def _whole(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """The words of the classes ``ids`` (cls)."""
+    return materialize(semi(lines.select("cls", "toks"), ids, "cls").groupBy("cls").agg(F.first("toks").alias("toks")), "sets", **LINE_FILES)
+
+
+def _led(classes: DataFrame, lines: DataFrame) -> DataFrame:
+    """Classes, as cls, that match the earliest of those with one of the LEAD_PAIRS least pairs of neighbours by rarity in common.
+
+    Of what is alike some pairs differ, wherever they stand in the order; of the rest the least are mostly the same.
+    """
+    rare = F.filter("head", lambda x: x >= 1 << BELOW_LEVEL)
+    beside = F.transform(F.sequence(F.lit(0), F.size("rare") - 2), lambda i: F.xxhash64(F.get("rare", i), F.get("rare", i + 1)))
+    least = F.explode(F.slice(F.sort_array(beside), 1, LEAD_PAIRS))
+    keyed = materialize(classes.select("cls", rare.alias("rare")).where(F.size("rare") > 1).select("cls", least.alias("key")), "keyed")
+    shared = materialize(keyed.groupBy("key").count().where("count > 1").select("key"), "shared")
+    rows = semi(keyed, shared, "key").join(classes.select("cls", "first", "n", "bits", "more"), "cls")
+    rows = materialize(rows.select("key", F.struct("first", "cls", "n", F.lit(0).alias("at"), "bits", "more").alias("r")), "led")
+    leads = rows.groupBy("key").agg(F.min("r").alias("lead"))
+    met = rows.join(leads, "key").where((F.col("lead.cls") != F.col("r.cls")) & _may_match("lead", "r"))
+    pairs = materialize(_pairs(met, "lead", "r"), "pairs")
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "ends")
+    sets = _whole(lines, ends)
+    late = _alike(pairs, sets)
+    for part in (keyed, shared, rows, pairs, ends, sets):
+        discard(part)
+    return late
+
+
+def _marked(classes: DataFrame, late: DataFrame) -> DataFrame:
+    """``classes`` with late: whether they are among ``late`` (cls)."""
+    told = if_small(late.withColumn("late", F.lit(True)), 2)
+    return materialize(classes.join(told, "cls", "left").withColumn("late", F.coalesce("late", F.lit(False))), "marked", compression="snappy")
+
+
 def _met(rows: DataFrame, key: str, passes: int) -> list[DataFrame]:
     """Pairs (a, b) of classes of ``rows`` that have a ``key`` in common and may match, by parts; a and b as their numbers stand."""
     parts = []
     for i in range(passes):
-        part = rows.where(F.pmod(key, F.lit(passes)) == i).select(key, "cls", "n", "pos", "bits", "more")
+        part = rows.where(F.pmod(key, F.lit(passes)) == i).select(key, "cls", "n", "at", "bits", "more")
         met = part.alias("x").join(part.alias("y"), F.col(f"x.{key}") == F.col(f"y.{key}")).where((F.col("x.cls") < F.col("y.cls")) & _may_match("x", "y"))
         parts.append(materialize(_pairs(met, "x", "y"), "pairs"))
     return parts
@@ -170,7 +217,7 @@ def _met(rows: DataFrame, key: str, passes: int) -> list[DataFrame]:
 def _second(classes: DataFrame, hot: DataFrame) -> DataFrame:
     """The classes of hot words, a row with ``key`` for each such word and each word after it in the head."""
     second = F.explode(F.expr("slice(head, pos + 2, size(head))"))
-    rows = _begun(classes).join(if_small(hot), "tok").select("cls", "first", "n", "pos", "bits", "more", "tok", second.alias("next"))
+    rows = _begun(classes).join(if_small(hot), "tok").select("cls", "first", "n", "at", "bits", "more", "tok", second.alias("next"))
     return rows.withColumn("key", F.xxhash64("tok", "next")).drop("tok", "next")
 
 
@@ -185,7 +232,7 @@ def _candidates(classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         few = rows
         if keys.limit(1).count():
             few = rows.join(if_small(keys), "key", "left_anti")
-            held = rows.join(if_small(keys), "key").select("key", F.struct("first", "cls", "n", "pos", "bits", "more").alias("r"))
+            held = rows.join(if_small(keys), "key").select("key", F.struct("first", "cls", "n", "at", "bits", "more").alias("r"))
             held = materialize(held, "second")
             n = math.ceil(held.count() / most)
             crowded = [held] + [held.where(F.pmod("key", F.lit(n)) == i) for i in range(n)]
@@ -198,13 +245,14 @@ def _candidates(classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return pairs, crowded
 
 
-def _late_cold(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Classes of ``pairs`` that match an earlier one. Each is first held against the earliest that it met."""
+def _late_cold(pairs: DataFrame, classes: DataFrame, sets: DataFrame, led: DataFrame) -> DataFrame:
+    """Classes of ``pairs`` that match an earlier one, but those ``led`` (cls). Each is first held against the earliest that it met."""
     ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "ends")
     firsts = semi(classes.select("cls", "first"), ends, "cls")
     told = pairs.join(firsts.select(F.col("cls").alias("a"), F.col("first").alias("fa")), "a").join(firsts.select(F.col("cls").alias("b"), F.col("first").alias("fb")), "b")
     after = F.col("fa") < F.col("fb")
-    told = materialize(told.select(F.when(after, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(after, F.col("b")).otherwise(F.col("a")).alias("b"), F.least("fa", "fb").alias("since")), "told")
+    told = told.select(F.when(after, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(after, F.col("b")).otherwise(F.col("a")).alias("b"), F.least("fa", "fb").alias("since"))
+    told = materialize(told.join(if_small(led.select(F.col("cls").alias("b"))), "b", "left_anti"), "told")
     settled = _alike(told.groupBy("b").agg(F.min(F.struct("since", "a")).alias("m")).select("m.a", "b"), sets)
     rest = told.join(if_small(settled.select(F.col("cls").alias("b"))), "b", "left_anti")
     others = _alike(rest, sets)
@@ -215,16 +263,18 @@ def _late_cold(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFra
 
 
 def _late_hot(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Classes of ``rows`` that match an earlier one with the same key."""
+    """Classes of ``rows`` that match an earlier one with the same key, but those marked already."""
     remaining, opened, done = rows, None, []
     while True:
         leads = remaining.groupBy("key").agg(F.min("r").alias("lead"))
+        if remaining is rows:
+            remaining = rows.where(F.col("r.at").bitwiseAND(F.lit(1)) == 0)
         beside = remaining.join(leads, "key").where(F.col("lead.cls") != F.col("r.cls"))
         settled = _alike(_pairs(beside.where(_may_match("lead", "r")), "lead", "r"), sets)
         done.append(settled)
         left = materialize(beside.select("key", "r", F.col("r.cls").alias("cls")).join(if_small(settled), "cls", "left_anti").drop("cls"), "open")
         before, after = remaining.count(), left.count()
-        if remaining is not rows and remaining is not opened:
+        if opened and remaining is not opened:
             discard(remaining)
         remaining, opened = left, opened or left
         if before - after < ROUND_SHARE * before or not after:
@@ -248,24 +298,27 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     tokens = exploded.where(F.trim("words") != "").select("nd", "k", "tie", "line", line_tokens(F.col("words")).alias("toks"))
     lines = materialize(tokens.select("nd", "k", "tie", "line", F.xxhash64("toks").alias("cls"), "toks"), "lines", **LINE_FILES)
     classes = _classes(lines)
-    pairs, crowded = _candidates(classes)
+    led = _led(classes, lines)
+    marked = _marked(classes, led)
+    discard(classes)
+    pairs, crowded = _candidates(marked)
     involved = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
     if crowded:
         involved = involved.unionByName(crowded[0].select("r.cls"))
     involved = materialize(involved.distinct(), "involved")
-    sets = materialize(semi(lines.select("cls", "toks"), involved, "cls").groupBy("cls").agg(F.first("toks").alias("toks")), "sets", **LINE_FILES)
-    late = _late_cold(pairs, classes, sets)
+    sets = _whole(lines, involved)
+    late = _late_cold(pairs, marked, sets, led).unionByName(led)
     for part in crowded[1:]:
         late = late.unionByName(_late_hot(part, sets)).distinct()
     if crowded:
         discard(crowded[0])
     late = materialize(late.withColumn("late", F.lit(True)), "late")
-    flagged = classes.select("cls", "first", "lines").join(if_small(late, 2), "cls", "left").where("lines > 1 or late")
+    flagged = marked.select("cls", "first", "lines").join(if_small(late, 2), "cls", "left").where("lines > 1 or late")
     flagged = materialize(flagged.select("cls", "first", F.coalesce("late", F.lit(False)).alias("late")), "flagged")
     told = semi(lines.select("nd", "k", "tie", "line", "cls"), flagged.select("cls"), "cls").join(flagged, "cls")
     gone = told.where(F.col("late") | (F.struct("nd", "k", "tie", "line") != F.col("first"))).groupBy("nd", "k", "tie").agg(F.array_sort(F.collect_set("line")).alias("removed"))
     gone = materialize(gone, "gone")
-    for part in (lines, classes, pairs, involved, sets, late, flagged):
+    for part in (lines, marked, led, pairs, involved, sets, late, flagged):
         discard(part)
     return gone
 

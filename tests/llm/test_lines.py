@@ -143,3 +143,27 @@ def test_words_that_few_classes_share_are_met_at_once(spark, monkeypatch):
     got = {r["doc_id"]: r["removed"] for r in ln.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {d: plain(rows)[d, t] for d, t in rows} and sum(map(len, got.values())) >= 10
     assert seen["hot"][0] > 0 and "open" not in seen
+
+
+def test_pairs_of_near_copies_grow_with_their_number(spark, monkeypatch):
+    """Near copies of one line are held against the earliest first; of two so settled no pair is made."""
+    most, own = [], ln.materialize
+
+    def counted(df, name, **options):
+        out = own(df, name, **options)
+        if name == "pairs":
+            most.append(out.count())
+        return out
+
+    monkeypatch.setattr(ln, "materialize", counted)
+    rng = random.Random(11)
+    base, n = [f"b{j}" for j in range(60)], 300
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(3):
+            words[rng.randrange(60)] = f"r{rng.randrange(400)}"
+        rows.append((i, " ".join(words)))
+    got = {r["doc_id"]: r["removed"] for r in ln.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: plain(rows)[d, t] for d, t in rows} and sum(map(len, got.values())) > 0.9 * n
+    assert max(most) < n * n / 8
